@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, sentencepieces, simple8b, warc
+from lodestar.llm import fingerprints, mixing, quality, sentencepieces, simple8b, toxicity, warc
 from lodestar.llm.common import documents, scratch_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -44,7 +44,15 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op7_token_file)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op7_token_file, op8_toxicity, op10_quality)}
 
 ORACLE_SQL = {
     "op4_warc": """
