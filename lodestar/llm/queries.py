@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, mtree, quality, sentencepieces, simple8b, suffixtree, toxicity, warc
+from lodestar.llm import fingerprints, mixing, mtree, neardup, quality, sentencepieces, simple8b, suffixtree, toxicity, warc
 from lodestar.llm.common import documents, scratch_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.class_ids(documents(spark, sf_dir))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality)}
 
 ORACLE_SQL = {
     "op4_warc": """
