@@ -15,7 +15,7 @@ table gives an empty archive; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value of the contract: least bytes of a payload that others may revisit.
@@ -23,6 +23,8 @@ LEAST = 100
 #: Fixed date of archives without a capture time, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Stands for a null page id where rows are matched.
+NONE = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "page_id long, payload_digest string, header string"
 PAYLOADS = "payload_digest string, payload binary"
@@ -54,10 +56,12 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     response = both("response", F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), (F.octet_length(http) + F.col("n")).cast("string"), F.lit(CRLF * 2), http)
     again = both("revisit", F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), name("first"), F.lit(f"{CRLF}Content-Length: 0{CRLF * 2}"))
     records.select("page_id", "payload_digest", F.when(revisit, again).otherwise(response).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
-    keep = first.select(F.col("payload_digest").alias("d"), F.col("first").alias("f"))
-    held = rows.select("payload_digest", "page_id", "payload")
-    held = held.join(keep, (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("f")), "left_semi")
-    held.groupBy("payload_digest").agg(F.first("payload").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    keep = first.select(F.col("payload_digest").alias("d"), F.coalesce("first", F.lit(NONE)).alias("f"))
+    held = rows.select("payload_digest", F.coalesce("page_id", F.lit(NONE)).alias("k"), "payload")
+    held = held.join(keep, (F.col("payload_digest") == F.col("d")) & (F.col("k") == F.col("f")), "left_semi")
+    # rows that repeat both keys lie together already, so payloads don't move again
+    held = held.withColumn("i", F.row_number().over(Window.partitionBy("payload_digest", "k").orderBy(F.lit(0)))).where("i = 1")
+    held.select("payload_digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
