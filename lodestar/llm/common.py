@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of text handed to Python at a time; bounds a worker's memory by rows times text length.
 TEXT_ROWS = 1000
@@ -60,11 +57,17 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the needed ones under names of our own, and what gives the columns back.
 
+    So whatever else a table holds, its names can't clash with those an operator adds.
+    """
+    names = df.columns
+    inner = [x if x in needed else f"_extra{i}" for i, x in enumerate(names)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
 
-def task_shares(df: DataFrame, bytes_of: int = 64 << 20) -> int:
+
+def task_shares(df: DataFrame) -> int:
     """A partition count for a shuffle: the session's setting, which follows the cluster and input."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -73,15 +76,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_text(df: DataFrame, column: str = "text") -> DataFrame:
-    """Null texts count as empty ones."""
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
-
-
 def words(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as UTF-8 bytes, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split()
 
-
-def repo_on_path() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

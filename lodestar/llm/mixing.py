@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, task_shares
+from lodestar.llm.common import saved, set_aside, task_shares
 
 #: Documents of a leaf of the tree on average, and leaves that combine on the next level.
 LEAF, FAN = 2_000, 256
@@ -165,8 +165,9 @@ def copies(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: str = "
 
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """docs with every row as often as the mix takes it; same columns."""
+    docs, restored = set_aside(docs, "doc_id", "text", "source")
     k0 = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("source", "text")))
     taken = copies(docs, seed, **how).select(F.split("_key", "#").alias("k"), "n_copies")
     taken = taken.groupBy(F.col("k")[0].alias("_k0")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("k")[1].cast("int").alias("same"), "n_copies"))).alias("_n"))
     rows = docs.withColumn("_k0", k0).join(taken, "_k0").withColumn("_same", F.row_number().over(Window.partitionBy("_k0").orderBy(F.lit(0))))
-    return rows.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.element_at("_n", F.col("_same"))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(rows.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.element_at("_n", F.col("_same"))))))

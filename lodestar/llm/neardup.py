@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, small_batches, task_shares, words
+from lodestar.llm.common import saved, set_aside, small_batches, task_shares, words
 from lodestar.llm.fingerprints import Shingler, mixed
 from lodestar.llm.ordered import order_key
 
@@ -261,8 +261,9 @@ def class_ids(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Of each class the row with the smallest id; same columns. Texts move once, keyed by node and id."""
+    docs, restored = set_aside(docs, "doc_id", "text")
     rows = classes(docs, least)
     heads = rows.groupBy("label").agg(F.min(F.struct("k", "node")).alias("h")).select(F.col("h.k").alias("_k"), F.col("h.node").alias("_node"))
     own = docs.withColumn("_k", order_key("doc_id")).withColumn("_node", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
     own = own.join(heads, ["_k", "_node"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_node").orderBy(F.lit(0)))).where(F.col("_n") == 1)
-    return own.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(own)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, small_batches
+from lodestar.llm.common import saved, set_aside, small_batches
 
 SAMPLE, DIMENSIONS = 3_000, 1 << 11
 #: Documents with such a score or more are kept.
@@ -224,5 +224,5 @@ def scored(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the scorer accepts; same columns."""
-    names = tuple(docs.columns)
-    return score(docs, fit(docs), names).where(F.col("score") >= LIMIT).select(*[F.col(f"`{c}`") for c in names])
+    inner, restored = set_aside(docs, "doc_id", "text")
+    return restored(score(inner, fit(inner), tuple(inner.columns)).where(F.col("score") >= LIMIT))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import small_batches
+from lodestar.llm.common import set_aside, small_batches
 
 #: Most labelled rows of each class in the fit.
 SAMPLE = 3_000
@@ -286,5 +286,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic; same columns. Texts pass through the scoring task."""
-    names = tuple(docs.columns)
-    return score(docs, fit(docs, labels), names).where(F.col("score") < LIMIT).select(*[F.col(f"`{c}`") for c in names])
+    inner, restored_names = set_aside(docs, "doc_id", "text")
+    return restored_names(score(inner, fit(inner, labels), tuple(inner.columns)).where(F.col("score") < LIMIT))
