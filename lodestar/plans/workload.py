@@ -1,6 +1,477 @@
-"""Registered queries over the driver's tables, each with its SQL where SQL can express it."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it.
+
+The tables hold no funding calls, so each operator is bound to columns of like shape; nulls are derived where
+an operator's point is what it does with them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.functions import parse
+from lodestar.functions import text as T
+from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, retrieval, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: DuckDB expressions that several queries share.
+_FOLD = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
+_TOKENS = "regexp_extract_all(" + _FOLD + ", '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _bm25_sql(table: str, ident: str, text: str, terms: list[str], raw: list[str], section: str | None = None, limit: int = 10, order: str = "") -> str:
+    """SQL of one search: tf and idf for each term, bonus for the section, coverage of the raw terms."""
+    values = ", ".join(f"('{t}')" for t in terms)
+    raws = ", ".join(f"('{t}', '{u}')" for t in raw for u in (t, *retrieval.SYNONYMS.get(t, ())))
+    sect = _TOKENS.format(section) if section else "CAST([] AS VARCHAR[])"
+    return f"""
+        WITH p AS (SELECT {ident}, {_TOKENS.format(text)} AS body, {sect} AS sect FROM {table}),
+             terms(t) AS (VALUES {values}), raws(r, u) AS (VALUES {raws}),
+             n AS (SELECT greatest(1, count(*)) AS total FROM p),
+             hit AS (SELECT p.*, t, CAST(len(list_filter(body, lambda x: x = t)) AS DOUBLE) AS f, list_contains(sect, t) AS s FROM p, terms
+                     WHERE list_contains(body, t) OR list_contains(sect, t)),
+             df AS (SELECT t, count(*) AS df FROM hit GROUP BY t),
+             idf AS (SELECT t, ln(1 + (total - df + 0.5) / (df + 0.5)) AS w FROM df, n),
+             sc AS (SELECT {ident}, round(sum(w * f * 2.2 / (f + 1.2) + CASE WHEN s THEN 0.75 * w ELSE 0 END), 6) AS score FROM hit JOIN idf USING (t) WHERE f > 0 GROUP BY ALL),
+             cov AS (SELECT {ident}, count(DISTINCT r) / {float(len(raw))} AS coverage FROM p, raws WHERE list_contains(body, u) OR list_contains(sect, u) GROUP BY ALL)
+        SELECT {ident}, score, round(coverage, 6) AS coverage FROM sc JOIN cov USING ({ident}) ORDER BY score DESC, {order or ident} LIMIT {limit}"""
+
+
+SEARCH = "Theth reer of the heing, thand SME hention onea ender"
+_RAW, _TERMS = retrieval.query_terms(SEARCH)
+
+
+@query(_bm25_sql("documents", "doc_id", "text", _TERMS, _RAW))
+def r3_bm25_topk(spark, sf_dir):
+    hits = retrieval.scored(_table(spark, sf_dir, "documents"), SEARCH)
+    return hits.select("doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query(_bm25_sql("conversations", "conv_id, turn", "text", *reversed(retrieval.query_terms("the user asks about reer and ther")), section="role", limit=12))
+def r3_bm25_sections(spark, sf_dir):
+    hits = retrieval.scored(_table(spark, sf_dir, "conversations"), "the user asks about reer and ther", section="role")
+    return hits.select("conv_id", "turn", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "conv_id", "turn").limit(12)
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)
+    SELECT doc_id, CAST(n AS INTEGER) AS line, CAST(length(trim(line)) > 0 AS BOOLEAN) AS filled, CAST(length(line) AS INTEGER) AS chars FROM l WHERE length(trim(line)) > 0""")
+def r1_passages(spark, sf_dir):
+    """Lines as passages: a blank line after each makes the splitter part them."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    out = retrieval.passages(docs)
+    return out.select(F.col("source").cast("long").alias("doc_id"), ((F.col("line") + 1) / 2).cast("int").alias("line"), (F.length(F.trim("text")) > 0).alias("filled"), F.length("text").alias("chars"))
+
+
+_ASKED = ["Theth reer of the heing", "zzqqxx vvkkww", "and the funding deadline", "hention onea ender thand"]
+
+
+def _decision_sql() -> str:
+    parts = []
+    for i, q in enumerate(_ASKED):
+        raw, terms = retrieval.query_terms(q)
+        parts.append(f"SELECT {i} AS query_id, * FROM ({_bm25_sql('documents', 'doc_id', 'text', terms, raw, limit=1)})")
+    asked = ", ".join(f"({i})" for i in range(len(_ASKED)))
+    return f"""
+        WITH best AS ({" UNION ALL ".join(parts)}), q(query_id) AS (VALUES {asked}),
+             c AS (SELECT query_id, doc_id, round(coalesce(0.7 * coverage + 0.3 * score / (score + 2.0), 0), 6) AS confidence FROM q LEFT JOIN best USING (query_id))
+        SELECT query_id, doc_id, confidence, CASE WHEN doc_id IS NOT NULL AND confidence >= 0.290165 THEN 'supported' ELSE 'no_supported_result' END AS status FROM c"""
+
+
+@query(_decision_sql())
+def r7_decision(spark, sf_dir):
+    docs, best = _table(spark, sf_dir, "documents"), None
+    for i, q in enumerate(_ASKED):
+        top = retrieval.scored(docs, q).select("doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "doc_id").limit(1).withColumn("query_id", F.lit(i))
+        best = top if best is None else best.unionByName(top)
+    asked = spark.range(len(_ASKED)).select(F.col("id").cast("int").alias("query_id"))
+    out = retrieval.decisions(asked.join(best, "query_id", "left"))
+    return out.select("query_id", "doc_id", F.round("confidence", 6).alias("confidence"), "status")
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(retrieval.STOP_WORDS))
+
+
+@query(f"""
+    WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark),
+         qs AS (SELECT DISTINCT query_id, term FROM q WHERE term NOT IN ({_STOP})),
+         tf AS (SELECT term, doc_id, CAST(count(*) AS DOUBLE) AS f FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents) SEMI JOIN qs USING (term) GROUP BY ALL),
+         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS total FROM documents),
+         s AS (SELECT query_id, doc_id, round(sum(round(ln(1 + (total - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2), 9)), 6) AS score FROM tf JOIN df USING (term) JOIN qs USING (term), n GROUP BY ALL),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+    SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def r8_legacy_rank(spark, sf_dir):
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.rank_many(_table(spark, sf_dir, "documents"), queries)
+
+
+@query("""
+    WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\\?[^#]*)?', ['s', 'h', 'p', 'q']) AS m FROM pages),
+         k AS (SELECT page_id, m, list_filter(string_split(substr(m.q, 2), '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('gclid', 'fbclid', 'ref')) AS kept FROM p)
+    SELECT page_id, lower(m.s) || lower(m.h) || CASE WHEN regexp_replace(m.p, '/+$', '') = '' THEN '/' ELSE regexp_replace(m.p, '/+$', '') END
+           || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_transform(kept, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') END AS url FROM k""")
+def n21_url_norm(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.normal_url(F.col("url")).alias("url"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+    SELECT o_orderkey, CASE WHEN k IN (0, 1, 2, 3, 4, 5) THEN CAST(d AS VARCHAR) END AS day, k = 5 AS timed FROM o""")
+def n6_date_chain(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("k"), F.col("o_orderdate").cast("date").alias("d"))
+    month = F.element_at(F.array(*[F.lit(m.title()) for m in parse.MONTHS]), F.month("d"))
+    written = (
+        F.when(F.col("k") == 0, F.date_format("d", "yyyy-MM-dd"))
+        .when(F.col("k") == 1, F.date_format("d", "yyyyMMdd"))
+        .when(F.col("k") == 2, F.date_format("d", "d/M/yyyy"))
+        .when(F.col("k") == 3, F.concat_ws(" ", F.dayofmonth("d"), month, F.year("d")))
+        .when(F.col("k") == 4, F.concat(F.datediff("d", F.lit("1899-12-30").cast("date")).cast("string"), F.lit(".5")))
+        .when(F.col("k") == 5, F.date_format("d", "yyyy-MM-dd'T'17:00:00'Z'"))
+        .when(F.col("k") == 6, F.date_format("d", "yyyy-MM-dd'T'17:00:00"))
+        .otherwise(F.lit("soon"))
+    )
+    at = parse.when(written)
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    return o.select("o_orderkey", F.date_format(utc, "yyyy-MM-dd").alias("day"), F.coalesce(F.hour(utc) == 17, F.lit(False)).alias("timed"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)
+    SELECT o_orderkey, CASE k WHEN 0 THEN CAST(c AS DOUBLE) / 100 WHEN 1 THEN CAST(c AS DOUBLE) / 100 WHEN 2 THEN CAST(c // 100 AS DOUBLE) WHEN 3 THEN CAST(c // 100 AS DOUBLE) END AS amount FROM o""")
+def n8_decimal_parse(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    whole, cents = F.expr("c div 100"), F.lpad((F.col("c") % 100).cast("string"), 2, "0")
+    dots = F.regexp_replace(whole.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ".")
+    written = F.when(F.col("k") == 0, F.concat(whole.cast("string"), F.lit("."), cents)).when(F.col("k") == 1, F.concat(F.lit("€ "), dots, F.lit(","), cents)).when(F.col("k") == 2, F.concat(F.regexp_replace(dots, r"\.", " "), F.lit(" €"))).when(F.col("k") == 3, dots).otherwise(F.lit("-5"))
+    value = parse.decimal(written)
+    # up to three digits and one point are read as thousands, as are 1.500 and the like; whole amounts have no point
+    return o.select("o_orderkey", value.cast("double").alias("amount"))
+
+
+@query("""
+    SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_type || ' ; ' || p_brand || '||' || chr(10), '[|;' || chr(10) || ']+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM part""")
+def n10_split_list(spark, sf_dir):
+    joined = F.concat("p_type", F.lit(" ; "), "p_brand", F.lit("||\n"))
+    return _table(spark, sf_dir, "part").select("p_partkey", parse.strings(joined).alias("parts"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents)
+    SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS chars FROM t GROUP BY doc_id""")
+def n20_fold_tokens(spark, sf_dir):
+    t = T.tokens(T.fold(F.col("text")))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query("""
+    SELECT n_nationkey, CASE WHEN lower(n_name) IN ('open', 'ongoing') THEN 'open' ELSE 'unknown' END AS status, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k,
+           CASE n_nationkey % 4 WHEN 0 THEN 'grant' WHEN 1 THEN 'repayable_incentive' WHEN 2 THEN 'open' ELSE 'unknown' END AS kind FROM nation""")
+def n12_codes(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    m = F.col("n_nationkey") % 4
+    kind = F.when(m == 0, parse.opportunity_type(F.lit("Grants"))).when(m == 1, parse.opportunity_type(F.lit("Reimbursable  Advance"))).when(m == 2, parse.status(F.lit(" Open  for Submission"))).otherwise(parse.opportunity_type(F.lit("lottery")))
+    return n.select("n_nationkey", parse.status(F.col("n_name")).alias("status"), T.key(F.col("n_name")).alias("k"), kind.alias("kind"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'loan' WHEN p_partkey % 3 = 1 THEN 'grant' ELSE 'unknown' END AS kind,
+                      CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE [upper(p_brand), 'x'] END AS regions, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS funding,
+                      CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_partkey % 60 AS INTEGER) END AS days FROM part),
+         c AS (SELECT p_partkey, kind IS NULL OR kind = 'unknown' AS u1, coalesce(kind = 'loan', false) AS m1,
+                      regions IS NULL AS u2, regions IS NOT NULL AND lower(regions[1]) NOT IN ('brand#11', 'brand#22', 'brand#33', 'brand#44') AS m2,
+                      funding IS NULL AS u3, coalesce(funding < 1200, false) AS m3, days IS NULL AS u4, coalesce(days > 30, false) AS m4 FROM p)
+    SELECT p_partkey, CASE WHEN m1 OR m2 OR m3 OR m4 THEN 'excluded' WHEN u1 OR u2 OR u3 OR u4 THEN 'needs_review' ELSE 'included' END AS state,
+           CAST(CAST(u1 OR m1 AS INT) + CAST(u2 OR m2 AS INT) + CAST(u3 OR m3 AS INT) + CAST(u4 OR m4 AS INT) AS INTEGER) AS n_reasons FROM c""")
+def f1_three_state(spark, sf_dir):
+    k, now = F.col("p_partkey"), F.lit("2026-10-06").cast("timestamp")
+    calls = _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(k % 11 == 0, None).when(k % 3 == 0, "loan").when(k % 3 == 1, "grant").otherwise("unknown").alias("opportunity_type"),
+        F.when(k % 7 != 0, F.array(F.upper("p_brand"), F.lit("x"))).alias("eligible_regions"),
+        F.when(k % 13 != 0, F.col("p_retailprice")).alias("funding_max"),
+        F.when(k % 17 != 0, now + F.make_interval(days=(k % 60).cast("int"))).alias("deadline"),
+    )
+    wanted = filters.Criteria(opportunity_types=("grant",), regions=("Brand#11", "brand#22 ", "BRAND#33", "brand#44"), minimum_funding=1200, deadline_window_days=30)
+    return filters.filter_opportunities(calls, wanted, now).select("p_partkey", "state", F.size("reasons").alias("n_reasons"))
+
+
+@query("""
+    SELECT event_id, event_type FROM events WHERE (user_id % 3 = 0) OR (user_id % 3 = 1 AND user_id % 5 = 2)""")
+def f5_visibility(spark, sf_dir):
+    u = F.col("user_id")
+    e = _table(spark, sf_dir, "events").withColumns({"workspace_id": F.when(u % 3 != 0, F.concat(F.lit("w"), (u % 3).cast("string"))), "organisation_id": F.when(u % 3 != 0, F.concat(F.lit("o"), (u % 5).cast("string")))})
+    return filters.visible_to(e, "w1", "o2").select("event_id", "event_type")
+
+
+_RULES = [("r1", 0, "country", "in", True, None), ("r2", 1, "turnover", "minimum", False, "raise turnover"), ("r3", 2, "sectors", "intersects", True, None), ("r4", 3, "company_size", "equals", True, None), ("r5", 0, "balance_sheet", "maximum", False, None), ("r6", 2, "certifications", "present", True, None)]
+
+
+@query("""
+    WITH prof AS (SELECT c_custkey AS o, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS country, c_acctbal AS turnover, lower(c_mktsegment) AS seg FROM customer),
+         f AS (
+            SELECT o, 0 AS call, CASE WHEN country IS NULL THEN 2 WHEN country IN ('1', '2', '3', '4', '5', '6', '7', '8', '9', '10') THEN 0 ELSE 3 END AS sev FROM prof
+            UNION ALL SELECT o, 1, CASE WHEN turnover >= 1000 THEN 0 ELSE 1 END FROM prof
+            UNION ALL SELECT o, 2, CASE WHEN seg IN ('building', 'machinery') THEN 0 ELSE 3 END FROM prof
+            UNION ALL SELECT o, 3, 2 FROM prof
+            UNION ALL SELECT o, 0, CASE WHEN turnover <= 9000 THEN 0 ELSE 2 END FROM prof
+            UNION ALL SELECT o, 2, 2 FROM prof
+            UNION ALL SELECT o, 4, 2 FROM prof)
+    SELECT o AS organisation_id, CAST(call AS INTEGER) AS opportunity_id, CASE max(sev) WHEN 3 THEN 'ineligible' WHEN 2 THEN 'uncertain' WHEN 1 THEN 'remediable' ELSE 'eligible' END AS state, count(*) AS n_findings FROM f GROUP BY ALL""")
+def e4_eligibility(spark, sf_dir):
+    """Customers against five calls; rules cite evidence, but for r4, whose evidence is missing."""
+    V = eligibility.value
+    cust = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("organisation_id"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_nationkey").cast("string")).alias("country"), "c_acctbal", "c_mktsegment")
+    entry = lambda name, v: F.struct(F.lit(name).alias("profile_field"), v.alias("actual"))
+    values = cust.select("organisation_id", F.inline(F.array(entry("country", V("str", string=F.col("country"))), entry("turnover", V("num", number=F.col("c_acctbal"))), entry("balance_sheet", V("num", number=F.col("c_acctbal"))), entry("sectors", V("arr", array=F.array(F.initcap("c_mktsegment")))), entry("company_size", V("str", string=F.lit("small"))))))
+    rules = spark.createDataFrame(_RULES, "rule_id string, opportunity_id int, profile_field string, operator string, hard_gate boolean, remediation string")
+    expected = F.when(F.col("rule_id") == "r1", V("arr", array=F.array(*[F.lit(str(i)) for i in range(1, 11)]))).when(F.col("rule_id") == "r2", V("num", number=F.lit(1000))).when(F.col("rule_id") == "r3", V("arr", array=F.array(F.lit(" building"), F.lit("MACHINERY")))).when(F.col("rule_id") == "r4", V("str", string=F.lit("small"))).when(F.col("rule_id") == "r5", V("str", string=F.lit("9000")))
+    rules = rules.withColumns({"expected": expected, "evidence_ids": F.array(F.when(F.col("rule_id") == "r4", "gone").otherwise("ev"))})
+    calls = spark.range(5).select(F.col("id").cast("int").alias("opportunity_id"), F.array(F.lit("ev")).alias("opp_evidence_ids"))
+    pairs = cust.select("organisation_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("opportunity_id")).join(F.broadcast(calls), "opportunity_id")  # five rows
+    return eligibility.assess(eligibility.findings(pairs, rules, values))
+
+
+@query("""
+    WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'eligible' WHEN 1 THEN 'remediable' WHEN 2 THEN 'uncertain' ELSE 'ineligible' END AS state,
+                      CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 101 END AS a, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey * 7) % 101 END AS b FROM orders),
+         t AS (SELECT *, CASE state WHEN 'eligible' THEN 100 WHEN 'remediable' THEN 55 ELSE 35 END AS e FROM s)
+    SELECT o_orderkey, CASE WHEN state = 'ineligible' OR (a IS NULL AND b IS NULL) THEN NULL
+           ELSE CAST(floor((e * 0.16::DOUBLE + coalesce(a * 0.17::DOUBLE, 0) + coalesce(b * 0.1::DOUBLE, 0)) / (0.16::DOUBLE + CASE WHEN a IS NULL THEN 0 ELSE 0.17::DOUBLE END + CASE WHEN b IS NULL THEN 0 ELSE 0.1::DOUBLE END) + 0.5) AS INTEGER) END AS overall FROM t""")
+def e6_fit(spark, sf_dir):
+    k = F.col("o_orderkey")
+    st = F.element_at(F.array(*map(F.lit, ("eligible", "remediable", "uncertain", "ineligible"))), (k % 4 + 1).cast("int"))
+    a, b = F.when(k % 5 != 0, k % 101), F.when(k % 3 != 0, (k * 7) % 101)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", eligibility.fit_score(st, {"strategic_fit": a, "company_capabilities": b}).alias("overall"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents)
+    SELECT doc_id, CASE WHEN first < doc_id THEN first END AS canonical_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM d)""")
+def d2_exact_dups(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return d.join(first, "h").select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("canonical_id"))
+
+
+_TITLE_STOP = ", ".join(f"'{w}'" for w in matching.TITLE_STOP_WORDS)
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, regexp_extract(url, '/([a-z]{{2}})/', 1) AS lang, regexp_extract(url, '^https?://[^/]*?([a-z]+\\.(?:com|net|org))', 1) AS auth,
+                      list_distinct(list_filter(regexp_extract_all({_FOLD.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '[a-z0-9]+'), lambda w: w NOT IN ({_TITLE_STOP}))) AS w FROM pages),
+         m AS (SELECT a.page_id AS candidate, min(b.page_id) AS first FROM p a JOIN p b ON a.lang = b.lang AND a.page_id <> b.page_id AND a.auth = b.auth AND len(a.w) > 0 AND len(b.w) > 0
+                      AND len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w))) GROUP BY 1)
+    SELECT p.page_id AS candidate, CASE WHEN first IS NULL THEN 'none' ELSE 'possible' END AS kind FROM p LEFT JOIN m ON m.candidate = p.page_id""")
+def d3_title_jaccard(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    p = _table(spark, sf_dir, "pages").select(
+        "page_id", F.col("page_id").cast("string").alias("id"), F.lit("pages").alias("source_id"), none.alias("canonical_url"), none.alias("topic_id"), none.alias("call_id"),
+        F.regexp_extract("url", "/([a-z]{2})/", 1).alias("programme"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("url", r"^https?://[^/]*?([a-z]+\.(?:com|net|org))", 1).alias("authority"), F.lit(None).cast("timestamp").alias("deadline"), F.lit(None).cast("timestamp").alias("opening_date"), none.alias("source_family"), none.alias("canonical_source"),
+    )
+    return matching.find_duplicates(p, p).select(F.col("candidate").cast("long").alias("candidate"), "kind")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents)
+    SELECT doc_id, CASE WHEN first < doc_id THEN first END AS canonical_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM d)""")
+def d5_incremental(spark, sf_dir):
+    """Arrival in the order of doc_id; equal texts match. Copies of one text meet its first arrival only."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("id"), F.sha2("text", 256).alias("h"))
+    first = d.groupBy("h").agg(F.min("id").alias("a"))
+    edges = d.join(first, "h").where("a < id").select("a", F.col("id").alias("b"))
+    out = matching.incremental(edges, d.select("id"))
+    return out.select(F.col("id").cast("long").alias("doc_id"), F.col("canonical_id").cast("long").alias("canonical_id"))
+
+
+@query("""
+    WITH w AS (SELECT user_id, event_id, event_type, value, props, lag(event_type) OVER o AS t0, lag(value) OVER o AS v0, lag(props) OVER o AS p0, row_number() OVER o AS n FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+         u AS (SELECT event_id, 'event_type' AS field FROM w WHERE n > 1 AND event_type IS DISTINCT FROM t0 UNION ALL SELECT event_id, 'value' FROM w WHERE n > 1 AND value IS DISTINCT FROM v0 UNION ALL SELECT event_id, 'props' FROM w WHERE n > 1 AND props IS DISTINCT FROM p0)
+    SELECT field, count(*) AS n_changes, CAST(sum(event_id) AS BIGINT) AS id_sum FROM u GROUP BY field""")
+def c1_field_diff(spark, sf_dir):
+    """Consecutive events of a user as versions of a record."""
+    o = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    names = ("event_type", "value", "props")
+    w = _table(spark, sf_dir, "events").select("event_id", *names, *[F.lag(c).over(o).alias(f"{c}_0") for c in names], F.row_number().over(o).alias("n")).where("n > 1")
+    after = w.select(F.col("event_id").alias("id"), *names)
+    before = w.select(F.col("event_id").alias("id"), *[F.col(f"{c}_0").alias(c) for c in names])
+    found = changes.detect_changes(before, after, F.lit("2026-10-06").cast("timestamp"), names)
+    return found.groupBy("field").agg(F.count("*").alias("n_changes"), F.sum("opportunity_id").alias("id_sum"))
+
+
+@query("""
+    SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS deadline FROM orders WHERE o_orderstatus = 'O' AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-01-31'""")
+def c4_deadline(spark, sf_dir):
+    calls = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"), F.col("o_orderdate").cast("timestamp").alias("deadline"))
+    found = changes.deadline_approaching(calls, F.lit("1995-01-01").cast("timestamp"), 30)
+    return found.select(F.col("opportunity_id").cast("long").alias("o_orderkey"), F.date_format("deadline", "yyyy-MM-dd HH:mm:ss").alias("deadline"))
+
+
+@query("SELECT lang AS source_id, sha256(text) AS content_hash, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM documents GROUP BY ALL")
+def p1_snapshots(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("source_id"), "text", F.col("source").alias("source_url"), F.lit(None).cast("string").alias("etag"), F.col("doc_id").alias("retrieved_at"))
+    return state.document_snapshots(d).select("source_id", "content_hash", "first_seen", "last_seen")
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT 'evt-' || left(sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type), 24) AS event_id, user_id, event_type FROM events)
+    SELECT * FROM e WHERE user_id % 2 = 1""")
+def p3_event_ids(spark, sf_dir):
+    """Ids repeat on replay: a batch of all events adds only those of odd users to a state that holds the others."""
+    e = _table(spark, sf_dir, "events").select(parse.hash_id("evt-", 24, F.col("user_id"), F.col("event_type")).alias("event_id"), "user_id", "event_type")
+    held = e.where(F.col("user_id") % 2 == 0).dropDuplicates(["event_id"])
+    return state.insert_new(held, e, "event_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def w1_latest(spark, sf_dir):
+    return state.latest(_table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, value FROM events), s AS (SELECT *, 0 AS side FROM e WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, event_id, -value, 1 FROM e WHERE event_id % 3 = 0)
+    SELECT user_id, event_id, value FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, side DESC) = 1""")
+def p2_upsert(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return state.upsert(e.where(F.col("event_id") % 3 != 0), e.where(F.col("event_id") % 3 == 0).withColumn("value", -F.col("value")), ["user_id"], "event_id")
+
+
+@query("""
+    SELECT source, count(*) AS records, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars < 500) AS short, min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(sum(n_chars) AS BIGINT) AS chars,
+           CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS only_lang, bool_and(n_chars > 0) AS all_filled FROM documents GROUP BY source""")
+def a6_quality(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.count("*").alias("records"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") < 500).alias("short"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_chars").alias("chars"), F.when(F.count_distinct("lang") == 1, F.min("lang")).alias("only_lang"), F.bool_and(F.col("n_chars") > 0).alias("all_filled"))
+
+
+@query("""
+    WITH r AS (SELECT CASE WHEN n_chars < 100 THEN 'too_short' WHEN lang = 'fr' THEN 'unsupported_language' WHEN contains(text, '$$$') THEN 'junk' END AS reason FROM documents)
+    SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def a2_reject_reasons(spark, sf_dir):
+    rules = [("too_short", F.col("n_chars") < 100), ("unsupported_language", F.col("lang") == "fr"), ("junk", F.contains("text", F.lit("$$$")))]
+    r = constraints.rejected(_table(spark, sf_dir, "documents"), rules)
+    return r.where(F.col("reject_reason").isNotNull()).groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH k AS (SELECT unnest(json_keys(props)) AS field, props FROM events), t AS (SELECT field, json_type(props, '$."' || field || '"') AS j FROM k)
+    SELECT field, CASE j WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END AS kind, count(*) AS n FROM t GROUP BY ALL""")
+def s27_profile(spark, sf_dir):
+    from lodestar.sources.records import field_types
+
+    return field_types(_table(spark, sf_dir, "events"), "props").groupBy("field", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def s22_visible_text(spark, sf_dir):
+    from lodestar.sources.html import visible
+
+    v = visible(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html"))
+    return v.select(F.col("url").cast("long").alias("page_id"), F.length("text").alias("chars"), F.size("anchors").alias("links"))
+
+
+@query("""
+    WITH s AS (SELECT l.doc_id, quality = 1 AS yes, least(1.0, n_chars / 4000.0) AS c FROM labels l JOIN documents d USING (doc_id)),
+         t AS (SELECT 0.0 AS t UNION SELECT 1.0 UNION SELECT least(1.0, c + 1e-9) FROM s),
+         n AS (SELECT count(*) FILTER (yes) AS ny, count(*) FILTER (NOT yes) AS nn FROM s),
+         b AS (SELECT t, 0.5 * (count(*) FILTER (c < t AND NOT yes) / any_value(nn)::DOUBLE + count(*) FILTER (c >= t AND yes) / any_value(ny)::DOUBLE) AS ba FROM t, s, n GROUP BY t)
+    SELECT ceil(t * 1000000) / 1000000 AS threshold, round(ba, 9) AS balanced_accuracy FROM b ORDER BY round(ba, 9) DESC, t LIMIT 1""")
+def m10_calibrate(spark, sf_dir):
+    l, d = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    s = l.join(d, "doc_id").select((F.col("quality") == 1).alias("answerable"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("confidence"))
+    out = metrics.calibrate(s)
+    return out.select("threshold", F.round("balanced_accuracy", 9).alias("balanced_accuracy"))
+
+
+_HITS_SQL = """
+    WITH want AS (SELECT DISTINCT lang AS query_id, doc_id AS item_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+         got AS (SELECT lang AS query_id, doc_id AS item_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"""
+
+
+def _hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    want = d.join(toxic, "doc_id").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item_id"))
+    got = metrics.ranked(d.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item_id"), "n_chars"), ["query_id"], F.desc("n_chars"), "item_id")
+    return want, got
+
+
+@query(_HITS_SQL + "SELECT query_id, count(*) AS relevant, count(g.item_id) AS retrieved, round(count(g.item_id) / count(*)::DOUBLE, 6) AS score FROM want LEFT JOIN (SELECT * FROM got WHERE rank <= 50) g USING (query_id, item_id) GROUP BY query_id")
+def m2_recall(spark, sf_dir):
+    return metrics.recall_at_k(*_hits(spark, sf_dir), k=50).withColumn("score", F.round("score", 6))
+
+
+@query(_HITS_SQL + "SELECT query_id, round(coalesce(1.0 / min(rank), 0), 6) AS rr FROM want LEFT JOIN got USING (query_id, item_id) GROUP BY query_id")
+def m9_mrr(spark, sf_dir):
+    return metrics.reciprocal_rank(*_hits(spark, sf_dir)).withColumn("rr", F.round("rr", 6))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k FROM customer), e AS (SELECT k AS a, k + 1 AS b FROM c WHERE k % 3 = 0), p AS (SELECT least(k + 1, k) AS a, greatest(k + 1, k) AS b FROM c WHERE k % 2 = 0)
+    SELECT (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM e) AS expected, (SELECT count(*) FROM e JOIN p USING (a, b)) AS correct,
+           round((SELECT count(*) FROM e JOIN p USING (a, b)) / (SELECT count(*) FROM p)::DOUBLE, 6) AS precision, round((SELECT count(*) FROM e JOIN p USING (a, b)) / (SELECT count(*) FROM e)::DOUBLE, 6) AS recall""")
+def m3_pairs(spark, sf_dir):
+    k = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    e = k.where("k % 3 = 0").select(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))
+    p = k.where("k % 2 = 0").select((F.col("k") + 1).alias("a"), F.col("k").alias("b"))
+    return metrics.pair_scores(e, p).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
+@query("""
+    WITH x AS (SELECT DISTINCT user_id % 7 AS tenant, event_id AS record_id FROM events WHERE user_id % 2 = 0), o AS (SELECT DISTINCT user_id % 7 AS tenant, event_id AS record_id FROM events WHERE user_id % 2 = 0 OR event_id % 100 = 0)
+    SELECT count(DISTINCT tenant) AS tenants, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM x)) AS leaks, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM x)) = 0 AS isolated FROM (SELECT * FROM x UNION ALL SELECT * FROM o)""")
+def m6_isolation(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("tenant"), F.col("event_id").alias("record_id"), "user_id")
+    return metrics.tenant_isolation(e.where("user_id % 2 = 0").drop("user_id"), e.where("user_id % 2 = 0 OR record_id % 100 = 0").drop("user_id"))
+
+
+@query("""
+    WITH f AS (SELECT o_custkey AS k, arg_min(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1)
+    SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, v) AS segment FROM customer LEFT JOIN f ON k = c_custkey""")
+def n24_enrich(spark, sf_dir):
+    p = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    facts = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lit("segment").alias("profile_field"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("ord"))
+    return state.enrich(p, facts, ["segment"]).select(F.col("id").alias("c_custkey"), "segment")
+
+
+@query("SELECT o_orderstatus AS field, count(*) AS available, count(*) FILTER (o_orderkey % 4 = 0) AS correct, count(*) FILTER (o_orderkey % 4 IN (1, 2)) AS wrong, count(*) FILTER (o_orderkey % 4 = 3) AS unknown, round(count(*) FILTER (o_orderkey % 4 = 0) / count(*)::DOUBLE, 6) AS score FROM orders GROUP BY 1")
+def m13_field_report(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("field"), (F.col("o_orderkey") % 4).alias("k"), "o_orderpriority")
+    e = o.select("id", "field", F.col("o_orderpriority").alias("value"))
+    seen = o.select("id", "field", F.when(F.col("k") == 0, F.upper("o_orderpriority")).when(F.col("k") < 3, F.lit("other")).alias("value"))
+    return metrics.field_report(e, seen).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT event_type AS source_id, sha256(props) AS content_hash, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events GROUP BY ALL")
+def stream_snapshots(spark, sf_dir):
+    from lodestar.streaming.snapshots import run_snapshots
+
+    rows = run_snapshots(spark, f"{sf_dir}/events.parquet", lambda e: e.select(F.col("event_type").alias("source_id"), F.col("props").alias("text"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("string").alias("etag"), F.col("event_id").alias("retrieved_at")))
+    return rows.select("source_id", "content_hash", "first_seen", "last_seen")
+
+
+@query("SELECT DISTINCT 'evt-' || left(sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type), 24) AS event_id, user_id, event_type FROM events")
+def stream_events(spark, sf_dir):
+    from lodestar.streaming.snapshots import run_events
+
+    return run_events(spark, f"{sf_dir}/events.parquet", lambda e: e.select(parse.hash_id("evt-", 24, F.col("user_id"), F.col("event_type")).alias("event_id"), "user_id", "event_type"))
