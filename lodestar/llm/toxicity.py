@@ -216,17 +216,22 @@ class Model:
         y = np.asarray(y, float)
         if not 0 < y.sum() < len(y):
             return
-        held = [{i for t in set(x.split()) for i in items(plain(t))} for x in texts]
+        of_text = lambda x: {i for t in set(x.split()) for i in items(plain(t))}
         toxic, clean = Counter(), Counter()
-        for own, label in zip(held, y):
-            (toxic if label else clean).update(own)
+        for x, label in zip(texts, y):
+            if label:
+                toxic.update(of_text(x))
+        toxic = Counter({i: n for i, n in toxic.items() if n >= 2})  # others can't be in the lexicon
+        for x, label in zip(texts, y):
+            if not label:
+                clean.update(i for i in of_text(x) if i in toxic)
         weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         # counts as if the classes had their true shares
         up_t, up_c = share / y.mean(), (1 - share) / (1 - y.mean())
         of = lambda i, t=0, c=0: weight((toxic[i] - t) * up_t, (clean[i] - c) * up_c, share)
-        lexicon = {i: w for i, n in toxic.items() if n >= 2 and (w := of(i)) >= LEAST}
+        lexicon = {i: w for i in toxic if (w := of(i)) >= LEAST}
         self.reader = Reader(lexicon)
-        x = np.array([self.reader.features(t, {i: max(0.0, of(i, label, 1 - label)) for i in own if i in lexicon}) for t, own, label in zip(texts, held, y)])
+        x = np.array([self.reader.features(t, {i: max(0.0, of(i, label, 1 - label)) for i in of_text(t) if i in lexicon}) for t, label in zip(texts, y)])
         folds = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 5 for t in texts])
         margins = np.zeros(len(y))
         for k in range(5):
