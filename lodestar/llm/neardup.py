@@ -8,9 +8,9 @@ signature's largest component. Components of two signatures are equal with the p
 Jaccard similarity. ``BANDS`` bands of ``ROWS`` components make candidates; overlap of the multisets decides.
 
 Links form classes. In a bucket, every member is compared with its smallest one, never all pairs. Where that
-leaves a bucket with members of different classes, its members outside the leader's class are compared with
-all those of other classes that an eight-bit signature doesn't rule out, so no link between members of a
-bucket is lost. Equal texts are one node throughout. A group with a third of all rows spreads: copies combine
+leaves a bucket with members of different classes, its members outside the leader's class meet all those of
+other classes, in blocks, and a task passes on as many links as it takes to join the classes; so members of a
+bucket that a link connects always share a class. Equal texts are one node throughout. A group with a third of all rows spreads: copies combine
 before the shuffle, joins by bucket may be split, and a leader's members are compared in blocks.
 
 Defined results: a null text counts as empty; texts without words are near copies only of equal texts; rows
@@ -33,10 +33,9 @@ from lodestar.llm.fingerprints import Shingler, mixed
 from lodestar.llm.ordered import order_key
 
 BANDS, ROWS, SIMILAR = 26, 5, 0.8
-#: Eight-bit signatures of pairs below this share of equal components are not compared: over 5 deviations.
-MINI_LEAST = 0.6
-#: Members that meet a leader in one task; words whose signatures are made at once.
-BLOCK, WORDS_AT_ONCE = 2_000, 400_000
+#: Members that meet a leader in one task; members of either side of a bucket that meet in one task; words
+#: whose signatures are made at once.
+BLOCK, PART, WORDS_AT_ONCE = 2_000, 4_000, 400_000
 
 
 def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,20 +103,16 @@ def _node() -> Column:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """node, k, doc_id, n (shingles), bands, mini of every row."""
+    """node, k, doc_id, bands of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            bands, mini, n = [], [], []
+            bands = []
 
             def sign(bags: list) -> None:
                 sig = signatures(bags)
-                low = (mixed(np.ascontiguousarray(sig).view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                for bag, keys, small in zip(bags, band_keys(sig), low):
-                    n.append(int(bag[1].sum()))
-                    bands.append(keys if n[-1] else [])
-                    mini.append(small.tobytes())
+                bands.extend(keys if len(bag[0]) else [] for bag, keys in zip(bags, band_keys(sig)))
 
             bags, size = [], 0
             for text in batch.column(3).to_pylist():
@@ -127,26 +122,31 @@ def _signed(rows: DataFrame) -> DataFrame:
                     sign(bags)
                     bags, size = [], 0
             sign(bags)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(mini, pa.binary())], names=["node", "k", "doc_id", "n", "bands", "mini"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bands, pa.list_(pa.int64()))], names=["node", "k", "doc_id", "bands"])
 
-    return rows.mapInArrow(work, "node binary, k long, doc_id long, n long, bands array<long>, mini binary")
+    return rows.mapInArrow(work, "node binary, k long, doc_id long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough.
-
-    rows: node, k, text of all documents; nodes: node, k of the document that stands for a node. Members come
-    to their leader a in blocks; a block's task holds the leader's multiset and streams the members.
-    """
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "k"), "node")
-    found = rows.join(needed, ["node", "k"]).select("node", "text")
+def _texts(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text (compressed) of the wanted nodes, from the one document that stands for each."""
+    found = rows.join(wanted.join(nodes.select("node", "k"), "node"), ["node", "k"]).select("node", "text")
 
     def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(x.encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "text"])
 
-    texts = saved(found.mapInArrow(pressed, "node binary, text binary"), "texts")
+    # rows that share id and text give a node twice
+    return saved(found.mapInArrow(pressed, "node binary, text binary").dropDuplicates(["node"]), "texts")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap enough.
+
+    rows: node, k, text of all documents; nodes: node, k of the document that stands for a node. Members come
+    to their leader a in blocks; a block's task holds the leader's multiset and streams the members.
+    """
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, nodes)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select("a", "block", F.col("b").alias("node"))
     leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
@@ -191,45 +191,92 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of different classes in a bucket that have not met its leader, nor are ruled out by size or mini."""
-    rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_up = rows.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members"), F.min("node").alias("leader"))
-    mixed_up = mixed_up.where("l0 <> l1 AND members > 2").select("bucket", "leader")
-    rows = rows.join(mixed_up, "bucket").join(nodes.select("node", "n", "mini"), "node")
+def _members(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: of each shingle its first, second, ... occurrence."""
+    u, c = bag
+    if not len(c) or c.max() == 1:
+        return u
+    number = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    with np.errstate(over="ignore"):
+        return mixed(np.repeat(u, c) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def spanning(bags: list[np.ndarray], labels: list, ask: list[int], least: float) -> list[tuple[int, int]]:
+    """Links that join classes: of all similar pairs of different classes with a member in ask, enough to join what they join.
+
+    Overlaps of one member with all others come from postings of its occurrences at once.
+    """
+    size = np.array([len(x) for x in bags])
+    owner = np.repeat(np.arange(len(bags)), size)
+    values, place = np.unique(np.concatenate(bags), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    posting, ends = owner[order], np.cumsum(np.bincount(place, minlength=len(values)))
+    starts = np.append(0, ends[:-1])
+    mine = np.split(place, np.cumsum(size)[:-1])
+    root = {x: x for x in labels}
+
+    def top(x):  # noqa: ANN001, ANN202
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in ask:
+        if not size[i]:
+            continue
+        both = np.bincount(np.concatenate([posting[starts[e] : ends[e]] for e in mine[i].tolist()]), minlength=len(bags))
+        for j in np.flatnonzero(both >= least * (size + size[i] - both)).tolist():
+            x, y = top(labels[i]), top(labels[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((i, j))
+    return out
+
+
+def _across(buckets: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Further links (a, b) between classes that share a bucket; enough to join the classes that links join.
+
+    In a bucket, members outside the leader's class meet all members of other classes. Both sides come in
+    blocks of at most PART members; only joining links leave a task, at most one for each member of it.
+    """
+    marked = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    seen = marked.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members"), F.min_by("label", "node").alias("main"))
+    marked = marked.join(seen.where("l0 <> l1 AND members > 2").select("bucket", "main"), "bucket").withColumn("outside", F.col("label") != F.col("main"))
+    sizes = marked.groupBy("bucket").agg(F.ceil(F.count_if("outside") / PART).cast("int").alias("outer"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("outside")) / PART)).cast("int").alias("inner"))
+    marked = marked.join(sizes, "bucket").withColumn("h", F.xxhash64("node"))
+    i, j = F.pmod("h", F.col("outer")).cast("int"), F.pmod("h", F.col("inner")).cast("int")
+    part = lambda x, kind, y: F.struct(x.cast("int").alias("i"), F.lit(kind).alias("kind"), y.cast("int").alias("j"))
+    inside = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda x: part(x, 0, j))
+    outside = F.concat(F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda y: part(i, 0, y)), F.when(F.col("outer") > 1, F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda x: part(F.least(i, x), 1, F.greatest(i, x)))).otherwise(F.array().cast("array<struct<i:int,kind:int,j:int>>")))
+    parts = marked.select("bucket", "node", "label", "outside", F.explode(F.when(F.col("outside"), outside).otherwise(inside)).alias("part")).select("bucket", "part.*", "node", "label", "outside")
+    parts = parts.join(_texts(marked.select("node").distinct(), rows, nodes), "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            leader = held[0][1]
-            node, label = [r[2] for r in held], np.array([hash(r[3]) for r in held])
-            size, mini = np.array([r[4] for r in held], float), np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
-            own = next(l for x, l in zip(node, label) if x == leader)
-            for i in np.flatnonzero(label != own).tolist():
-                if node[i] == leader:
-                    continue
-                # each pair once: with members of the leader's class, and with others further on
-                ask = (label != label[i]) & ((label == own) | (np.arange(len(held)) > i)) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]))
-                ask = np.flatnonzero(ask)
-                ask = ask[(mini[ask] == mini[i]).mean(1) >= MINI_LEAST]
-                found = [node[j] for j in ask.tolist() if node[j] != leader]
-                if found:
-                    a, b = [min(x, node[i]) for x in found], [max(x, node[i]) for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        expand, shingler = zstandard.ZstdDecompressor(), Shingler()
+        at, nodes, labels, ask, bags = None, [], [], [], []
 
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != at and held:
-                    yield from pairs()
-                    held = []
-                at = r[0]
-                held.append(r)
-        if held:
-            yield from pairs()
+        def links() -> pa.RecordBatch:
+            found = spanning(bags, labels, ask, least)
+            a, b = [min(nodes[i], nodes[j]) for i, j in found], [max(nodes[i], nodes[j]) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    rows = rows.repartition(task_shares(buckets), "bucket").sortWithinPartitions("bucket", "node")
-    return rows.select("bucket", "leader", "node", "label", "n", "mini").mapInArrow(work, "a binary, b binary").distinct()
+        for batch in batches:
+            for *key, node, label, outside, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    if nodes:
+                        yield links()
+                    at, nodes, labels, ask, bags = key, [], [], [], []
+                if outside:
+                    ask.append(len(nodes))
+                nodes.append(node)
+                labels.append(label)
+                bags.append(_members(multiset(shingler.hashes(words(expand.decompress(text).decode())))))
+        if nodes:
+            yield links()
+
+    parts = parts.repartition(task_shares(buckets), "bucket", "i", "kind", "j").sortWithinPartitions("bucket", "i", "kind", "j", "node")
+    return parts.select("bucket", "i", "kind", "j", "node", "label", "outside", "text").mapInArrow(work, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +284,7 @@ def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", tex
     small_batches(docs.sparkSession)
     rows = docs.select(order_key(doc_id).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", _node())
     signed = saved(_signed(rows.select("node", "k", "doc_id", "text")), "signed")
-    nodes = saved(signed.groupBy("node").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mini").alias("mini")), "nodes")
+    nodes = saved(signed.groupBy("node").agg(F.min("k").alias("k"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("bucket", "a")
     buckets = saved(buckets.join(shared, "bucket"), "buckets")
@@ -245,10 +292,9 @@ def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", tex
     texts = rows.select("node", "k", "text")
     links = saved(_verified(pairs, texts, nodes, least), "links")
     labels = components(links)
-    more = saved(_across(buckets.select("bucket", "node"), labels, nodes, least), "across")
+    more = saved(_across(buckets.select("bucket", "node"), labels, texts, nodes, least), "across")
     if not more.isEmpty():
-        links = links.unionAll(_verified(more, texts, nodes, least))
-        labels = components(links)
+        labels = components(links.unionAll(more))
     return signed.select("node", "k", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
