@@ -16,8 +16,8 @@ another in ascending document id; a shard's ids before it come from the index co
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,8 +34,8 @@ from lodestar.llm.ordered import order_key, shard_bounds
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 MAGIC = b"S8B1"
 BLOCK_IDS = 16_384
-#: Most entries of a task's table of distinct words: about 90 MB.
-TABLE = 400_000
+#: Most entries of a task's table of distinct words: about 150 MB.
+TABLE = 600_000
 BLOCKS = "shard int, seq int, n_ids long, n_docs long, block binary"
 
 
@@ -57,9 +57,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count, bits = SELECTORS[s]
         if n < count:
             continue
-        wide = np.zeros(n + 1, np.int32)
-        np.cumsum(ids >= np.uint64(1 << bits), out=wide[1:])
-        np.putmask(best[: n - count + 1], wide[count:] == wide[: n - count + 1], np.int8(s))
+        fits = ids < np.uint64(1 << bits)
+        if np.count_nonzero(fits) * 4 < n:  # few: look at those only
+            at_fit = np.flatnonzero(fits)
+            first = at_fit[: max(0, len(at_fit) - count + 1)]
+            best[first[at_fit[count - 1 :] - first == count - 1]] = s
+            continue
+        run = np.zeros(n + 1, np.int32)
+        np.cumsum(fits, out=run[1:])
+        np.putmask(best[: n - count + 1], run[count:] - run[: n - count + 1] == count, np.int8(s))
     counts = np.array([c for c, _ in SELECTORS], np.int64)
     after = (place + counts[best]).tolist()
     starts, i = [], 0
@@ -133,8 +139,18 @@ def from_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, lengths, unpack(words, n, at, np.frombuffer(block, np.uint64, escapes, p))
 
 
-#: A run of such marks that ends a word is a token sequence of its own after a letter or digit.
-_TAIL = re.compile(r"(?<=[^\W_])([.,!?;:%&$*#|]+)(?=[ \n\t\r]|$)")
+#: Marks that after a letter or digit are a token sequence of their own at a word's end.
+TAIL = ".,!?;:%&$*#|"
+#: Encoders of this process, by tokenizer: a worker that runs many tasks learns a word once.
+_encoders: dict[int, WordEncoder] = {}
+
+
+def word_encoder(tokenizer: str) -> WordEncoder:
+    """This process's encoder of a tokenizer; reading one takes as long as encoding megabytes."""
+    known = hash(tokenizer)
+    if known not in _encoders:
+        _encoders[known] = WordEncoder(tokenizer)
+    return _encoders[known]
 
 
 class WordEncoder:
@@ -152,37 +168,84 @@ class WordEncoder:
         ids = lambda x: self.tok.encode(x, add_special_tokens=False).ids
         self.apart = ids("ab cd,%\nab\tcd,%") == 2 * (ids("ab") + ids("cd") + ids(",%"))
         self.lower = ids("AB É") == ids("ab é")
+        self.quick, self.last = self._quick(tokenizers, tokenizer)
         special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
         self.special = [x for _, x in special]
         self.sep_id, self.sep = special[0] if special else (None, "")
 
-    def _learn(self, new: list[str]) -> None:
+    def _quick(self, tokenizers, source: str):  # noqa: ANN001, ANN202
+        """A tokenizer for words of letters that are normal already, and which ids end a word; none if it doesn't fit.
+
+        Such words are single pre-tokens, so neither normalizer nor pattern has anything left to do for them.
+        """
+        j = json.loads(source)
+        parts = (j.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        suffix = j["model"].get("end_of_word_suffix")
+        kinds = [x["type"] for x in (j.get("normalizer") or {}).get("normalizers") or []]
+        if not suffix or [x["type"] for x in parts] != ["Split", "ByteLevel"] or kinds != ["NFC", "Replace", "Lowercase"] or r"[\p{L}]+" not in parts[0]["pattern"].get("Regex", ""):
+            return None, None
+        j |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts[1]]}}
+        last = np.zeros(max(j["model"]["vocab"].values()) + 1, bool)
+        last[[i for x, i in j["model"]["vocab"].items() if x.endswith(suffix)]] = True
+        return tokenizers.Tokenizer.from_str(json.dumps(j)), last
+
+    def _learn(self, new: list[str], normal: bool) -> None:
+        """Adds words to the table: the library sees what stands before a word's last marks, once."""
+        table, letters, others, parts = self.table, set(), set(), []
+        for word in new:
+            if word.isalpha():
+                letters.add(word)
+                continue
+            core = word.rstrip(TAIL)
+            if len(core) < len(word) and core[-1:].isalnum():
+                tail = word[len(core) :]
+                parts.append((word, core, tail))
+                others.add(tail)
+                (letters if core.isalpha() else others).add(core)
+            else:
+                others.add(word)
+        if not normal or self.quick is None:
+            others |= letters
+        else:
+            letters = [x for x in letters if x not in table]
+            for i in range(0, len(letters), 1000):
+                part = letters[i : i + 1000]
+                ids = np.array(self.quick.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                self._put(part, ids, np.flatnonzero(self.last[ids]) + 1, 0)
+        self._ask([x for x in others if x not in table])
+        for word, core, tail in parts:
+            table[word] = table[core] + table[tail]
+
+    def _put(self, part: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        data, start = ids.tobytes(), 0
+        for word, stop in zip(part, (4 * ends).tolist(), strict=True):
+            self.table[word] = data[start:stop]
+            start = stop + 4 * skip
+
+    def _ask(self, new: list[str]) -> None:
         alone = [x for x in new if self.sep_id is None or any(y in x for y in self.special)]
         for word, x in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
             self.table[word] = np.array(x.ids, "<u4").tobytes()
         joined = [x for x in new if x not in set(alone)] if alone else new
-        for i in range(0, len(joined), 2000):
-            part = joined[i : i + 2000]
+        for i in range(0, len(joined), 1000):
+            part = joined[i : i + 1000]
             ids = np.array(self.tok.encode_batch_fast([self.sep.join(part) + self.sep], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.sep_id).tolist()
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(part, ends, strict=True):
-                self.table[word] = data[4 * start : 4 * stop]
-                start = stop + 1
+            self._put(part, ids, np.flatnonzero(ids == self.sep_id), 1)
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian uint32."""
         if not self.apart:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.lower and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and not any(x in text for x in self.special):
+        normal = self.lower and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and not any(x in text for x in self.special)
+        if normal:
             text = text.lower()
-        found = _TAIL.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if new := set(found).difference(self.table):
             if len(self.table) + len(new) > self.limit:
                 self.table.clear()
                 new = set(found)
-            self._learn(list(new))
-        return b"".join([self.table[x] for x in found])
+            self._learn(list(new), normal)
+        return b"".join(map(self.table.__getitem__, found))
 
 
 def write(df: DataFrame, path: str, encode: Callable[[], Callable[[str], bytes]], end_id: int, text: str = "text", doc_id: str = "doc_id") -> None:
