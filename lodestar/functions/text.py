@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,13 +20,21 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+#: Combining marks; translate() drops them because nothing stands for them.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Query parameters that only track a visitor, besides those that begin with utm_.
 TRACKING = ("gclid", "fbclid", "ref")
+_NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: Spellings that the search index treats alike, in the order they apply.
-SME = r"(?U)\b(?:pequenas?\s+e\s+m[eé]dias?\s+(?:empresas|dimens[aã]o)|small\s+and\s+medium\s+(?:enterprises|businesses|companies))\b"
-RESEARCH = r"(?U)\b(?:i|r)\s*(?:&|\+|e)\s*d\b"
-AI = r"(?U)\b(?:artificial intelligence|inteligencia artificial)\b"
+SME = rf"{_NOT_AFTER}(?:pequenas?\s+e\s+m[eé]dias?\s+(?:empresas|dimens[aã]o)|small\s+and\s+medium\s+(?:enterprises|businesses|companies)){_NOT_BEFORE}"
+RESEARCH = rf"[ir](?<![\p{{L}}\p{{N}}_][ir])\s*[&+e]\s*d{_NOT_BEFORE}"
+AI = rf"{_NOT_AFTER}(?:artificial intelligence|inteligencia artificial){_NOT_BEFORE}"
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), 0)
 
 
 def casefold(c: Column) -> Column:
@@ -34,7 +43,7 @@ def casefold(c: Column) -> Column:
 
 def unaccent(c: Column) -> Column:
     """Accents off lower-case Latin letters; combining marks that stand alone go too."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, ACCENTED + MARKS, PLAIN)).otherwise(x))
 
 
 def fold(c: Column) -> Column:
@@ -45,15 +54,27 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
-def search_text(c: Column, fix_case: bool = False) -> Column:
-    """Tokens of the search index, joined by spaces. The SME phrase becomes upper-case PME unless fix_case."""
-    x = F.regexp_replace(casefold(c), SME, " pme " if fix_case else " PME ")
-    x = unaccent(F.regexp_replace(x, RESEARCH, "investigacao desenvolvimento"))
-    return F.array_join(tokens(F.regexp_replace(x, AI, " ai ")), " ")
+def search_form(c: Column, fix_case: bool = False) -> Column:
+    """What the search index takes tokens from. The SME phrase becomes upper-case PME unless fix_case."""
+    # a cheap look for a word that a phrase needs spares most texts the pattern
+    sme = lambda x: F.when(F.contains(x, F.lit("pequena")) | F.contains(x, F.lit("small")), F.regexp_replace(x, SME, " pme " if fix_case else " PME ")).otherwise(x)
+    ai = lambda x: F.when(F.contains(x, F.lit("artificial")), F.regexp_replace(x, AI, " ai ")).otherwise(x)
+    return let(unaccent(F.regexp_replace(let(casefold(c), sme), RESEARCH, "investigacao desenvolvimento")), ai)
 
 
 def search_tokens(c: Column, fix_case: bool = False) -> Column:
-    return tokens(search_text(c, fix_case))
+    return tokens(search_form(c, fix_case))
+
+
+def search_text(c: Column, fix_case: bool = False) -> Column:
+    return F.array_join(search_tokens(c, fix_case), " ")
+
+
+def tokens_among(c: Column, terms: list[str]) -> Column:
+    """Those tokens that are among the terms, repeats and order kept; other tokens are never made."""
+    any_of = "|".join(sorted(terms, key=lambda t: (-len(t), t)))
+    first = "".join(sorted({t[0] for t in terms}))
+    return F.regexp_extract_all(c, F.lit(rf"(?=[{first}]){_NOT_AFTER}(?:{any_of}){_NOT_BEFORE}"), F.lit(0))
 
 
 def key(c: Column) -> Column:

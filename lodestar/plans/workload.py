@@ -23,7 +23,9 @@ _TOKENS = "regexp_extract_all(" + _FOLD + ", '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that has fewer splits than there are cores is dealt over all of them."""
+    table, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in ("documents", "pages") and table.rdd.getNumPartitions() < cores else table
 
 
 def query(sql: str | None = None):
