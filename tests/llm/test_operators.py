@@ -1,0 +1,378 @@
+import base64
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import tokenizers
+from pyspark.sql import functions as F
+
+from lodestar.llm import fingerprints, mixing, mtree, neardup, quality, sentencepieces, simple8b, suffixtree, toxicity, warc
+from lodestar.llm.common import words
+from lodestar.llm.queries import PIECES, WORDS, tokenizer_bytes
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", None, " ", "  ", "a", " a ", "a  b", "a\nb\tc", "x" * 3000, "é É ß 😀 ﬁ①", "▁a ▁", "it's, don't.%% (a)", "<s> <|endoftext|> x", "a\x00b\x1cc", "ΑΣ Σ İ K é", "\r\n 　 \x85y"]
+
+
+def docs(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)], KIND)
+
+
+def prose(n, seed=1, size=60):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    return [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, size))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return ODD + prose(60)
+
+
+def test_sentencepiece(spark, texts):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    out = sentencepieces.encode_decode(docs(spark, texts), tokenizer_bytes(PIECES), outputs=("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"), table=50)
+    for r in out.collect():
+        ids = sp.encode(texts[r.doc_id] or "")
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == sp.decode(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_sentencepiece_empty_table(spark):
+    assert sentencepieces.encode_decode(docs(spark, []), tokenizer_bytes(PIECES)).count() == 0
+
+
+def test_word_ids_and_blocks(spark, texts, tmp_path):
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(WORDS))
+    source = tokenizer_bytes(WORDS).decode()
+    order = list(range(len(texts)))
+    random.Random(2).shuffle(order)
+    df = docs(spark, [texts[i] for i in order], order)
+    simple8b.write(df, str(tmp_path / "ids"), lambda: simple8b.WordEncoder(source, 40).ids, end_id=2)
+    rows, start = sorted(simple8b.read(spark, str(tmp_path / "ids"), with_ids=True).collect()), 0
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.ids, r.start, r.n_tokens, r.ids_crc32) == (ids, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_ids_null_and_repeated(spark, tmp_path):
+    df = docs(spark, ["b", "a", "b", "c"], [None, 1, 1, None])
+    source = tokenizer_bytes(WORDS).decode()
+    simple8b.write(df, str(tmp_path / "ids"), lambda: simple8b.word_encoder(source).ids, end_id=2)
+    rows = simple8b.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [1, 1, None, None] and [r.start for r in rows] == [0, 2, 4, 6]
+    simple8b.write(docs(spark, []), str(tmp_path / "none"), lambda: simple8b.word_encoder(source).ids, end_id=2)
+    assert simple8b.read(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("high", [1, 2, 300, 50_000, 1 << 40, (1 << 64) - 1])
+def test_simple8b_round_trip(high):
+    rng = np.random.default_rng(high % 97)
+    for n in (0, 1, 2, 239, 241, 5000):
+        ids = rng.integers(0, high, n, dtype=np.uint64, endpoint=True)
+        packed, at, values = simple8b.pack(ids)
+        assert (simple8b.unpack(packed, n, at, values) == ids).all()
+        assert simple8b.from_block(simple8b.to_block([5, None], [n, 0], ids))[0] == [5, None]
+    assert len(simple8b.pack(np.zeros(2400, np.uint64))[0]) == 10
+
+
+def test_fingerprints(spark, texts):
+    order = sorted(range(len(texts)), key=lambda i: (i * 7) % len(texts))
+    rows = {r.doc_id: r for r in fingerprints.with_next(docs(spark, [texts[i] for i in order], order)).collect()}
+    assert len(rows) == len(texts)
+    shingler = fingerprints.Shingler()
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        new = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert rows[i].fingerprint == fingerprints.to_text(fingerprints.sketch(shingler.hashes(words(t))))
+        if new == t:
+            assert rows[i].near_edited == 1 and rows[i].edited_fingerprint == rows[i].fingerprint
+        assert 0 <= rows[i].near_next <= 1
+
+
+def test_fingerprints_edge_tables(spark):
+    assert fingerprints.with_next(docs(spark, [])).count() == 0
+    one = fingerprints.with_next(docs(spark, ["a b c d e f g h"])).first()
+    assert one.near_next == 1
+    same = fingerprints.with_next(docs(spark, ["x y z"] * 4, [1, 1, None, 2])).collect()
+    assert len(same) == 4 and len({r.fingerprint for r in same}) == 1
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 64, 12_000, dtype=np.uint64)
+    a, b = pool[:8000], pool[4000:]
+    sa, sb = fingerprints.sketch(a, 512), fingerprints.sketch(b, 512)
+    assert abs(fingerprints.resemblance(sa, sb, 512) - 1 / 3) < 0.08 and abs(fingerprints.containment(sa, sb, 512) - 0.5) < 0.12
+    assert abs(fingerprints.distinct(sa, 512) / 8000 - 1) < 0.2
+    assert (fingerprints.merge(fingerprints.sketch(a[:3000]), fingerprints.sketch(a[3000:])) == fingerprints.sketch(a)).all()
+    assert len(base64.b64decode(fingerprints.to_text(sa))) == 8 * 512
+
+
+def expected_targets(sizes):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        per = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if per * weight[s] > 2 * sizes[s]}
+        if not full:
+            return out | {s: per * weight[s] for s in open_}
+        for s in full:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.randint(1, 4) for _ in range(rng.randint(0, 40))), "en", rng.choice(["a", "b", "é", None, "a", "zz", "C"]), 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, KIND)
+    got = mixing.copies(df).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    goal, taken = expected_targets(sizes), defaultdict(int)
+    assert len(got) == 3000
+    for r in got:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, goal[r.source], rel_tol=1e-9) and 0 <= r.n_copies <= 2 and r.size == len(rows[r.doc_id][1].split())
+        taken[r.source] += r.n_copies * r.size
+    assert all(abs(taken[s] - goal[s]) <= 40 for s in goal)
+    again = mixing.copies(df.repartition(7)).collect()
+    assert {(r.doc_id, r.n_copies) for r in got} == {(r.doc_id, r.n_copies) for r in again}
+    mixed = mixing.mix(df.withColumn("_k0", F.lit(1)).withColumn("key", F.lit("x")))
+    assert mixed.columns == [*df.columns, "_k0", "key"] and mixed.count() == sum(r.n_copies for r in got)
+
+
+def test_mixing_edges(spark):
+    assert mixing.copies(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+    same = mixing.copies(docs(spark, ["a b"] * 5 + [None, ""], [1] * 5 + [None, None])).collect()
+    assert len(same) == 7 and all(r.source_size == 10 and r.target == 15 for r in same) and 14 <= sum(r.n_copies * r.size for r in same) <= 16
+
+
+def test_pivot_keeps_mass_and_means():
+    rng = random.Random(4)
+    sizes, start = [3, 5, 2, 9, 4], [0.2, 0.5, 0.7, 0.4, 0.9]
+    total, mean = sum(s * f for s, f in zip(sizes, start)), np.zeros(5)
+    for _ in range(4000):
+        out, held = mixing.pivot(sizes, start, [rng.random() for _ in sizes])
+        assert math.isclose(sum(s * f for s, f in zip(sizes, out)), total) and sum(0 < f < 1 for f in out) == (held >= 0)
+        mean += out
+    assert np.abs(mean / 4000 - start).max() < 0.04
+
+
+def test_warc(spark, tmp_path):
+    big = "<p>" + "é" * 60
+    pages = spark.createDataFrame([(5, "http://a", big), (3, "http://b\r\nX: y", big), (9, None, "tiny"), (10, "u", "tiny"), (11, "u", None), (None, "u", big), (12, "v", "y" * 100)], "page_id long, url string, html string").withColumn("first", F.lit(0))
+    path = str(tmp_path / "w")
+    warc.write(pages, path)
+    rows = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert len(rows) == 7 and rows[3].record_type == "response" and (rows[5].record_type, rows[5].refers_to) == ("revisit", 3) and rows[None].refers_to == 3
+    assert rows[9].record_type == rows[10].record_type == "response" and rows[11].payload_bytes == 0
+    assert rows[5].payload_bytes == len(big.encode()) and rows[5].payload_digest == hashlib.sha256(big.encode()).hexdigest()
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    raw = {r.page_id: bytes(r.record) for r in warc.records(spark, path).collect()}
+    head, _, body = raw[3].partition(b"\r\n\r\n")
+    size = int(head.split(b"Content-Length: ")[1])
+    assert body[:size].endswith(big.encode()) and body[size:] == b"\r\n\r\n" and b"WARC-Type: revisit" in raw[5]
+    warc.write(pages.limit(0), path)
+    assert warc.read(spark, path).count() == 0
+
+
+def brute_classes(texts):
+    shingler, parent = neardup.Shingler(), list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    bags = [neardup.multiset(shingler.hashes(words(t or ""))) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (texts[i] or "") == (texts[j] or "") or (len(bags[i][0]) and len(bags[j][0]) and neardup.similarity(bags[i], bags[j]) >= 0.8):
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
+
+
+def near_texts():
+    rng, base = random.Random(5), prose(8, 6, 120)
+    out = list(ODD)
+    for t in base:
+        for _ in range(14):
+            w = t.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 18))):
+                w[rng.randrange(len(w))] = "new" + str(rng.random())[2:6]
+            out.append(" ".join(w))
+    return out + ["the same words over and over again " * 9, "the same words over and over again " * 10, "the same words over and over again " * 30] + [base[0]] * 5
+
+
+def test_neardup_matches_brute_force(spark):
+    texts = near_texts()
+    rows = neardup.class_ids(docs(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(brute_classes(texts)))
+    assert all(r.class_size == sum(x.class_id == r.class_id for x in rows) for r in rows)
+
+
+def test_neardup_blocks(spark, monkeypatch):
+    """Members in many blocks give the same classes."""
+    texts = near_texts()
+    monkeypatch.setattr(neardup, "PART", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    assert {r.doc_id: r.class_id for r in neardup.class_ids(docs(spark, texts)).collect()} == dict(enumerate(brute_classes(texts)))
+
+
+def test_keep_one(spark):
+    df = docs(spark, ["a b c d e f"] * 3 + ["other words are here now ok"] + [None, ""], [7, 3, 3, None, None, 9]).withColumn("label", F.lit(1)).withColumn("_node", F.lit(2))
+    out = neardup.keep_one(df)
+    assert out.columns == df.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, 3, 9]
+    assert neardup.class_ids(docs(spark, [])).count() == 0
+
+
+def test_bagminhash_is_unbiased():
+    rng = np.random.default_rng(2)
+    u = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    u.sort()
+    a, b = rng.integers(1, 12, 200), rng.integers(1, 12, 200)
+    sig = neardup.signatures([(u, a), (u[50:], b[50:])], 4000)
+    want = neardup.similarity((u, a), (u[50:], b[50:]))
+    assert abs((sig[0] == sig[1]).mean() - want) < 0.03
+
+
+def test_suffix_tree(spark, texts):
+    ids = [None if i == 3 else i for i in range(len(texts))]
+    rows = suffixtree.score(docs(spark, texts, ids)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tokens = [[*words(t or ""), None] for t in texts]
+    c = Counter(w for i, t in zip(ids, tokens) if not held(i) for w in t)
+    n, v = sum(c.values()), len(c)
+    got = {r.doc_id: r for r in rows}
+    for i, t in zip(ids, tokens):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(t), sum(c[w] > 0 for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9) and r.score < 0
+    assert suffixtree.score(docs(spark, [])).count() == 0
+
+
+def test_suffix_tree_beats_base_on_held_out(spark):
+    rows = suffixtree.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows) and sum(r.score > r.base_score for r in rows) > 0.9 * len(rows)
+
+
+def test_tree_is_a_distribution():
+    data = np.frombuffer(b"".join(suffixtree.sequence(words(t)) for t in prose(200)), np.uint8)
+    rows = []
+    for k in range(suffixtree.DEPTH + 1):
+        codes, n = np.unique(suffixtree.runs(data) & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+        rows.append((codes >> np.uint64(8), (codes & np.uint64(255)).astype(int), n))
+    tree = suffixtree.Tree(rows)
+    assert np.allclose((10.0 ** tree.log.astype(float)).sum(1), 1, atol=1e-4) and len(tree.log) > 1
+
+
+def test_rare_words_meet_their_counts(spark, texts, monkeypatch):
+    whole = {r.doc_id: (r.n_known, round(r.score, 4), round(r.base_score, 4)) for r in suffixtree.score(docs(spark, texts)).collect()}
+    monkeypatch.setattr(suffixtree, "HOT", 3)
+    monkeypatch.setattr(suffixtree.frequent, "__defaults__", (3,))
+    assert whole == {r.doc_id: (r.n_known, round(r.score, 4), round(r.base_score, 4)) for r in suffixtree.score(docs(spark, texts)).collect()}
+
+
+def toxic_corpus():
+    rng, out, labels = random.Random(7), prose(400, 8, 50), []
+    for i in range(400):
+        bad = i % 4 == 0
+        if bad:
+            w = out[i].split()
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), "blarg" + rng.choice(["", "ed", "ing"]))
+            out[i] = " ".join(w)
+        labels.append((i, 1, int(bad)))
+    return out, labels
+
+
+def test_toxicity_held_out(spark):
+    texts, labels = toxic_corpus()
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = docs(spark, [*texts, "you bl4rg!", "", None], [*range(400), 9001, 9002, None]).withColumn("score", F.lit("x"))
+    rows = {r.doc_id: r for r in toxicity.scored(df, known).collect()}
+    held = [r for i, r in rows.items() if i is not None and i < 400 and r.held_out]
+    assert len(held) > 80 and sum(r.predicted == labels[r.doc_id][2] for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows.values()) and rows[9001].score > rows[9002].score
+    kept = toxicity.keep_clean(df, known)
+    assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in rows.values())
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.scored(docs(spark, ["a", None]), none).collect()} == {0.0}
+    ones = spark.createDataFrame([(0, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.scored(docs(spark, ["a", "b"]), ones).collect()} == {0}
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-x))).astype(float)
+    out = toxicity.Isotonic(x, y, np.ones(500))(np.sort(x))
+    assert (np.diff(out) >= 0).all() and abs(out.mean() - y.mean()) < 0.05
+
+
+def test_quality(spark):
+    good = [". ".join(t.capitalize() for t in prose(6, i, 14)) + "." for i in range(150)]
+    junk = [" ".join(w + "$$$" for w in t.split()) for t in good[:12]] + [t.upper() + "!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!" for t in good[12:24]] + [" | ".join(t.split()) for t in good[24:36]] + ["again " * 80]
+    df = docs(spark, good + junk + [None, "", "Short."]).withColumn("votes", F.lit(1))
+    rows = {r.doc_id: r for r in quality.scored(df).collect()}
+    assert len(rows) == df.count() and all(rows[i].keep for i in range(len(good)))
+    assert sum(not rows[len(good) + i].keep for i in range(len(junk))) >= len(junk) - 1
+    assert rows[len(good) + len(junk) + 2].keep
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and kept.count() == sum(r.keep for r in rows.values())
+    assert quality.scored(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(4)
+    n, bad = 20_000, rng.random(20_000) < 0.15
+    v = np.full((n, len(quality.LABELLERS)), 2)
+    for j, name in enumerate(quality.LABELLERS):
+        hit = np.where(bad, rng.random(n) < 0.4, rng.random(n) < (0.0 if name in quality.SHARP else 0.03))
+        v[hit, j] = 1
+        v[rng.random(n) < 0.2, j] = 0
+    patterns, counts = np.unique(v, axis=0, return_counts=True)
+    m = quality.LabelModel(patterns, counts)
+    assert abs(1 - m.prior - bad.mean()) < 0.03 and ((m.posterior(v) < 0.5) == bad).mean() > 0.95 and abs(m.rate[0, 0] - 0.4) < 0.05
+
+
+def brute_top(vectors, every, k):
+    ok = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    return {(q, r + 1, i, s) for q in ok if q % every == 0 for r, (s, i) in enumerate([(-s, i) for s, i in sorted((-score(ok[q], ok[i]), i) for i in ok if i != q)[:k]])}
+
+
+@pytest.mark.parametrize("shard", [40, 4096])
+def test_mtree_matches_brute_force(spark, shard):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
+    vectors += [(600 + i, [0.5] * 8) for i in range(120)] + [(900, None), (950, [1.0, None]), (1000, [float("nan")] * 8), (1050, [float("inf")] * 8), (None, [1.0] * 8), (1100, []), (1150, [0.5] * 3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("v", F.lit(2))
+    got = {tuple(r) for r in mtree.top_k(df, every=10, shard_rows=shard).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute_top(vectors, 10, 5)
+
+
+def test_mtree_edges(spark):
+    kind = "vec_id long, embedding array<float>"
+    assert mtree.top_k(spark.createDataFrame([], kind)).count() == 0
+    assert mtree.top_k(spark.createDataFrame([(50, [1.0])], kind)).count() == 0
+    assert sorted(map(tuple, mtree.top_k(spark.createDataFrame([(50, [1.0]), (50, [1.0]), (3, [0.5])], kind)).select("query_id", "rank", "vec_id", "score").collect())) == [(50, 1, 3, 256 * 128)]
