@@ -192,10 +192,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.drop("good")), "doc_id").select("doc_id", "pattern", "text")
     rows = chosen.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string, x binary").limit(4 * sample).collect()
     rows.sort(key=lambda r: (r.doc_id, r.pattern, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS + 2)
     y = np.array([of[r.pattern] for r in rows])
-    if not len(rows):
-        x = np.zeros((0, DIMENSIONS + 2), np.float32)
     half = (y >= 0.5).mean() if len(y) else 0.5
     weights = np.where(y >= 0.5, share / max(half, 1e-9), (1 - share) / max(1 - half, 1e-9))
     return Model(labels, Scorer(x, y, weights))
