@@ -123,19 +123,20 @@ class Reader:
         kinds = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=10).astype(float)
         size, letters = max(1.0, kinds.sum()), max(1.0, kinds[1] + kinds[2] + kinds[9])
         per = max(1, n)
-        return [np.log1p(n), *counts, *(x / per for x in counts), *top, near, near / per, len(you) / per, float((a[:, 1] >= 2).sum()), float((a[:, 1] >= 2).sum()) / per, kinds[2] / letters, float(a[:, 3].sum()) / per, kinds[6] / size, kinds[7] / size, kinds[5] / size, kinds[8] / size, kinds[3] / size, letters / per]
+        # of features that part the classes alike the first is taken: the strongest word before counts of them
+        return [np.log1p(n), *top, *reversed(counts), *(x / per for x in counts), near, near / per, len(you) / per, float((a[:, 1] >= 2).sum()), float((a[:, 1] >= 2).sum()) / per, kinds[2] / letters, float(a[:, 3].sum()) / per, kinds[6] / size, kinds[7] / size, kinds[5] / size, kinds[8] / size, kinds[3] / size, letters / per]
 
 
 class Trees:
     """Boosted trees of logistic loss on binned features."""
 
-    def __init__(self, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 1.0, least: float = 3.0):
+    def __init__(self, rounds: int = 40, depth: int = 2, rate: float = 0.15, bins: int = 32, ridge: float = 1.0, least: float = 6.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge, self.least = rounds, depth, rate, bins, ridge, least
 
     def fit(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> Trees:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         # a feature that is nearly always 0 is still cut above 0
-        self.cuts = [np.unique(np.append(c, np.quantile(v[v > 0], [0, 0.25, 0.5, 0.75]))) - 1e-12 if (v > 0).any() else c for c, v in zip(self.cuts, x.T)]
+        self.cuts = [np.unique(np.append(c, [v[v > 0].min() / 2, *np.quantile(v[v > 0], [0, 0.25, 0.5, 0.75])])) - 1e-12 if (v > 0).any() else c for c, v in zip(self.cuts, x.T)]
         b, m = self._bins(x), max(len(c) for c in self.cuts) + 1
         p = np.clip(np.average(y, weights=weights), 1e-6, 1 - 1e-6)
         self.base, self.trees = float(np.log(p / (1 - p))), []
