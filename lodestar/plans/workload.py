@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import parse
 from lodestar.functions import text as T
-from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, retrieval, state
+from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, reports, retrieval, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -477,3 +477,154 @@ def stream_events(spark, sf_dir):
     from lodestar.streaming.snapshots import run_events
 
     return run_events(spark, f"{sf_dir}/events.parquet", lambda e: e.select(parse.hash_id("evt-", 24, F.col("user_id"), F.col("event_type")).alias("event_id"), "user_id", "event_type"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18, 2)) AS b FROM orders)
+    SELECT 'opp-' || left(sha256('calls' || chr(0) || k), 24) AS id, p AS title, CASE s WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'unknown' END AS status, CAST(d AS VARCHAR) AS deadline,
+           CAST(b AS DOUBLE) AS budget_total, CASE WHEN o_orderkey % 2 = 0 THEN 'grant' ELSE 'unknown' END AS opportunity_type, CASE WHEN o_orderkey % 3 = 0 THEN [p, 'Norte'] END AS regions,
+           CAST(5 + CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 3 = 0 AS INT) AS INTEGER) AS n_evidence, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_rules FROM o""")
+def n18_normalize(spark, sf_dir):
+    """Orders as source records in JSON; each value must be proven by its span."""
+    from lodestar.sources import evidence
+
+    k = F.col("o_orderkey")
+    record = F.to_json(F.struct(
+        k.cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "d/M/yyyy").alias("deadlineDate"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("budgetTotal"),
+        F.when(F.col("o_orderstatus") == "O", "Open for submission").when(F.col("o_orderstatus") == "F", "31094503").otherwise("?").alias("status"),
+        F.when(k % 2 == 0, "Grants").alias("type"), F.when(k % 3 == 0, F.concat("o_orderpriority", F.lit(" | Norte"))).alias("eligibleRegions"),
+    ))
+    docs = _table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).select(F.lit("calls").alias("source_id"), F.lit("https://x/search-api/").alias("source_url"), F.lit("t").alias("title"), record.alias("text"), F.create_map().cast("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("links"), F.lit("2026-10-06").cast("timestamp").alias("retrieved_at"))
+    n = evidence.normalize(docs)
+    day = F.date_format(F.to_utc_timestamp("deadline", F.current_timezone()), "yyyy-MM-dd")
+    return n.select("id", "title", "status", day.alias("deadline"), F.col("budget_total").cast("double").alias("budget_total"), "opportunity_type", F.col("eligible_regions").alias("regions"), F.size("evidence").alias("n_evidence"), F.size("eligibility_rules").alias("n_rules"))
+
+
+@query("""
+    WITH r AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'missing_stable_id' WHEN c_custkey % 7 = 0 THEN 'missing_supported_title' WHEN c_custkey % 5 = 0 THEN 'unsupported_opportunity_type' WHEN c_custkey % 3 = 0 THEN 'missing_canonical_details_url' END AS reason FROM customer)
+    SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM r GROUP BY ALL""")
+def s13_call_scan(spark, sf_dir):
+    """Customers as rows of API responses, twenty in each."""
+    from lodestar.sources import records
+
+    k = F.col("c_custkey")
+    row = F.struct(F.when(k % 11 != 0, k.cast("string")).alias("id"), F.when(k % 7 != 0, F.col("c_name")).alias("title"), F.when(k % 5 == 0, "7").otherwise("1").alias("type"), F.when(k % 3 != 0, F.struct(F.array(F.concat(F.lit("C"), k.cast("string"))).alias("esST_programmes"), F.when(k % 11 != 0, F.concat(F.lit("C"), k.cast("string"))).alias("callIdentifier"))).alias("metadata"))
+    pages = _table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 20").alias("page")).agg(F.collect_list(row).alias("results"))
+    landed = pages.select(F.concat(F.lit("https://api/"), F.col("page").cast("string")).alias("url"), F.to_json(F.struct("results")).alias("body"), F.lit(None).cast("string").alias("last_modified"))
+    out = records.scan(landed, "eu_funding_tenders", records.calls, 50)
+    return out.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN n IS NOT NULL AND n > 5 THEN 'more_available' WHEN n IS NULL AND o_orderkey % 2 = 0 THEN 'limit_reached_unknown' ELSE 'complete' END AS state FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 10 END AS n FROM orders)""")
+def s11_pagination(spark, sf_dir):
+    from lodestar.sources.records import pagination_state
+
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", pagination_state(F.when(k % 3 != 0, k % 10), F.lit(5), F.when(k % 2 == 0, 5).otherwise(9)).alias("state"))
+
+
+@query("""
+    SELECT CASE WHEN NOT regexp_matches(url, '^https://[^/?#@]+([/?#]|$)') THEN 'not_https' WHEN strlen(coalesce(html, '')) > 20000 THEN 'too_long' WHEN length(url) > 60 THEN 'long_url' ELSE 'valid' END AS verdict, count(*) AS n FROM pages GROUP BY ALL""")
+def v3_constraints(spark, sf_dir):
+    u = F.col("url")
+    rules = [("not_https", ~constraints.https_url(u)), ("too_long", F.octet_length(F.coalesce("html", F.lit(""))) > 20000), ("long_url", ~constraints.required_text(u, 60))]
+    out = constraints.rejected(_table(spark, sf_dir, "pages"), rules)
+    return out.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) FILTER (c_custkey % 4 <> 0) AS available, count(*) FILTER (c_custkey % 4 IN (1, 2)) AS correct, round(count(*) FILTER (c_custkey % 4 IN (1, 2)) / count(*) FILTER (c_custkey % 4 <> 0)::DOUBLE, 6) AS score FROM customer")
+def m1_normalization(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("segment").alias("field"), "c_mktsegment")
+    seen = c.select("id", "field", F.when(F.col("id") % 4 == 0, F.lit("")).when(F.col("id") % 4 == 3, F.lit("x")).otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment"))).alias("value"))
+    return metrics.normalization_score(c.withColumnRenamed("c_mktsegment", "value"), seen).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS available, count(*) FILTER (quality = CAST(n_chars > 300 AS INT)) AS correct, round(count(*) FILTER (quality = CAST(n_chars > 300 AS INT)) / count(*)::DOUBLE, 6) AS score FROM labels JOIN documents USING (doc_id)")
+def m4_agreement(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 300).cast("int").alias("observed"))
+    s = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("expected")).join(d, "doc_id")
+    return metrics.agreement(s).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS citations, count(p_partkey) AS valid, round(count(p_partkey) / count(*)::DOUBLE, 6) AS score FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 25) ON p_partkey = l_partkey")
+def m5_citations(spark, sf_dir):
+    known = _table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("evidence_id"))
+    return metrics.citation_validity(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("evidence_id")), known).withColumn("score", F.round("score", 6))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT o_custkey, o_orderstatus, lower(o_orderpriority) AS v FROM orders), d AS (SELECT DISTINCT o_custkey, o_orderstatus, lower(o_orderpriority) AS v FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT count(*) AS changes, count(*) FILTER (hit) AS detected, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS score FROM (SELECT e.*, EXISTS (SELECT 1 FROM d WHERE d.o_custkey = e.o_custkey AND d.o_orderstatus = e.o_orderstatus AND d.v = e.v) AS hit FROM e)""")
+def m8_change_recall(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("call_id"), F.col("o_orderstatus").alias("field"), F.col("o_orderpriority").alias("new_value"))
+    return metrics.change_recall(o, o.where("o_orderkey % 3 <> 0").withColumn("new_value", F.upper("new_value"))).withColumn("score", F.round("score", 6))
+
+
+@query("""
+    WITH s AS (SELECT quality = 1 AS a, n_chars < 600 AS b FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) FILTER (NOT a) AS no_answer, count(*) FILTER (a) AS ans, count(*) FILTER (b) AS predicted, count(*) FILTER (b AND NOT a) AS tp, count(*) FILTER (b AND a) AS wrong FROM s)
+    SELECT no_answer, predicted, tp AS true_positives, round(tp / predicted::DOUBLE, 6) AS precision, round(tp / no_answer::DOUBLE, 6) AS recall, round((no_answer - tp) / no_answer::DOUBLE, 6) AS miss_rate, round(wrong / ans::DOUBLE, 6) AS answerable_abstention_rate FROM c""")
+def m11_abstention(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") < 600).alias("abstained"))
+    out = metrics.abstention(_table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("answerable")).join(d, "doc_id"))
+    return out.select("no_answer", "predicted", "true_positives", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "miss_rate", "answerable_abstention_rate")])
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 4 = 0) AS exact, count(*) FILTER (o_orderkey % 4 = 1) AS possible, count(*) FILTER (o_orderkey % 4 = 2) AS probable, count(*) FILTER (o_orderkey % 4 IN (1, 2)) AS review, count(*) FILTER (o_orderkey % 5 = 0) AS new_snapshots FROM orders")
+def a1_discovery(spark, sf_dir):
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "possible", "probable", "none"))), (k % 4 + 1).cast("int"))
+    return matching.discovery_counts(_table(spark, sf_dir, "orders").select(kind.alias("kind"), (k % 5 == 0).alias("new_snapshot")))
+
+
+@query("""
+    WITH o AS (SELECT o_orderstatus AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS a, o_orderdate + INTERVAL 10 DAY AS b, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 40 DAY END AS c FROM orders)
+    SELECT source_id, CAST(CAST(min(least(a, b, c)) AS DATE) AS VARCHAR) AS first_date, CAST(CAST(max(greatest(a, b, c)) AS DATE) AS VARCHAR) AS last_date, CAST(CAST(max(c) AS DATE) AS VARCHAR) AS last_update FROM o GROUP BY 1""")
+def a4_date_range(spark, sf_dir):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    later = lambda n: d + F.make_interval(days=F.lit(n))
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("source_id"), F.when(k % 2 == 0, d).alias("publication_date"), later(10).alias("opening_date"), F.lit(None).cast("timestamp_ntz").alias("deadline"), F.when(k % 5 == 0, later(40)).alias("source_updated_at"))
+    out = reports.date_range(o)
+    return out.select("source_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_date", "last_date", "last_update")])
+
+
+@query("SELECT coalesce(CASE WHEN user_id % 4 = 0 THEN NULL ELSE event_type END, 'unknown') AS provenance_status, count(*) AS n FROM events GROUP BY 1")
+def a5_provenance(spark, sf_dir):
+    return reports.provenance_counts(_table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 4 != 0, F.col("event_type")).alias("provenance_status")))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 101 END AS a FROM orders)
+    SELECT o_orderkey, CASE WHEN a >= 70 THEN ['eligibility', 'strategic_fit'] ELSE ['eligibility'] END AS positive, CASE WHEN a < 50 THEN ['strategic_fit'] ELSE CAST([] AS VARCHAR[]) END AS negative FROM o""")
+def e8_strengths(spark, sf_dir):
+    k = F.col("o_orderkey")
+    parts = eligibility.components(F.lit("eligible"), {"strategic_fit": F.when(k % 5 != 0, k % 101)})
+    return _table(spark, sf_dir, "orders").select("o_orderkey", eligibility.strengths(parts).alias("s")).select("o_orderkey", "s.positive", "s.negative")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment, c_name FROM customer")
+def n25_merge(spark, sf_dir):
+    p = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), "c_name")
+    given = p.select("id", F.when(F.col("id") % 3 == 0, F.lit("new")).alias("segment"), F.lit(None).cast("string").alias("c_name"))
+    return state.merge_given(p, given).withColumnRenamed("id", "c_custkey")
+
+
+@query("SELECT count(*) AS dangling, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders ANTI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey % 2 = 0) USING (o_custkey)")
+def j13_dangling(spark, sf_dir):
+    parents = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    out = state.dangling(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, ["o_custkey"])
+    return out.agg(F.count("*").alias("dangling"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT event_id, CASE WHEN event_id = 77 AND event_id % 2 = 1 THEN 'now' WHEN event_id % 2 = 0 THEN 'before' END AS delivered_at FROM events")
+def p7_delivered(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit("before")).alias("delivered_at"))
+    return filters.mark_delivered(filters.mark_delivered(e, 77, F.lit("now")), 78, F.lit("now"))
+
+
+@query("""
+    SELECT e.event_type, c.change_type, count(*) AS n FROM events e, LATERAL (SELECT unnest(CASE WHEN event_type = 'click' THEN ['call_opened', 'important_call_change'] ELSE ['important_call_change'] END) AS change_type) c GROUP BY ALL""")
+def c3_notifications(spark, sf_dir):
+    """Clicks as calls that open."""
+    e = _table(spark, sf_dir, "events").select("event_type", F.explode(changes.notification_types(F.lit("status"), F.when(F.col("event_type") == "click", F.lit('"open"')).otherwise(F.lit('"x"')))).alias("change_type"))
+    return e.groupBy("event_type", "change_type").agg(F.count("*").alias("n"))

@@ -142,6 +142,16 @@ def test_retrieval_recall(spark):
         retrieval.search(rows, "the of", 3).collect()
 
 
+def test_plain_ranker_recall(spark):
+    """Without synonyms and spellings only one of the three queries finds its document."""
+    docs = spark.createDataFrame(list(DOCUMENTS.items()), "doc_id string, text string")
+    queries = spark.createDataFrame([(str(i), q) for i, (q, _) in enumerate(ASKED)], "query_id string, text string")
+    want = spark.createDataFrame([(str(i), d) for i, (_, d) in enumerate(ASKED)], "query_id string, item_id string")
+    got = retrieval.rank_many(docs, queries).withColumnRenamed("doc_id", "item_id")
+    scores = [r.score for r in metrics.recall_at_k(want, got).collect()]
+    assert round(sum(scores) / 3, 4) == 0.3333
+
+
 def test_passages_and_decision(spark):
     assert retrieval.split_passages("# H\n\nfoo\nbar\n\nx") == [(1, 0, 12, "H"), (6, 14, 15, "H")]
     best = spark.createDataFrame([(0, 4.0, 1.0), (1, None, None), (2, 0.1, 0.1)], "q int, score double, coverage double")

@@ -4,8 +4,6 @@ import zipfile
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
-
 from lodestar.sources import corpus, evidence, html, records, registry, xlsx
 
 DETAIL = "https://ec.europa.eu/info/funding-tenders/opportunities/portal/screen/opportunities/topic-details/"
@@ -90,7 +88,8 @@ def test_normalize(spark):
     assert (a.call_id, a.topic_id, a.status, a.opportunity_type, a.trl_min, a.aid_intensity, a.eligible_regions) == ("LIFE-2026-X", "LIFE-2026-X", "open", "grant", 3, None, ["Norte", "Centro"])
     assert [r.profile_field for r in a.eligibility_rules] == ["country", "__unsupported__", "regions"] and a.source_family == "eu"
     assert b.title == "plain" and b.programme is None and b.canonical_url is None
-    spans = evidence.evidence_of(evidence.located(docs).withColumn("record_id", F.lit("r")).withColumn("opportunity_id", F.col("source_id"))).collect()
+    spans = evidence.evidence_of(evidence.located(docs)).collect()
+    assert {s.evidence_id for s in spans if s.source_id == 'eu_funding_tenders'} == set(a.evidence)
     assert spans and all(text[s.start : s.end] == s.excerpt for s in spans if s.source_id == "eu_funding_tenders")
 
 
