@@ -20,3 +20,21 @@ def load(spark: SparkSession, folder: str, most_files: int = MOST_FILES) -> Data
     kept = files.where(~hidden & (F.col("length") <= MOST_BYTES)).orderBy(F.lower("source"), "source").limit(most_files)
     text = F.decode("content", "UTF-8")
     return kept.select("source", text.alias("text"), F.sha2("content", 256).alias("content_hash"))
+
+
+def pdf_text(files: DataFrame) -> DataFrame:
+    """source and text of PDF files (path, content), where the optional reader is installed."""
+    try:
+        import pypdf  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the pypdf package") from e
+
+    @F.udf("string")
+    def read(data):  # noqa: ANN001, ANN202
+        import io
+
+        import pypdf
+
+        return "\n\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
+
+    return files.select(F.col("path").alias("source"), read("content").alias("text"))
