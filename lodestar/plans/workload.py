@@ -170,10 +170,10 @@ def n8_decimal_parse(spark, sf_dir):
 
 
 @query("""
-    SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_type || ' ; ' || p_brand || '||' || chr(10), '[|;' || chr(10) || ']+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM part""")
+    SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_type || ' ; ' || p_brand || '||' || chr(10), '[|;' || chr(10) || ']+'), lambda x: trim(x)), lambda x: x <> ''), '/') AS parts FROM part""")
 def n10_split_list(spark, sf_dir):
     joined = F.concat("p_type", F.lit(" ; "), "p_brand", F.lit("||\n"))
-    return _table(spark, sf_dir, "part").select("p_partkey", parse.strings(joined).alias("parts"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(parse.strings(joined), "/").alias("parts"))
 
 
 @query(f"""
@@ -482,7 +482,7 @@ def stream_events(spark, sf_dir):
 @query("""
     WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18, 2)) AS b FROM orders)
     SELECT 'opp-' || left(sha256('calls' || chr(0) || k), 24) AS id, p AS title, CASE s WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'unknown' END AS status, CAST(d AS VARCHAR) AS deadline,
-           CAST(b AS DOUBLE) AS budget_total, CASE WHEN o_orderkey % 2 = 0 THEN 'grant' ELSE 'unknown' END AS opportunity_type, CASE WHEN o_orderkey % 3 = 0 THEN [p, 'Norte'] END AS regions,
+           CAST(b AS DOUBLE) AS budget_total, CASE WHEN o_orderkey % 2 = 0 THEN 'grant' ELSE 'unknown' END AS opportunity_type, CASE WHEN o_orderkey % 3 = 0 THEN p || '/Norte' END AS regions,
            CAST(5 + CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 3 = 0 AS INT) AS INTEGER) AS n_evidence, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_rules FROM o""")
 def n18_normalize(spark, sf_dir):
     """Orders as source records in JSON; each value must be proven by its span."""
@@ -497,7 +497,7 @@ def n18_normalize(spark, sf_dir):
     docs = _table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).select(F.lit("calls").alias("source_id"), F.lit("https://x/search-api/").alias("source_url"), F.lit("t").alias("title"), record.alias("text"), F.create_map().cast("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("links"), F.lit("2026-10-06").cast("timestamp").alias("retrieved_at"))
     n = evidence.normalize(docs)
     day = F.date_format(F.to_utc_timestamp("deadline", F.current_timezone()), "yyyy-MM-dd")
-    return n.select("id", "title", "status", day.alias("deadline"), F.col("budget_total").cast("double").alias("budget_total"), "opportunity_type", F.col("eligible_regions").alias("regions"), F.size("evidence").alias("n_evidence"), F.size("eligibility_rules").alias("n_rules"))
+    return n.select("id", "title", "status", day.alias("deadline"), F.col("budget_total").cast("double").alias("budget_total"), "opportunity_type", F.array_join("eligible_regions", "/").alias("regions"), F.size("evidence").alias("n_evidence"), F.size("eligibility_rules").alias("n_rules"))
 
 
 @query("""
@@ -595,11 +595,11 @@ def a5_provenance(spark, sf_dir):
 
 @query("""
     WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 101 END AS a FROM orders)
-    SELECT o_orderkey, CASE WHEN a >= 70 THEN ['eligibility', 'strategic_fit'] ELSE ['eligibility'] END AS positive, CASE WHEN a < 50 THEN ['strategic_fit'] ELSE CAST([] AS VARCHAR[]) END AS negative FROM o""")
+    SELECT o_orderkey, CASE WHEN a >= 70 THEN 'eligibility/strategic_fit' ELSE 'eligibility' END AS positive, CASE WHEN a < 50 THEN 'strategic_fit' ELSE '' END AS negative FROM o""")
 def e8_strengths(spark, sf_dir):
     k = F.col("o_orderkey")
     parts = eligibility.components(F.lit("eligible"), {"strategic_fit": F.when(k % 5 != 0, k % 101)})
-    return _table(spark, sf_dir, "orders").select("o_orderkey", eligibility.strengths(parts).alias("s")).select("o_orderkey", "s.positive", "s.negative")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", eligibility.strengths(parts).alias("s")).select("o_orderkey", F.array_join("s.positive", "/").alias("positive"), F.array_join("s.negative", "/").alias("negative"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment, c_name FROM customer")
