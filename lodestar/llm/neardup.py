@@ -240,10 +240,12 @@ def _across(buckets: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataF
     In a bucket, members outside the leader's class meet all members of other classes. Both sides come in
     blocks of at most PART members; only joining links leave a task, at most one for each member of it.
     """
-    marked = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = saved(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
     seen = marked.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members"), F.min_by("label", "node").alias("main"))
-    marked = marked.join(seen.where("l0 <> l1 AND members > 2").select("bucket", "main"), "bucket").withColumn("outside", F.col("label") != F.col("main"))
+    seen = saved(seen.where("l0 <> l1 AND members > 2").select("bucket", "main"), "mixed")
+    marked = marked.join(seen, "bucket").withColumn("outside", F.col("label") != F.col("main"))
     sizes = marked.groupBy("bucket").agg(F.ceil(F.count_if("outside") / PART).cast("int").alias("outer"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("outside")) / PART)).cast("int").alias("inner"))
+    sizes = saved(sizes, "sizes")
     marked = marked.join(sizes, "bucket").withColumn("h", F.xxhash64("node"))
     i, j = F.pmod("h", F.col("outer")).cast("int"), F.pmod("h", F.col("inner")).cast("int")
     part = lambda x, kind, y: F.struct(x.cast("int").alias("i"), F.lit(kind).alias("kind"), y.cast("int").alias("j"))
@@ -286,7 +288,8 @@ def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", tex
     signed = saved(_signed(rows.select("node", "k", "doc_id", "text")), "signed")
     nodes = saved(signed.groupBy("node").agg(F.min("k").alias("k"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("bucket", "a")
+    # written, so that the join below reads two plain exchanges and a hot bucket can be split
+    shared = saved(buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("bucket", "a"), "shared")
     buckets = saved(buckets.join(shared, "bucket"), "buckets")
     pairs = saved(buckets.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "pairs")
     texts = rows.select("node", "k", "text")
@@ -301,7 +304,8 @@ def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", tex
 def class_ids(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (smallest id of the class), class_size (rows) of every row."""
     rows = saved(classes(docs, least), "classes")
-    heads = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # written, so that the join reads two plain exchanges and a class with a third of all rows can be split
+    heads = saved(rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "heads")
     return rows.join(heads, "label").select("doc_id", "class_id", "class_size")
 
 
