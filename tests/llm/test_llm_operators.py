@@ -289,6 +289,36 @@ def test_rare_words_meet_their_counts(spark, texts, monkeypatch):
     assert whole == {r.doc_id: (r.n_known, round(r.score, 4), round(r.base_score, 4)) for r in suffixtree.score(docs(spark, texts)).collect()}
 
 
+def test_tree_keeps_contexts_that_are_a_small_share(spark):
+    """Contexts seen 20 times among 4 million bytes still tell the next byte."""
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learn = [i for i in range(2000) if i not in held]
+    rows = suffixtree.score(docs(spark, ["ab " * 20_000] * 70 + ["zxqkv " * 20] * 2, [*learn[:71], held[0]])).where("held_out").collect()
+    assert len(rows) == 1 and rows[0].score / rows[0].n_tokens > -1.2
+
+
+def test_grown_table_equals_the_tree_in_memory(spark, texts):
+    rows = docs(spark, [t or "" for t in texts]).select("text", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    runs = [suffixtree.runs(np.frombuffer(suffixtree.sequence(words(t or "")), np.uint8)) for i, t in enumerate(texts) if i % 5]
+    levels = []
+    for k in range(suffixtree.DEPTH + 1):
+        codes, n = np.unique(np.concatenate(runs) & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+        levels.append((codes >> np.uint64(8), (codes & np.uint64(255)).astype(int), n))
+    tree = suffixtree.Tree(levels)
+    got = suffixtree.grow(suffixtree._runs(rows)).collect()
+    assert len(got) > len(levels[-1][0])  # also runs of documents that are held out
+    assert all(abs(r.log - tree.log[tree.at(suffixtree.DEPTH, r.run >> 8), r.run & 255]) < 1e-4 for r in got)
+
+
+def test_rare_runs_meet_their_logs(spark, texts, monkeypatch):
+    near = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, r.n_known, r.score, r.base_score) for r in df.collect())
+    whole = near(suffixtree.score(docs(spark, texts)))
+    for most in (0, 40):
+        monkeypatch.setattr(suffixtree, "HOT_RUNS", most)
+        again = near(suffixtree.score(docs(spark, texts)))
+        assert [x[:2] for x in again] == [x[:2] for x in whole] and np.allclose([x[2:] for x in again], [x[2:] for x in whole], rtol=1e-5)
+
+
 def toxic_corpus():
     rng, out, labels = random.Random(7), prose(400, 8, 50), []
     for i in range(400):
