@@ -297,6 +297,14 @@ def test_tree_keeps_contexts_that_are_a_small_share(spark):
     assert len(rows) == 1 and rows[0].score / rows[0].n_tokens > -1.2
 
 
+def test_tree_keeps_contexts_of_all_byte_values(spark):
+    """100 CJK words in a fixed order behind 63 more frequent byte values: each is told by the one before."""
+    rare = " ".join(chr(0x4E00 + 211 * i) for i in range(100))
+    common = " ".join(chr(c) for c in range(33, 127) if not chr(c).isupper())
+    rows = suffixtree.score(docs(spark, [rare + " " + rare] * 20 + [common] * 400)).where("held_out and n_tokens > 150").collect()
+    assert rows and all(r.score / r.n_tokens > -0.6 for r in rows)
+
+
 def test_grown_table_equals_the_tree_in_memory(spark, texts):
     rows = docs(spark, [t or "" for t in texts]).select("text", (F.col("doc_id") % 5 == 0).alias("held_out"))
     runs = [suffixtree.runs(np.frombuffer(suffixtree.sequence(words(t or "")), np.uint8)) for i, t in enumerate(texts) if i % 5]
