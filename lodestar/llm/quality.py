@@ -2,7 +2,8 @@
 
 Heuristic labellers read a text and vote good, bad or not at all. Their votes over all documents are counted
 by pattern; expectation-maximisation over the counts estimates each labeller's accuracy on either class and
-how common the classes are, without any true label. The posterior of a pattern is the weak label of its
+how common the classes are, without any true label; for the labellers in ``SHARP`` a fixed ratio bounds what it
+finds. The posterior of a pattern is the weak label of its
 documents, and these train a linear scorer on hashed features (three-byte runs, and outlines of words), which
 decides.
 
@@ -31,8 +32,9 @@ SAMPLE, DIMENSIONS = 3_000, 1 << 11
 #: Documents with such a score or more are kept.
 LIMIT = 0.5
 LABELLERS = ("marks", "shouting", "tables", "stutter", "repeats", "sentences", "word_length", "variety", "letters", "ends")
-#: Labellers that look for one kind of junk: a bad vote is at least so many times likelier for bad texts.
-SHARP, RATIO = ("marks", "shouting", "tables", "stutter"), 300.0
+#: Labellers that look for one kind of junk: a bad vote is at least so many times likelier for bad texts, which
+#: departs from EM (README has the figures without). They don't vote on texts of fewer words.
+SHARP, RATIO, LEAST_WORDS = ("marks", "shouting", "tables", "stutter"), 300.0, 5
 _CLASS = np.zeros(256, np.intp)  # 0 other, 1 lower, 2 upper, 3 digit, 4 white space, 5 stop, 6 !?, 7 other mark, 8 non-ASCII
 for _i in range(256):
     _c = chr(_i)
@@ -63,11 +65,11 @@ def votes(text: str) -> list[int]:
     long_lines = [x for x in lines if len(x) > 20]
     again = 1 - len(set(long_lines)) / len(long_lines) if len(long_lines) > 2 else None
     sentences = len(_STOPS.findall(text))
-    return [
+    out = [
         _vote(kinds[7] / n, (0, 0.05), (0.3, none)),
         _vote(max(kinds[2] / letters / 0.5, kinds[6] / n / 0.5), (0, 0.3), (1, none)),
         _vote((text.count("|") + text.count("\t")) / n, (0, 0.01), (0.15, none)),
-        0 if n < 5 else _vote(stutter(found), (0, 0.1), (0.4, 1)),
+        _vote(stutter(found), (0, 0.1), (0.4, 1)),
         0 if again is None else _vote(again, (0, 0.1), (0.4, 1)),
         0 if n < 30 else _vote(n / max(0.5, sentences), (3, 45), (80, none)),
         _vote(letters / n, (2.5, 12), (18, none)),
@@ -75,6 +77,7 @@ def votes(text: str) -> list[int]:
         _vote(letters / max(1.0, kinds.sum() - kinds[4]), (0.8, 1), (0, 0.4)),
         0 if len(lines) < 2 else _vote(sum(x.rstrip()[-1] in ".!?\"'…:;)" for x in lines) / len(lines), (0.7, 1), (0, 0.2)),
     ]
+    return [0 if n < LEAST_WORDS and name in SHARP else v for name, v in zip(LABELLERS, out)]
 
 
 class LabelModel:

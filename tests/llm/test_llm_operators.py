@@ -380,6 +380,13 @@ def test_quality(spark):
     assert quality.scored(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
 
 
+def test_short_texts_get_no_vote_of_one_kind_of_junk():
+    at = [quality.LABELLERS.index(x) for x in quality.SHARP]
+    for short in ("OK!!", "C++ & C#", "a | b", "$5 @home"):
+        assert [quality.votes(short)[i] for i in at] == [0] * len(at)
+    assert quality.votes("WE SHOUT THIS OUT LOUD!!!!!")[quality.LABELLERS.index("shouting")] == 1
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(4)
     n, bad = 20_000, rng.random(20_000) < 0.15
