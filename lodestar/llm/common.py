@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text handed to Python at a time; bounds a worker's memory by rows times text length.
 TEXT_ROWS = 1000
@@ -82,6 +83,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def one_text(rows: DataFrame, *more: str) -> DataFrame:
+    """A row for each doc_id with the columns in more: that of its texts whose hash is least. Copies combine before the shuffle."""
+    return rows.groupBy("doc_id", *more).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("doc_id", *more, F.col("least.text").alias("text"))
+
+
 def words(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as UTF-8 bytes, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split()

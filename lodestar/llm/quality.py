@@ -8,8 +8,8 @@ documents, and these train a linear scorer on hashed features (three-byte runs,
 decides.
 
 Patterns are at most 3 ** labellers rows, whatever the input's size; every document is in the counts. The
-scorer is fitted on the driver on at most ``SAMPLE`` documents, the first of each half of the posterior by a
-hash of the id; that is its only bound. Scoring reads every text once, without a shuffle.
+scorer is fitted on the driver on at most ``SAMPLE`` ids of each half of the posterior, the first by a hash of
+the id, each with one text whatever its number of rows; that is its only bound. Scoring reads every text once, without a shuffle.
 
 Defined results: a null text counts as empty; texts without words get no vote, so the posterior is the
 prior's, and their score is that of empty features; repeated rows give equal rows; an empty table gives an
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, set_aside, small_batches
+from lodestar.llm.common import one_text, saved, set_aside, small_batches
 
 SAMPLE, DIMENSIONS = 3_000, 1 << 11
 #: Documents with such a score or more are kept.
@@ -146,13 +146,14 @@ class Scorer:
 
 
 def _voted(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern (a digit for each labeller) of every row."""
+    """doc_id, h (a hash of the text), pattern (a digit for each labeller) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(map(str, votes(x))) for x in batch.column(1).to_pylist()])], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(["".join(map(str, votes(x))) for x in batch.column(1).to_pylist()])], names=["doc_id", "h", "pattern"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, pattern string")
 
 
 def _digits(patterns: list[str]) -> np.ndarray:
@@ -169,7 +170,7 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Label model over the votes on all documents; scorer from at most sample documents of each half."""
+    """Label model over the votes on all documents; scorer from at most sample ids of each half, a text of each."""
     small_batches(docs.sparkSession)
     voted = saved(_voted(docs), "votes")
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers rows
@@ -180,8 +181,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     of = dict(zip((r.pattern for r in counts), q.tolist()))
     share = sum(r.n for r, x in zip(counts, q) if x >= 0.5) / max(1, sum(r.n for r in counts))
     patterns = docs.sparkSession.createDataFrame([(p,) for p in good] or [("",)], "pattern string")
-    marked = voted.where(F.col("doc_id").isNotNull()).join(F.broadcast(patterns.withColumn("good", F.lit(1))), "pattern", "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    marked = marked.groupBy("doc_id").agg(F.min("pattern").alias("pattern"), F.min("good").alias("good"))
+    # of an id with many rows that text counts which one_text() takes
+    marked = voted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("h", "pattern")).alias("least")).select("doc_id", F.col("least.pattern").alias("pattern"))
+    marked = marked.join(F.broadcast(patterns.withColumn("good", F.lit(1))), "pattern", "left").withColumn("good", F.coalesce("good", F.lit(0)))
     ids = None
     for side in (0, 1):
         part = marked.where(F.col("good") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -192,8 +194,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             x = [hashed(t).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "pattern", "x"])
 
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.drop("good")), "doc_id").select("doc_id", "pattern", "text")
-    rows = chosen.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string, x binary").limit(4 * sample).collect()
+    chosen = one_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.drop("good")), "doc_id"), "pattern")
+    rows = chosen.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.pattern, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS + 2)
     y = np.array([of[r.pattern] for r in rows])

@@ -7,8 +7,8 @@ document holds tells nothing. Features of a text: densities of lexicon words by
 how many stand near second-person words, capitals, marks, digits, and words whose weight shows only after
 letters are put back for look-alikes and separators.
 
-The fit runs on the driver over at most ``SAMPLE`` labelled rows of each class, the first by a hash of the
-id; rows of a class weigh so that the classes keep their shares. Scoring reads every text once, without a
+The fit runs on the driver over at most ``SAMPLE`` labelled ids of each class, the first by a hash of the
+id, each with one text whatever its number of rows; rows of a class weigh so that the classes keep their shares. Scoring reads every text once, without a
 shuffle; the model (below 10 MB) goes with the tasks.
 
 Defined results: a null text, an empty one and one without words score the share of toxic labels; with labels of one class only, or
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import set_aside, small_batches
+from lodestar.llm.common import one_text, set_aside, small_batches
 
-#: Most labelled rows of each class in the fit.
+#: Most labelled ids of each class in the fit.
 SAMPLE = 3_000
 STEMS = (3, 4, 5, 6, 7)
 #: How many documents the prior of a word's weight counts as; least weight that is kept.
@@ -254,7 +254,7 @@ def remainder(doc_id: str, m: int) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Model from labelled rows whose remainder by 3 is not 1; at most sample rows of each class."""
+    """Model from labelled rows whose remainder by 3 is not 1; at most sample ids of each class, a text of each."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.max(label).alias("y"))
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.unionAll(part)
     # at most twice the sample's bound of ids: small enough to send to every task
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(4 * sample).toPandas()
+    rows = one_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"), "y").toPandas().sort_values("doc_id")
     return Model(rows.text.tolist(), rows.y.to_numpy(), share)
 
 

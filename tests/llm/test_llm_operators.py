@@ -352,6 +352,15 @@ def test_toxicity_held_out(spark):
     assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in rows.values())
 
 
+def test_toxicity_learns_beside_an_id_of_many_rows(spark):
+    texts, labels = toxic_corpus()
+    hot = next(i for i in range(-1, -9, -1) if zlib.crc32(str(i).encode()) % 3 != 1)
+    known = spark.createDataFrame([*labels, (hot, 1, 1)], "doc_id long, quality int, toxic int")
+    once = toxicity.fit(docs(spark, [*texts, texts[0]], [*range(400), hot]), known, sample=100)
+    many = toxicity.fit(docs(spark, [*texts, *[texts[0]] * 500], [*range(400), *[hot] * 500]), known, sample=100)
+    assert many.trees is not None and many.scores(texts).tolist() == once.scores(texts).tolist()
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.scored(docs(spark, ["a", None]), none).collect()} == {0.0}
@@ -380,6 +389,16 @@ def test_quality(spark):
     assert quality.scored(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
 
 
+def test_quality_learns_beside_an_id_of_many_rows(spark):
+    good = prose(120, 9, 30)
+    junk = [" ".join(w + "$$$" for w in t.split()) for t in prose(40, 10, 30)]
+    many = docs(spark, [*[good[0]] * 500, *good, *junk], [*[0] * 500, *range(1, 161)])
+    w = [quality.fit(many.repartition(n), sample=80).scorer.w for n in (1, 7)]
+    assert (w[0] == w[1]).all()
+    model = quality.fit(many.orderBy("doc_id").coalesce(1), sample=80)
+    assert (model.rows(junk)[2] < 0.5).mean() > 0.9 and (model.rows(good)[2] >= 0.5).mean() > 0.9
+
+
 def test_short_texts_get_no_vote_of_one_kind_of_junk():
     at = [quality.LABELLERS.index(x) for x in quality.SHARP]
     for short in ("OK!!", "C++ & C#", "a | b", "$5 @home"):
