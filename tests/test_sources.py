@@ -113,3 +113,23 @@ def test_corpus(spark, tmp_path):
     (tmp_path / "z.csv").write_text("no")
     rows = corpus.load(spark, str(tmp_path)).collect()
     assert [(r.source, r.text) for r in rows] == [("a/x.md", "# T\n\nBody é")]
+
+
+def test_corpus_raises_beyond_its_bounds(spark, tmp_path, monkeypatch):
+    for name in "abc":
+        (tmp_path / f"{name}.md").write_text("x" * 10)
+    assert corpus.load(spark, str(tmp_path)).count() == 3
+    with pytest.raises(corpus.CorpusError, match="files"):
+        corpus.load(spark, str(tmp_path), most_files=2)
+    for bound, word in (("MOST_BYTES", "bytes"), ("MOST_CHARACTERS", "characters")):
+        with monkeypatch.context() as m:
+            m.setattr(corpus, bound, 9)
+            with pytest.raises(corpus.CorpusError, match=word):
+                corpus.load(spark, str(tmp_path))
+
+
+def test_corpus_reads_pdf_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "b.md").write_text("B")
+    monkeypatch.setattr(corpus, "pdf_text", lambda files: files.selectExpr("path AS source", "'A' AS text"))
+    assert [(r.source, r.text) for r in corpus.load(spark, str(tmp_path)).collect()] == [("a.pdf", "A"), ("b.md", "B")]
