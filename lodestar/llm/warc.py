@@ -68,7 +68,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
     Everything comes from the stored headers and payloads; a payload that isn't what its digest or a
-    record's length says fails the job.
+    record's length says, or that is missing, fails the job.
     """
     headers = spark.read.schema(HEADERS).parquet(f"{path}/headers")
     stored = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
@@ -76,7 +76,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     checked = checked.select("payload_digest", F.when(F.col("same"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("long")).alias("payload_bytes"))
     field = lambda n: F.nullif(F.regexp_extract("header", rf"(?m)^{n}: ([^\r\n]*)", 1), F.lit(""))
     rows = headers.select("page_id", field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), F.try_to_number(F.regexp_extract("header", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long").alias("refers_to"), F.substring(field("WARC-Payload-Digest"), 8, 64).alias("payload_digest"))
-    return rows.join(checked, "payload_digest").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    there = F.coalesce("payload_bytes", F.raise_error(F.lit("a record's payload is missing")).cast("long")).alias("payload_bytes")
+    return rows.join(checked, "payload_digest", "left").select("page_id", "url", there, "payload_digest", "record_type", "refers_to")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -84,5 +85,5 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.schema(HEADERS).parquet(f"{path}/headers")
     stored = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
     head = F.encode("header", "UTF-8")
-    body = F.when(F.contains("header", F.lit("WARC-Type: response")), F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(stored, "payload_digest").select("page_id", F.concat(head, body, F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
+    body = F.when(F.contains("header", F.lit("WARC-Type: response")), F.coalesce("payload", F.raise_error(F.lit("a record's payload is missing")).cast("binary"))).otherwise(F.lit(b""))
+    return headers.join(stored, "payload_digest", "left").select("page_id", F.concat(head, body, F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))

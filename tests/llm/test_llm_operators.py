@@ -190,6 +190,17 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_without_a_payload_fails(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200)], "page_id long, url string, html string"), path)
+    spark.read.parquet(f"{path}/payloads").where("payload_digest <> sha2(repeat('b', 200), 256)").write.parquet(f"{path}/less")
+    (tmp_path / "w" / "payloads").rename(tmp_path / "gone")
+    (tmp_path / "w" / "less").rename(tmp_path / "w" / "payloads")
+    for got in (warc.read(spark, path), warc.records(spark, path)):
+        with pytest.raises(Exception, match="payload is missing"):
+            got.collect()
+
+
 def brute_classes(texts):
     shingler, parent = neardup.Shingler(), list(range(len(texts)))
 
