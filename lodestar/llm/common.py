@@ -6,21 +6,24 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text handed to Python at a time; bounds a worker's memory by rows times text length.
-TEXT_ROWS = 1000
+#: Rows of text, and bytes, that Python works on at a time.
+TEXT_ROWS, TEXT_BYTES = 1_000, 8_000_000
 _made: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). A temporary one only in a local session that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="lodestar-")
@@ -53,6 +56,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes, but at least a row.
+
+    Spark bounds a batch's bytes (64 MB), so whole texts fit a worker's memory without settings of the session.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, min(rows, n * most // max(1, batch.nbytes)))
+        for i in range(0, max(n, 1), step):
+            yield batch.slice(i, step)
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Arrow batches of so many rows from here on, so that whole texts fit a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,15 +9,17 @@ Layout of a block (little-endian): magic ``S8B1``; counts of ids, documents, wor
 document ids int64; a byte for each document, 1 where its id is null; document lengths uint32; padding to
 8 bytes; words uint64; escape positions uint32, padded; escape values uint64.
 
-Blocks are rows of a Parquet table (shard, seq, n_ids, n_docs, block) in the folder that is named, because
+Blocks are rows of a Parquet table (shard, seq, before, n_ids, n_docs, block) in the folder that is named, because
 Spark's writers reach every store that a cluster can use and commit whole files only. Shards follow one
-another in ascending document id; a shard's ids before it come from the index columns alone.
+another in ascending document id; before counts the shard's ids before a block, and the ids before a shard
+are sums of index columns, so that reading is one scan.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import small_batches, task_shares
-from lodestar.llm.ordered import order_key, shard_bounds
+from lodestar.llm.common import pieces, task_shares
+from lodestar.llm.ordered import order_key, shard_bounds, shards_of
 
 #: Fixed values of Simple-8b: values in a word, and bits of each.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -36,7 +38,22 @@ MAGIC = b"S8B1"
 BLOCK_IDS = 16_384
 #: Most entries of a task's table of distinct words: about 150 MB.
 TABLE = 600_000
-BLOCKS = "shard int, seq int, n_ids long, n_docs long, block binary"
+BLOCKS = "shard int, seq int, before long, n_ids long, n_docs long, block binary"
+
+
+#: Bits of each number below 2**16.
+_BITS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
+
+
+def _width(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return _BITS[ids]
+    out = np.zeros(len(ids), np.uint8)
+    for shift in (48, 32, 16, 0):
+        part = _BITS[(ids >> np.uint64(shift)) & np.uint64(0xFFFF)]
+        out = np.where((out == 0) & (part > 0), part + np.uint8(shift), out)
+    return out
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,29 +67,33 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), at.astype(np.uint32), values
-    # the densest selector from each position on: none of so many ids is too wide
+    # the densest selector from each position on: the widest of so many ids fits. Each count is at most twice
+    # the one before, so two windows of that one cover its window
     best = np.full(n, len(SELECTORS) - 1, np.int8)
-    place = np.arange(n)
+    place, widest, size = np.arange(n), _width(ids), 1
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
         if n < count:
-            continue
-        fits = ids < np.uint64(1 << bits)
-        if np.count_nonzero(fits) * 4 < n:  # few: look at those only
-            at_fit = np.flatnonzero(fits)
-            first = at_fit[: max(0, len(at_fit) - count + 1)]
-            best[first[at_fit[count - 1 :] - first == count - 1]] = s
-            continue
-        run = np.zeros(n + 1, np.int32)
-        np.cumsum(fits, out=run[1:])
-        np.putmask(best[: n - count + 1], run[count:] - run[: n - count + 1] == count, np.int8(s))
+            break
+        widest, size = np.maximum(widest[: size - count], widest[count - size :]), count
+        fits = widest <= bits
+        if not fits.any():
+            break  # nor do more ids fit in fewer bits
+        np.putmask(best[: n - count + 1], fits, np.int8(s))
     counts = np.array([c for c, _ in SELECTORS], np.int64)
-    after = (place + counts[best]).tolist()
-    starts, i = [], 0
+    # where the words begin: each is left by its count; 16 at a time, and those between from the shorter leaps
+    after = np.append(np.minimum(place + counts[best], n), n)
+    leaps = [after]
+    for _ in range(4):
+        leaps.append(leaps[-1][leaps[-1]])
+    far, starts, i = leaps.pop().tolist(), [], 0
     while i < n:
         starts.append(i)
-        i = after[i]
+        i = far[i]
     starts = np.array(starts, np.int64)
+    for leap in reversed(leaps):
+        starts = np.stack([starts, leap[starts]], 1).reshape(-1)
+    starts = starts[starts < n]
     chosen = best[starts].astype(np.int64)
     out = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
@@ -141,6 +162,28 @@ def from_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 #: Marks that after a letter or digit are a token sequence of their own at a word's end.
 TAIL = ".,!?;:%&$*#|"
+def _stable(kinds: str) -> str:
+    """A character class of those whose category is one of kinds in an old version of Unicode, which later ones keep."""
+    same = [c for c in map(chr, range(0x10000)) if unicodedata.ucd_3_2_0.category(c)[0] in kinds and unicodedata.category(c)[0] in kinds]
+    cuts = [i for i, c in enumerate(same) if not i or ord(c) != ord(same[i - 1]) + 1] + [len(same)]
+    return "[" + "".join(f"{same[i]}-{same[j - 1]}" for i, j in zip(cuts, cuts[1:])) + "]"
+
+
+#: Letters, and letters or numbers, in every version of Unicode that a library may hold.
+_LETTERS, _LETTER_OR_NUMBER = re.compile(_stable("L") + "+"), re.compile(_stable("LN"))
+
+
+def parts_at_end(core: str) -> bool:
+    """Whether a pattern of letters, numbers and marks parts core from marks after it.
+
+    What the pattern sees is normal and in lower case; there a letter may end in a mark of its own, which
+    would go with those that follow.
+    """
+    if core[-1:].isascii():
+        return core[-1:].isalnum()
+    return _LETTER_OR_NUMBER.fullmatch(unicodedata.normalize("NFC", core)[-1].lower()[-1]) is not None
+
+
 #: Encoders of this process, by tokenizer: a worker that runs many tasks learns a word once.
 _encoders: dict[int, WordEncoder] = {}
 
@@ -191,17 +234,17 @@ class WordEncoder:
 
     def _learn(self, new: list[str], normal: bool) -> None:
         """Adds words to the table: the library sees what stands before a word's last marks, once."""
-        table, letters, others, parts = self.table, set(), set(), []
+        table, letters, others, parts, all_letters = self.table, set(), set(), [], _LETTERS.fullmatch
         for word in new:
-            if word.isalpha():
+            if all_letters(word):
                 letters.add(word)
                 continue
             core = word.rstrip(TAIL)
-            if len(core) < len(word) and core[-1:].isalnum():
+            if len(core) < len(word) and parts_at_end(core):
                 tail = word[len(core) :]
                 parts.append((word, core, tail))
                 others.add(tail)
-                (letters if core.isalpha() else others).add(core)
+                (letters if all_letters(core) else others).add(core)
             else:
                 others.add(word)
         if not normal or self.quick is None:
@@ -236,9 +279,11 @@ class WordEncoder:
         """The text's ids as little-endian uint32."""
         if not self.apart:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        normal = self.lower and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and not any(x in text for x in self.special)
+        low = text.lower()
+        # letters may compose with marks in lower case only; the library composes them before
+        normal = self.lower and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not any(x in text for x in self.special)
         if normal:
-            text = text.lower()
+            text = low
         found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if new := set(found).difference(self.table):
             if len(self.table) + len(new) > self.limit:
@@ -253,41 +298,40 @@ def write(df: DataFrame, path: str, encode: Callable[[], Callable[[str], bytes]]
 
     encode() is called in each task and gives a function from a text to its ids as little-endian uint32.
     A null text counts as empty; null document ids come last; rows that share an id follow one another in
-    the order of their ids' checksums.
+    the order of their ids' checksums, in shards of their own where they are many.
     """
-    spark = df.sparkSession
-    small_batches(spark)
     bounds = np.array(shard_bounds(df, doc_id), np.int64)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), order_key(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encode()
-        for batch in batches:
+        for batch in pieces(batches):
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             rows = [ids_of(x) + end for x in batch.column(2).to_pylist()]
             packed = [_narrow(np.frombuffer(x, "<u4")) for x in rows]
+            crc = np.array([zlib.crc32(x) for x in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, keys, "right") - 1, pa.int32()), batch.column(1), batch.column(0), pa.array([zlib.crc32(x) for x in rows], pa.int64()), pa.array(packed, pa.binary())],
+                [pa.array(shards_of(bounds, keys, crc), pa.int32()), batch.column(1), batch.column(0), pa.array(crc), pa.array(packed, pa.binary())],
                 names=["shard", "k", "doc_id", "crc", "ids"],
             )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seq, docs, parts = None, 0, [], []
+        at, seq, before, docs, parts = None, 0, 0, [], []
 
         def block() -> pa.RecordBatch:
             ids = np.concatenate(parts)
             data = to_block(docs, [len(x) for x in parts], ids)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([data], pa.binary())], names=["shard", "seq", "n_ids", "n_docs", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([data], pa.binary())], names=["shard", "seq", "before", "n_ids", "n_docs", "block"])
 
         size = 0
-        for batch in batches:
+        for batch in pieces(batches):
             for shard, doc, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 if docs and (shard != at or size >= BLOCK_IDS):
                     yield block()
-                    seq, size, docs, parts = seq + 1, 0, [], []
+                    seq, before, size, docs, parts = seq + 1, before + size, 0, [], []
                 if shard != at:
-                    at, seq = shard, 0
+                    at, seq, before = shard, 0, 0
                 docs.append(doc)
                 parts.append(np.frombuffer(data, "<u2" if data[-1] else "<u4", (len(data) - 1) // (2 if data[-1] else 4)))
                 size += len(parts[-1])
@@ -312,16 +356,10 @@ def offsets(spark: SparkSession, path: str) -> dict[int, int]:
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Documents of the files at path: doc_id, start, n_tokens, ids_crc32, and ids if asked for."""
     bases = offsets(spark, path)
-    table = spark.read.schema(BLOCKS).parquet(path)
-    # ids before each block in its shard, from the index columns; a shard has few blocks
-    from pyspark.sql import Window
-
-    before = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_ids")
-    index = table.select("shard", "seq", "n_ids").withColumn("before", before).select("shard", "seq", "before")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for shard, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 docs, lengths, ids = from_block(data)
                 ends = np.cumsum(lengths)
@@ -332,5 +370,4 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     columns, names = [*columns, pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    small_batches(spark)
-    return table.join(index, ["shard", "seq"]).select("shard", "before", "block").mapInArrow(work, schema)
+    return spark.read.schema(BLOCKS).parquet(path).select("shard", "before", "block").mapInArrow(work, schema)
