@@ -2,20 +2,23 @@
 
 An archive is two tables: ``payloads`` holds the bytes of each distinct payload once, under the SHA-256 of
 those bytes; ``headers`` holds each record's exact header block (WARC header and, for responses, the HTTP
-header) with the digest of its payload. Reading checks every stored payload against its digest and length
-once, and joins the headers to what was checked; whole records are the join of both tables.
+header) with the digest of its payload. Reading checks every stored payload against its digest once, joins the
+headers to the lengths of what was checked, and checks each record's length; whole records are the join of
+both tables. Reading moves no payload.
 
 Of records whose equal payloads have ``LEAST`` bytes or more, that with the smallest page id is a response
 and the others are revisits that refer to it; smaller payloads always stay with responses.
 
 Defined results: a null payload counts as empty; rows that share both the smallest id and the payload are
-responses all; a null id is never the smallest, unless all are null, and then all are responses; an empty
-table gives an empty archive; extra columns are ignored.
+responses all; a null id is never the smallest, unless all are null, and then all are responses; ids are whole
+numbers (text that isn't one fails the job); controls, spaces and line separators of an address are written
+percent-encoded, so that no address ends its line; an empty table gives an empty archive; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value of the contract: least bytes of a payload that others may revisit.
@@ -36,6 +39,16 @@ def _rows(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     return rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
 
 
+#: What an address must not hold as it is: controls, white space and line separators.
+UNSAFE = r"[\x00-\x20\x7F-\xA0\u2028\u2029]"
+
+
+def safe(url: Column) -> Column:
+    """The address with its unsafe characters percent-encoded."""
+    encoded = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(UNSAFE), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(url.rlike(UNSAFE), F.array_join(encoded, "")).otherwise(url)
+
+
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes the archive of all pages below path.
 
@@ -52,7 +65,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
-    both = lambda kind, *more: F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "), name("page_id"), F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""), F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit(CRLF), *more)
+    both = lambda kind, *more: F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "), name("page_id"), F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "), safe(F.col("url")), F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit(CRLF), *more)
     response = both("response", F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), (F.octet_length(http) + F.col("n")).cast("string"), F.lit(CRLF * 2), http)
     again = both("revisit", F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), name("first"), F.lit(f"{CRLF}Content-Length: 0{CRLF * 2}"))
     records.select("page_id", "payload_digest", F.when(revisit, again).otherwise(response).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
@@ -64,26 +77,54 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     held.select("payload_digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
+def _parsed(headers: DataFrame) -> DataFrame:
+    """The fields of each header block, from whole lines of its WARC part."""
+    field = lambda n: F.regexp_extract("header", rf"(?d)(?m)^{n}: ([^\r\n]*)", 1)
+    # the first Content-Length is that of the record; what follows the first empty line is the HTTP header
+    inner = F.octet_length("header") - F.octet_length(F.substring_index("header", CRLF * 2, 1)) - 4
+    return headers.select(
+        "header",
+        "page_id",
+        F.nullif(field("WARC-Target-URI"), F.lit("")).alias("url"),
+        field("WARC-Type").alias("record_type"),
+        F.try_to_number(F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1), F.lit("S9999999999999999999")).cast("long").alias("refers_to"),
+        F.regexp_extract(field("WARC-Payload-Digest"), "^sha256:([0-9a-f]{64})$", 1).alias("payload_digest"),
+        field("Content-Length").cast("long").alias("length"),
+        inner.alias("inner"),
+    )
+
+
+def _error(what: str, kind: str) -> Column:
+    return F.raise_error(F.lit(what)).cast(kind)
+
+
+def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Header fields, and payloads with their lengths; a payload that isn't what its digest says fails the job."""
+    stored = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
+    n = F.when(F.sha2("payload", 256) == F.col("payload_digest"), F.octet_length("payload").cast("long")).otherwise(_error("a payload differs from its digest", "long"))
+    return _parsed(spark.read.schema(HEADERS).parquet(f"{path}/headers")), stored.withColumn("payload_bytes", n)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+    """A row for each record: page_id, url (as written), payload_bytes, payload_digest, record_type, refers_to.
 
-    Everything comes from the stored headers and payloads; a payload that isn't what its digest or a
-    record's length says, or that is missing, fails the job.
+    Everything comes from the stored headers and payloads; a payload that isn't what its digest says, that is
+    missing, or that doesn't fill its record's length fails the job.
     """
-    headers = spark.read.schema(HEADERS).parquet(f"{path}/headers")
-    stored = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
-    checked = stored.select(F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), (F.sha2("payload", 256) == F.col("payload_digest")).alias("same"))
-    checked = checked.select("payload_digest", F.when(F.col("same"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("long")).alias("payload_bytes"))
-    field = lambda n: F.nullif(F.regexp_extract("header", rf"(?m)^{n}: ([^\r\n]*)", 1), F.lit(""))
-    rows = headers.select("page_id", field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), F.try_to_number(F.regexp_extract("header", r"WARC-Refers-To: <urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long").alias("refers_to"), F.substring(field("WARC-Payload-Digest"), 8, 64).alias("payload_digest"))
-    there = F.coalesce("payload_bytes", F.raise_error(F.lit("a record's payload is missing")).cast("long")).alias("payload_bytes")
-    return rows.join(checked, "payload_digest", "left").select("page_id", "url", there, "payload_digest", "record_type", "refers_to")
+    rows, stored = _tables(spark, path)
+    # the column whose value is checked is the one that is asked for, so no check can be pruned
+    there = F.coalesce("payload_bytes", _error("a record's payload is missing", "long"))
+    want = F.when(F.col("record_type") == "response", F.col("inner") + there).otherwise(F.col("inner"))
+    whole = F.when(F.col("length") == want, there).otherwise(_error("a record's length differs from its parts", "long"))
+    lengths = stored.select(F.col("payload_digest"), "payload_bytes")
+    return rows.join(lengths, "payload_digest", "left").select("page_id", "url", whole.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """page_id and record: the exact bytes of each WARC record, from the join of both tables."""
-    headers = spark.read.schema(HEADERS).parquet(f"{path}/headers")
-    stored = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
-    head = F.encode("header", "UTF-8")
-    body = F.when(F.contains("header", F.lit("WARC-Type: response")), F.coalesce("payload", F.raise_error(F.lit("a record's payload is missing")).cast("binary"))).otherwise(F.lit(b""))
-    return headers.join(stored, "payload_digest", "left").select("page_id", F.concat(head, body, F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
+    rows, stored = _tables(spark, path)
+    there = F.when(F.col("payload_bytes").isNotNull(), F.col("payload")).otherwise(_error("a record's payload is missing", "binary"))
+    body = F.when(F.col("record_type") == "response", there).otherwise(F.lit(b""))
+    record = F.concat(F.encode("header", "UTF-8"), body, F.encode(F.lit(CRLF * 2), "UTF-8"))
+    whole = F.octet_length("header") - F.col("inner") + F.col("length") + 4 == F.octet_length(record)
+    return rows.join(stored, "payload_digest", "left").select("page_id", F.when(whole, record).otherwise(_error("a record's length differs from its parts", "binary")).alias("record"))
