@@ -25,6 +25,8 @@ from lodestar.llm.common import saved, set_aside, task_shares
 
 #: Documents of a leaf of the tree on average, and leaves that combine on the next level.
 LEAF, FAN = 2_000, 256
+#: Copies of a row that one task makes.
+AT_ONCE = 1_000
 #: Fixed values of the contract: weights of the sources in order, share of all words, most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
@@ -131,17 +133,26 @@ def _level(df: DataFrame, level: int, seed: int) -> DataFrame:
     return dealt.select("key", "source", "size", "h", "p", "leaves", "leaf").mapInPandas(work, "key string, source string, size long, h long, p double, leaves long, open boolean")
 
 
-def copies(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def _key(doc_id: str, *more: str | Column) -> Column:
+    """One text for rows that agree in these columns: the id, and 96 bits for all others."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(*more)), F.hex(F.hash(*more)))
+
+
+def copies(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, key: str | None = None) -> DataFrame:
     """_key, doc_id, source, size, source_size, target, n_copies: how often the mix takes each row.
 
-    Rows with the same id, source and text are told apart by their number among them, so each is drawn by
-    itself. A null text has 0 words; words-less documents are drawn like others and take nothing. Null ids
+    Rows with the same id, source and text (or the same value of the column key) are told apart by their number
+    among them, so each is drawn by itself. A null text has 0 words; words-less documents are drawn like others and take nothing. Null ids
     and a null source are values like others. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(text)).alias("h0"), F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.col(source), F.col(text)))).alias("k0"))
-    same = F.row_number().over(Window.partitionBy("k0").orderBy("size"))
-    rows = rows.withColumn("same", same)
-    rows = rows.select("doc_id", "source", "size", F.concat_ws("#", "k0", "same").alias("key"), F.xxhash64("h0", "same").alias("h"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(text)).alias("h0"), (_key(doc_id, source, text) if key is None else F.col(key)).alias("k0"), F.spark_partition_id().alias("part"))
+    # equal rows are numbered: those of a part of the table by themselves, after those of the parts before it, so a
+    # key with a third of all rows is never in one task and has the same numbers however the table is cut
+    rows = saved(rows, "mix-read")
+    parts = rows.groupBy("k0", "part").agg(F.count("*").alias("c"))
+    parts = parts.select("k0", "part", (F.sum("c").over(Window.partitionBy("k0").orderBy("part")) - F.col("c")).alias("before"))
+    rows = rows.join(parts, ["k0", "part"]).withColumn("same", F.col("before") + F.row_number().over(Window.partitionBy("k0", "part").orderBy("size")))
+    rows = rows.select("doc_id", "source", "size", "k0", F.concat_ws("#", "k0", "same").alias("key"), F.xxhash64("h0", "same").alias("h"))
     rows = saved(rows, "mix-rows")
     sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sizes")
     goal = targets(sizes.drop("n"), weights, share, most).withColumnRenamed("source", "s").drop("source_size")
@@ -159,15 +170,28 @@ def copies(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: str = "
             break
         state = state.where("open").drop("open").withColumn("leaves", F.ceil(F.col("leaves") / FAN))
         most_leaves, level = -(-most_leaves // FAN), level + 1
-    out = rows.select("key", "doc_id", "source", "size", "source_size", "target", "whole").join(decided, "key")
-    return out.select(F.col("key").alias("_key"), "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p")).cast("int").alias("n_copies"))
+    out = rows.select("key", "k0", "doc_id", "source", "size", "source_size", "target", "whole").join(decided, "key")
+    return out.select(F.col("k0").alias("_key"), "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p")).cast("int").alias("n_copies"))
 
 
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it; same columns."""
+    """docs with every row as often as the mix takes it; same columns.
+
+    Rows that agree in all columns are one, with the sum of their copies, before texts move; more than ``AT_ONCE``
+    copies of one are made by several tasks.
+    """
     docs, restored = set_aside(docs, "doc_id", "text", "source")
-    k0 = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("source", "text")))
-    taken = copies(docs, seed, **how).select(F.split("_key", "#").alias("k"), "n_copies")
-    taken = taken.groupBy(F.col("k")[0].alias("_k0")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("k")[1].cast("int").alias("same"), "n_copies"))).alias("_n"))
-    rows = docs.withColumn("_k0", k0).join(taken, "_k0").withColumn("_same", F.row_number().over(Window.partitionBy("_k0").orderBy(F.lit(0))))
-    return restored(rows.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.element_at("_n", F.col("_same"))))))
+    plain = lambda f: F.to_json(F.struct(f.name)) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col(f.name)
+    docs = docs.withColumn("_k0", _key("doc_id", *(plain(f) for f in docs.schema.fields if f.name != "doc_id")))
+    taken = copies(docs, seed, key="_k0", **how).groupBy(F.col("_key").alias("_k0")).agg(F.sum("n_copies").alias("_n"), F.count("*").alias("_rows"))
+    taken = saved(taken, "mix-taken")
+    most, rows = taken.agg(F.max("_n"), F.max("_rows")).first()
+    if (rows or 0) > 1:
+        names = docs.columns
+        docs = docs.groupBy("_k0").agg(F.first(F.struct(*[x for x in names if x != "_k0"])).alias("r")).select("_k0", "r.*")
+    out = docs.join(taken.where("_n > 0").select("_k0", "_n"), "_k0")
+    if (most or 0) > AT_ONCE:
+        chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / AT_ONCE))).alias("_chunk")
+        out = out.select("*", chunk).withColumn("_n", F.least(F.lit(AT_ONCE), F.col("_n") - F.col("_chunk") * AT_ONCE))
+        out = out.repartition(task_shares(docs), "_k0", "_chunk")
+    return restored(out.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))))
