@@ -7,8 +7,9 @@ document holds tells nothing. Features of a text: densities of lexicon words by
 how many stand near second-person words, capitals, marks, digits, and words whose weight shows only after
 letters are put back for look-alikes and separators.
 
-The fit runs on the driver over at most ``SAMPLE`` labelled ids of each class, the first by a hash of the
-id, each with one text whatever its number of rows; rows of a class weigh so that the classes keep their shares. Scoring reads every text once, without a
+The fit takes at most ``SAMPLE`` labelled ids of each class, the first by a hash of the id, each with one text
+whatever its number of rows; rows of a class weigh so that the classes keep their shares. Their texts stay in
+tasks: the driver gets the lexicon's counts and a row of features for each. Scoring reads every text once, without a
 shuffle; the model (below 10 MB) goes with the tasks.
 
 Defined results: a null text, an empty one and one without words score the share of toxic labels; with labels of one class only, or
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import one_text, set_aside, small_batches
+from lodestar.llm.common import one_text, pieces, saved, set_aside, task_shares
 
 #: Most labelled ids of each class in the fit.
 SAMPLE = 3_000
@@ -42,7 +43,9 @@ TABLE = 250_000
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer eure tu te toi ton ta tes vous votre vos tú ti contigo tus usted ustedes vosotros vuestro".split())
 #: Characters that stand in for letters.
 ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
-LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0)
+#: Weights from which words count in a density. Below odds of 7 to 1 words that a few toxic texts share by chance
+#: would count too, and be taken for a sign where labels are few.
+LEVELS = (2.0, 2.5, 3.0, 4.0, 5.0)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[^\W\d_]")
 _CLASS = np.zeros(256, np.intp)  # 0 other, 1 lower, 2 upper, 3 digit, 4 white space, 5 stop, 6 !, 7 ?, 8 other mark, 9 non-ASCII
@@ -210,30 +213,46 @@ class Isotonic:
         return np.clip(np.interp(margins, self.x, self.y), 0.0, 1.0)
 
 
+def items_of(text: str) -> set[str]:
+    return {i for t in set(text.split()) for i in items(plain(t))}
+
+
+class Lexicon:
+    """Weights of items from how many toxic and clean training documents hold each.
+
+    counts: item -> (toxic, clean), of items that two or more toxic documents hold; n: training documents of
+    either class; share: that of toxic labels before documents were chosen.
+    """
+
+    def __init__(self, counts: dict[str, tuple[int, int]], n: tuple[int, int], share: float):
+        # counts as if the classes had their true shares
+        self.share, self.up = share, (share * sum(n) / n[0], (1 - share) * sum(n) / n[1])
+        self.counts = {i: c for i, c in counts.items() if c[0] >= 2 and self._weight(*c) >= LEAST}
+        self.weights = {i: self._weight(*c) for i, c in self.counts.items()}
+        self.reader = Reader(self.weights)
+
+    def _weight(self, toxic: float, clean: float) -> float:
+        return weight(toxic * self.up[0], clean * self.up[1], self.share)
+
+    def without(self, text: str, label: int) -> list[float]:
+        """Features of a training document under weights that lack its own part."""
+        own = {i: max(0.0, self._weight(c[0] - label, c[1] - (1 - label))) for i in items_of(text) if (c := self.counts.get(i))}
+        return self.reader.features(text, own)
+
+
+def fold(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) % 5
+
+
 class Model:
-    def __init__(self, texts: list[str], y: np.ndarray, share: float):
-        """share: that of toxic labels before rows were chosen."""
+    """Trees and their calibration from the features of training documents; without a lexicon every score is the share."""
+
+    def __init__(self, share: float, lexicon: Lexicon | None = None, x: np.ndarray | None = None, y: np.ndarray | None = None, folds: np.ndarray | None = None):
         self.share, self.trees = share, None
-        y = np.asarray(y, float)
-        if not 0 < y.sum() < len(y):
+        if lexicon is None:
             return
-        of_text = lambda x: {i for t in set(x.split()) for i in items(plain(t))}
-        toxic, clean = Counter(), Counter()
-        for x, label in zip(texts, y):
-            if label:
-                toxic.update(of_text(x))
-        toxic = Counter({i: n for i, n in toxic.items() if n >= 2})  # others can't be in the lexicon
-        for x, label in zip(texts, y):
-            if not label:
-                clean.update(i for i in of_text(x) if i in toxic)
-        weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        # counts as if the classes had their true shares
-        up_t, up_c = share / y.mean(), (1 - share) / (1 - y.mean())
-        of = lambda i, t=0, c=0: weight((toxic[i] - t) * up_t, (clean[i] - c) * up_c, share)
-        lexicon = {i: w for i in toxic if (w := of(i)) >= LEAST}
-        self.reader = Reader(lexicon)
-        x = np.array([self.reader.features(t, {i: max(0.0, of(i, label, 1 - label)) for i in of_text(t) if i in lexicon}) for t, label in zip(texts, y)])
-        folds = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 5 for t in texts])
+        self.reader, y = lexicon.reader, np.asarray(y, float)
+        weights = np.where(y == 1, *lexicon.up)
         margins = np.zeros(len(y))
         for k in range(5):
             train, test = folds != k, folds == k
@@ -262,19 +281,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.unionAll(part)
-    # at most twice the sample's bound of ids: small enough to send to every task
-    rows = one_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"), "y").toPandas().sort_values("doc_id")
-    return Model(rows.text.tolist(), rows.y.to_numpy(), share)
+    # at most twice the sample's bound of ids: small enough to send to every task; their texts stay in tasks
+    rows = one_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"), "y")
+    rows = saved(rows.withColumn("y", F.col("y").cast("int")).repartition(task_shares(docs)), "labelled")
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Model(share)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            seen = Counter(), Counter()
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                seen[1 - y].update(items_of(text))
+            found = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([seen[0][i] for i in found], pa.int64()), pa.array([seen[1][i] for i in found], pa.int64())], names=["item", "toxic", "clean"])
+
+    rows = rows.select("doc_id", "text", "y")
+    counts = rows.mapInArrow(counted, "item string, toxic long, clean long").groupBy("item").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t > 1")
+    # only what can have a weight leaves the tasks: odds that with the prior's part are above all by e ** LEAST / 2
+    up = share * sum(n.values()) / n[1], (1 - share) * sum(n.values()) / n[0]
+    counts = counts.where((F.col("t") * up[0] + PRIOR * share) * (1 - share) >= (F.col("c") * up[1] + PRIOR * (1 - share)) * share * float(np.exp(LEAST)) * 0.99)
+    lexicon = Lexicon({r.item: (r.t, r.c) for r in counts.collect()}, (n[1], n[0]), share)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts, y = batch.column(1).to_pylist(), batch.column(2)
+            x = [lexicon.without(t, label) for t, label in zip(texts, y.to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), y, pa.array([fold(t) for t in texts], pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
+
+    found = rows.mapInArrow(described, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, fold int, x array<double>").collect()
+    found.sort(key=lambda r: (r.doc_id, r.y, r.fold, r.x))
+    return Model(share, lexicon, np.array([r.x for r in found]), np.array([r.y for r in found]), np.array([r.fold for r in found]))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep and score, for every row."""
-    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["score double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(model.scores(batch.column(len(keep)).to_pylist()), pa.float64())], names=[*keep, "score"])
 
     return source.mapInArrow(work, schema)
