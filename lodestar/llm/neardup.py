@@ -9,8 +9,8 @@ Jaccard similarity. ``BANDS`` bands of ``ROWS`` components make candidates; over
 
 Links form classes. In a bucket, every member is compared with its smallest one, never all pairs. Where that
 leaves a bucket with members of different classes, its members outside the leader's class meet all those of
-other classes, in blocks, and a task passes on as many links as it takes to join the classes; so members of a
-bucket that a link connects always share a class. Equal texts are one node throughout. A group with a third of all rows spreads: copies combine
+other classes, in blocks bounded by members and by shingles, and a task passes on as many links as it takes to
+join the classes; so members of a bucket that a link connects always share a class. Equal texts are one node throughout. A group with a third of all rows spreads: copies combine
 before the shuffle, joins by bucket may be split, and a leader's members are compared in blocks.
 
 Defined results: a null text counts as empty; texts without words are near copies only of equal texts; rows
@@ -28,14 +28,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, set_aside, small_batches, task_shares, words
+from lodestar.llm.common import pieces, saved, set_aside, task_shares, words
 from lodestar.llm.fingerprints import Shingler, mixed
 from lodestar.llm.ordered import order_key
 
 BANDS, ROWS, SIMILAR = 26, 5, 0.8
-#: Members that meet a leader in one task; members of either side of a bucket that meet in one task; words
-#: whose signatures are made at once.
-BLOCK, PART, WORDS_AT_ONCE = 2_000, 4_000, 400_000
+#: Members that meet a leader in one task; members of either side of a bucket that meet in one task, and
+#: their shingles; words whose signatures are made at once.
+BLOCK, PART, PART_WORDS, WORDS_AT_ONCE = 2_000, 2_000, 2_000_000, 400_000
 
 
 def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +103,12 @@ def _node() -> Column:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """node, k, doc_id, bands of every row."""
+    """node, k, doc_id, size (shingles, repeats counted), bands of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
-            bands = []
+        for batch in pieces(batches):
+            bands, sizes = [], []
 
             def sign(bags: list) -> None:
                 sig = signatures(bags)
@@ -116,15 +116,17 @@ def _signed(rows: DataFrame) -> DataFrame:
 
             bags, size = [], 0
             for text in batch.column(3).to_pylist():
-                bags.append(multiset(shingler.hashes(words(text))))
+                found = shingler.hashes(words(text))
+                bags.append(multiset(found))
+                sizes.append(len(found))
                 size += len(bags[-1][0])
                 if size >= WORDS_AT_ONCE:
                     sign(bags)
                     bags, size = [], 0
             sign(bags)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bands, pa.list_(pa.int64()))], names=["node", "k", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "k", "doc_id", "size", "bands"])
 
-    return rows.mapInArrow(work, "node binary, k long, doc_id long, bands array<long>")
+    return rows.mapInArrow(work, "node binary, k long, doc_id long, size long, bands array<long>")
 
 
 def _texts(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def _texts(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(x.encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "text"])
 
     # rows that share id and text give a node twice
@@ -147,14 +149,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float)
     to their leader a in blocks; a block's task holds the leader's multiset and streams the members.
     """
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, nodes)
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select("a", "block", F.col("b").alias("node"))
+    sizes = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leaders")
+    # only leaders with several blocks are looked up, so that pairs needn't meet on a hot leader; Spark broadcasts
+    # them where they are few, by their size
+    members = pairs.join(sizes.where("blocks > 1"), "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int")).select("a", "block", F.col("b").alias("node"))
     leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
     both = leaders.withColumn("kind", F.lit(0)).unionByName(members.withColumn("kind", F.lit(1))).join(texts, "node")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, shingler, at, leader = zstandard.ZstdDecompressor(), Shingler(), None, None
-        for batch in batches:
+        for batch in pieces(batches):
             a, b = [], []
             for first, kind, node, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 bag = multiset(shingler.hashes(words(expand.decompress(text).decode())))
@@ -238,13 +242,14 @@ def _across(buckets: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataF
     """Further links (a, b) between classes that share a bucket; enough to join the classes that links join.
 
     In a bucket, members outside the leader's class meet all members of other classes. Both sides come in
-    blocks of at most PART members; only joining links leave a task, at most one for each member of it.
+    blocks of about PART members or PART_WORDS shingles; only joining links leave a task, at most one for each member of it.
     """
     marked = saved(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
     seen = marked.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members"), F.min_by("label", "node").alias("main"))
     seen = saved(seen.where("l0 <> l1 AND members > 2").select("bucket", "main"), "mixed")
     marked = marked.join(seen, "bucket").withColumn("outside", F.col("label") != F.col("main"))
-    sizes = marked.groupBy("bucket").agg(F.ceil(F.count_if("outside") / PART).cast("int").alias("outer"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("outside")) / PART)).cast("int").alias("inner"))
+    parts_of = lambda side: F.greatest(F.ceil(F.count_if(side) / PART), F.ceil(F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)) / PART_WORDS)).cast("int")
+    sizes = marked.groupBy("bucket").agg(parts_of(F.col("outside")).alias("outer"), F.greatest(F.lit(1), parts_of(~F.col("outside"))).alias("inner"))
     sizes = saved(sizes, "sizes")
     marked = marked.join(sizes, "bucket").withColumn("h", F.xxhash64("node"))
     i, j = F.pmod("h", F.col("outer")).cast("int"), F.pmod("h", F.col("inner")).cast("int")
@@ -263,7 +268,7 @@ def _across(buckets: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataF
             a, b = [min(nodes[i], nodes[j]) for i, j in found], [max(nodes[i], nodes[j]) for i, j in found]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for *key, node, label, outside, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
                     if nodes:
@@ -283,11 +288,10 @@ def _across(buckets: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataF
 
 def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """node, k, doc_id, label of every row: label is one for all rows of a class of near copies."""
-    small_batches(docs.sparkSession)
     rows = docs.select(order_key(doc_id).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", _node())
     signed = saved(_signed(rows.select("node", "k", "doc_id", "text")), "signed")
-    nodes = saved(signed.groupBy("node").agg(F.min("k").alias("k"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = saved(signed.groupBy("node").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    buckets = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     # written, so that the join below reads two plain exchanges and a hot bucket can be split
     shared = saved(buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("bucket", "a"), "shared")
     buckets = saved(buckets.join(shared, "bucket"), "buckets")
@@ -295,7 +299,7 @@ def classes(docs: DataFrame, least: float = SIMILAR, doc_id: str = "doc_id", tex
     texts = rows.select("node", "k", "text")
     links = saved(_verified(pairs, texts, nodes, least), "links")
     labels = components(links)
-    more = saved(_across(buckets.select("bucket", "node"), labels, texts, nodes, least), "across")
+    more = saved(_across(buckets.select("bucket", "node", "size"), labels, texts, nodes, least), "across")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     return signed.select("node", "k", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
