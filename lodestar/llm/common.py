@@ -68,11 +68,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS, most: int =
             yield batch.slice(i, step)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Arrow batches of so many rows from here on, so that whole texts fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with all columns but the needed ones under names of our own, and what gives the columns back.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import one_text, saved, set_aside, small_batches
+from lodestar.llm.common import one_text, pieces, saved, set_aside
 
 SAMPLE, DIMENSIONS = 3_000, 1 << 11
 #: Documents with such a score or more are kept.
@@ -149,7 +149,7 @@ def _voted(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash of the text), pattern (a digit for each labeller) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(["".join(map(str, votes(x))) for x in batch.column(1).to_pylist()])], names=["doc_id", "h", "pattern"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -171,7 +171,6 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Label model over the votes on all documents; scorer from at most sample ids of each half, a text of each."""
-    small_batches(docs.sparkSession)
     voted = saved(_voted(docs), "votes")
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers rows
     counts.sort()
@@ -190,7 +189,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         ids = part if ids is None else ids.unionAll(part)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = [hashed(t).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "pattern", "x"])
 
@@ -206,12 +205,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, then votes, posterior and score for every row."""
-    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["votes string, posterior double, score double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             patterns, q, s = model.rows(batch.column(len(keep)).to_pylist())

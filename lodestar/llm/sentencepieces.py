@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import small_batches
+from lodestar.llm.common import pieces
 
 #: Most entries of a task's table of distinct marked words: about 100 MB.
 TABLE = 200_000
@@ -85,7 +85,6 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[s
     decoded_sha256. The columns in keep come first, as they are.
     """
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
-    small_batches(df.sparkSession)
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + [f"{x} {kinds[x][0]}" for x in outputs])
 
@@ -98,7 +97,7 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", keep: tuple[s
             "ids_sha256": lambda n, ids, out: hashlib.sha256(ids.encode()).hexdigest(),
             "decoded_sha256": lambda n, ids, out: hashlib.sha256(out.encode()).hexdigest(),
         }
-        for batch in batches:
+        for batch in pieces(batches):
             found: list[list] = [[] for _ in outputs]
             for row in codec.run(batch.column(len(keep)).to_pylist()):
                 for column, name in zip(found, outputs):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, small_batches, words
+from lodestar.llm.common import pieces, saved, words
 from lodestar.llm.toxicity import remainder
 
 DEPTH, LEAST, DIVERGENCE = 5, 4, 0.01
@@ -126,7 +126,7 @@ def _counted(train: DataFrame) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(words(text))
             seen[END] += batch.num_rows
@@ -154,7 +154,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             texts.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n * int(learn), pa.int64()), pa.array(n, pa.int64())], names=["run", "n", "c"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[out].append(sequence(words(text)))
                 size += len(held[out][-1])
@@ -218,7 +218,6 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
     Learned from the rows whose crc32 of the id as text modulo modulus is not held.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (remainder(doc_id, modulus) == held).alias("held_out"))
     train = rows.where(~F.col("held_out")).select("text")
     vocabulary = saved(_counted(train), "words")
@@ -236,7 +235,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, doc_id: str = "doc_i
         lookup, counts = hot.value
         key = TaskContext.get().partitionId() << 36
         get = counts.get
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[] for _ in range(10)]
             for text in batch.column(1).to_pylist():
                 found = words(text)

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import urllib.parse
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, mtree, neardup, quality, sentencepieces, simple8b, suffixtree, toxicity, warc
+from lodestar.llm import fingerprints, mixing, mtree, neardup, ordered, quality, sentencepieces, simple8b, suffixtree, toxicity, warc
 from lodestar.llm.common import words
 from lodestar.llm.queries import PIECES, WORDS, tokenizer_bytes
 
@@ -64,6 +65,54 @@ def test_word_ids_and_blocks(spark, texts, tmp_path):
         start += len(ids)
 
 
+#: Characters that the normaliser turns into a letter and a mark, or that are marks.
+HARD = ["\u0130", *map(chr, range(0x958, 0x960)), *map(chr, range(0x9DC, 0x9E0)), *map(chr, range(0xFB1D, 0xFB4F)), *map(chr, range(0x300, 0x310)), "\u093c", "\u09bc", "\u05c1", "\u2160", "\u2460", "\u00bd", "\u212a", "\u1e9e", "\u03a3", "\u00a0", "\u2028", "\ua7c0", "\U00016e40"]
+
+
+def test_word_ids_of_hard_strings():
+    """50,000 strings of letters, marks, combining marks and white space have the library's ids."""
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(WORDS))
+    encoder, rng = simple8b.WordEncoder(tokenizer_bytes(WORDS).decode(), 5_000), random.Random(3)
+    pool = HARD * 2 + list("abcXYZ019éßИक") * 6 + list(simple8b.TAIL) * 6 + list("'-@(\"<") + [" "] * 25 + ["\n", "'s", "<|endoftext|>"]
+    texts = ["\u0130.", "ক\u09df.", "\u0958.", "\ufb2a,", "হ\u09df, না"] + ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(50_000)]
+    want = tok.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want) if np.frombuffer(encoder.ids(t), "<u4").tolist() != w.ids]
+    assert not wrong, wrong[:5]
+
+
+def test_an_id_with_many_rows_has_many_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered.shard_bounds, "__defaults__", (4,))
+    texts = [f"w{i} b c d e f g" for i in range(60)] + ["same"] * 20 + ["z y"] * 7
+    ids = [5] * 60 + [5] * 20 + [1, 2, 3, 7, 8, 9, None]
+    tok, source = tokenizers.Tokenizer.from_file(public_tokenizers.path(WORDS)), tokenizer_bytes(WORDS).decode()
+    df = docs(spark, texts, ids).repartition(3)
+    simple8b.write(df, str(tmp_path / "ids"), lambda: simple8b.word_encoder(source).ids, end_id=2)
+    assert spark.read.parquet(str(tmp_path / "ids")).select("shard").distinct().count() > 8
+    rows = sorted(simple8b.read(spark, str(tmp_path / "ids"), with_ids=True).collect(), key=lambda r: r.start)
+    key = lambda t: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    want = sorted(((1 << 63) if i is None else i, key(t)) for i, t in zip(ids, texts))
+    assert [((1 << 63) if r.doc_id is None else r.doc_id, r.ids_crc32) for r in rows] == want
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+    # neighbours of fingerprints in the same table
+    order = sorted(zip(ids, texts), key=lambda r: ((1 << 63) if r[0] is None else r[0], hashlib.sha256(r[1].encode()).digest()))
+    edits = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        edits[i, hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.with_next(df).collect()) == edits
+
+
+def test_a_long_text(spark, tmp_path):
+    """A text of 1.4 MB, longer than a block, next to an empty one."""
+    long = " ".join(f"w{i % 7919}x{i % 13}" for i in range(200_000))
+    tok, source = tokenizers.Tokenizer.from_file(public_tokenizers.path(WORDS)), tokenizer_bytes(WORDS).decode()
+    df = docs(spark, [long, "", "a b"])
+    simple8b.write(df, str(tmp_path / "ids"), lambda: simple8b.word_encoder(source).ids, end_id=2)
+    rows = sorted(simple8b.read(spark, str(tmp_path / "ids"), with_ids=True).collect())
+    assert rows[0].ids == [*tok.encode(long, add_special_tokens=False).ids, 2] and [r.start for r in rows[1:]] == [rows[0].n_tokens, rows[0].n_tokens + 1]
+    assert [r.n_chars for r in sorted(fingerprints.with_next(df).collect())] == [len(long), 0, 3]
+    assert sentencepieces.encode_decode(df, tokenizer_bytes(PIECES)).where("doc_id = 0").first().n_tokens == len(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES)).encode(long))
+
+
 def test_ids_null_and_repeated(spark, tmp_path):
     df = docs(spark, ["b", "a", "b", "c"], [None, 1, 1, None])
     source = tokenizer_bytes(WORDS).decode()
@@ -100,6 +149,20 @@ def test_fingerprints(spark, texts):
         assert 0 <= rows[i].near_next <= 1
 
 
+def test_fingerprints_of_small_texts_are_exact(spark):
+    """Below K shingles on both sides a likeness is the share of shared shingles, here from plain sets of words."""
+    texts = prose(60, 11, 50) + ["a b c", "a b c d", "", None, "a b c"]
+    part = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} - {()}
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else float(not a and not b)
+    rows = {r.doc_id: r for r in fingerprints.with_next(docs(spark, texts).withColumn("k", F.lit(1)).withColumn("shard", F.lit("x"))).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        mine, new = part(t), part(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        assert max(len(mine | new), len(mine | part(after))) <= fingerprints.K
+        assert math.isclose(rows[i].near_edited, like(mine, new)) and math.isclose(rows[i].near_next, like(mine, part(after)))
+        assert rows[i].n_shingles == len(mine) and math.isclose(rows[i].in_edited, len(mine & new) / len(mine) if mine else 1, abs_tol=1e-9)
+
+
 def test_fingerprints_edge_tables(spark):
     assert fingerprints.with_next(docs(spark, [])).count() == 0
     one = fingerprints.with_next(docs(spark, ["a b c d e f g h"])).first()
@@ -108,6 +171,20 @@ def test_fingerprints_edge_tables(spark):
     assert len(same) == 4 and len({r.fingerprint for r in same}) == 1
 
 
+def test_merged_sketches(spark):
+    """Merged over parts, a key's sketch is that of the union of its texts' shingles, by plain sets."""
+    texts = prose(40, 3) + ["", None, "one two"]
+    df = spark.createDataFrame([(["a", "a", "b", None][i % 4], t) for i, t in enumerate(texts)] + [("e", None)], "k string, text string").repartition(5)
+    rows = {r.k: r for r in fingerprints.sketches(df, "k").collect()}
+    shingler, sets = fingerprints.Shingler(), defaultdict(set)
+    for r in df.collect():
+        sets[r.k] |= set(shingler.hashes(words(r.text or "")).tolist())
+    assert set(rows) == {"a", "b", None, "e"} and rows["e"].n_shingles == 0
+    for name, found in sets.items():
+        assert fingerprints.from_text(rows[name].sketch).tolist() == sorted(found)[: fingerprints.K]
+        assert abs(rows[name].n_shingles - len(found)) <= 0.3 * len(found)
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 64, 12_000, dtype=np.uint64)
@@ -161,6 +238,21 @@ def test_mixing_edges(spark):
     assert len(same) == 7 and all(r.source_size == 10 and r.target == 15 for r in same) and 14 <= sum(r.n_copies * r.size for r in same) <= 16
 
 
+def test_mixing_of_equal_rows(spark, monkeypatch):
+    """A row that is a third of the table, in any cut of it: as many copies, made in parts; other rows keep theirs."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 7)
+    rows = [(i, "a b c", "en", "s", 5) for i in range(40)] + [(7, "x y", "en", "s", 3)] * 30 + [(8, "x y", "en", "s", n) for n in (1, 2)]
+    df = spark.createDataFrame(rows, KIND).withColumn("m", F.create_map(F.lit("a"), F.col("n_chars")))
+    per = mixing.copies(df).groupBy("doc_id", "size").agg(F.sum("n_copies").alias("n"), F.count("*").alias("rows"))
+    want = {(r.doc_id, r.size): (r.n, r.rows) for r in per.collect()}
+    for cut in (1, 5):
+        out = Counter((r.doc_id, r.text) for r in mixing.mix(df.repartition(cut)).collect())
+        assert want[7, 2][1] == 30 and 30 <= out[7, "x y"] <= 60 and set(out) <= {(r[0], r[1]) for r in rows}
+        assert abs(sum(len(t.split()) * n for (_, t), n in out.items()) - 1.5 * (120 + 60 + 4)) <= 3
+    first, second = (Counter(map(str, mixing.mix(df.repartition(cut)).collect())) for cut in (2, 9))
+    assert first == second
+
+
 def test_pivot_keeps_mass_and_means():
     rng = random.Random(4)
     sizes, start = [3, 5, 2, 9, 4], [0.2, 0.5, 0.7, 0.4, 0.9]
@@ -190,6 +282,37 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_of_hostile_addresses(spark, tmp_path):
+    """An address that looks like header lines is one address; nothing is lost, and records part where they say."""
+    same = "y" * 150
+    urls = ["http://a/WARC-Refers-To: <urn:page:99>", "http://a/\u2028WARC-Payload-Digest: sha256:" + "0" * 64, "http://a/WARC-Type: response", "http://a/\r\nWARC-Type: metadata\r\n\r\n", "http://a/\u0085Content-Length: 7", "http://a/\U0001f600é%20", "", None]
+    pages = [(i, u, f"page {i}" if i % 2 else same) for i, u in enumerate(urls)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    rows = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert len(rows) == len(urls)
+    for i, u, html in pages:
+        r = rows[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 0) if i % 2 == 0 and i else ("response", None))
+        assert r.url is None if not u else urllib.parse.unquote(r.url) == urllib.parse.unquote(u)
+    for r in warc.records(spark, str(tmp_path / "w")).collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+        assert fields["WARC-Type"] == rows[r.page_id].record_type
+
+
+def test_warc_of_a_wrong_length_fails(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame([(1, "u", "a" * 200)], "page_id long, url string, html string"), path)
+    spark.read.parquet(f"{path}/headers").withColumn("header", F.regexp_replace("header", "Content-Length: 2(\\d\\d)", "Content-Length: 9$1")).write.parquet(f"{path}/other")
+    (tmp_path / "w" / "headers").rename(tmp_path / "gone")
+    (tmp_path / "w" / "other").rename(tmp_path / "w" / "headers")
+    for got in (warc.read(spark, path), warc.records(spark, path)):
+        with pytest.raises(Exception, match="length differs"):
+            got.collect()
+
+
 def test_warc_without_a_payload_fails(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write(spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200)], "page_id long, url string, html string"), path)
@@ -293,6 +416,47 @@ def test_tree_is_a_distribution():
     assert np.allclose((10.0 ** tree.log.astype(float)).sum(1), 1, atol=1e-4) and len(tree.log) > 1
 
 
+def test_score_matches_a_plain_walk_of_the_tree(spark, texts):
+    """Every token by hand: known ones by their share and the bytes the tree gives, unknown ones by the share of single words."""
+    texts = texts + prose(40, 21)
+    rows = suffixtree.score(docs(spark, texts).withColumn("held_out", F.lit("x")).withColumn("key", F.lit(1))).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    learn = [words(t or "") for i, t in enumerate(texts) if not held(i)]
+    known = Counter(w for t in learn for w in [*t, b"\n"])
+    total, single = sum(known.values()), sum(n == 1 for n in known.values())
+    new = (single + 1) / (total + 2)
+    follows = [defaultdict(Counter) for _ in range(suffixtree.DEPTH + 1)]  # by length of context
+    data = lambda t: b"\n" * suffixtree.DEPTH + b"".join(w + b" " for w in t) + b"\n"
+    for t in map(data, learn):
+        for i in range(suffixtree.DEPTH, len(t)):
+            for k in range(suffixtree.DEPTH + 1):
+                follows[k][t[i - k : i]][t[i]] += 1
+    cache = {}
+
+    def spread(context):
+        """Distribution of the byte after a context."""
+        if context not in cache:
+            shorter = spread(context[1:]) if context else np.full(256, 1 / 256)
+            n = np.zeros(256)
+            for byte, c in follows[len(context)].get(context, {}).items():
+                n[byte] = c
+            some, kinds = n > 0, max(1, (n > 0).sum())
+            far = (n[some] / n.sum() * np.log(n[some] / n.sum() / shorter[some])).sum() if n.sum() else 0
+            state = not context or (n.sum() >= suffixtree.LEAST and far >= suffixtree.DIVERGENCE)
+            cache[context] = (n + kinds * shorter) / (n.sum() + kinds) if state else shorter
+        return cache[context]
+
+    for r in rows:
+        t, at, want = words(texts[r.doc_id] or ""), suffixtree.DEPTH, 0.0
+        for w in [*t, None]:
+            spelt = b"\n" if w is None else w + b" "
+            logs = sum(math.log10(spread(data(t)[i - suffixtree.DEPTH : i])[data(t)[i]]) for i in range(at, at + len(spelt)))
+            at += len(spelt)
+            c = known[b"\n" if w is None else w]
+            want += math.log10((1 - new) * ((1 - suffixtree.TREE) * c / total + suffixtree.TREE * 10**logs)) if c else math.log10(new)
+        assert math.isclose(r.score, want, rel_tol=2e-5, abs_tol=2e-4), (r.doc_id, r.score, want)
+
+
 def test_rare_words_meet_their_counts(spark, texts, monkeypatch):
     whole = {r.doc_id: (r.n_known, round(r.score, 4), round(r.base_score, 4)) for r in suffixtree.score(docs(spark, texts)).collect()}
     monkeypatch.setattr(suffixtree, "HOT", 3)
@@ -446,6 +610,29 @@ def test_mtree_matches_brute_force(spark, shard):
     assert got == brute_top(vectors, 10, 5)
 
 
+def test_mtree_ids_with_several_vectors(spark):
+    """An id's score is the best of its vectors'; it is one candidate, in any shard."""
+    rng = np.random.default_rng(8)
+    vectors = [(int(i), rng.normal(size=6).astype(np.float32).tolist()) for i in rng.integers(0, 60, 400)] + [(7, [1.0] * 6)] * 3
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    quantised, best = [(i, np.floor(256 * np.array(v, float))) for i, v in vectors], defaultdict(dict)
+    for q, x in quantised:
+        for c, y in quantised:
+            if q % 10 == 0 and c != q:
+                best[q][c] = max(best[q].get(c, -(10**12)), int(x @ y))
+    want = {(q, n + 1, c, s) for q, found in best.items() for n, (c, s) in enumerate(sorted(found.items(), key=lambda r: (-r[1], r[0]))[:5])}
+    for shard in (20, 1000):
+        assert {tuple(r) for r in mtree.top_k(df, every=10, shard_rows=shard).collect()} == want
+
+
+def test_mtree_of_one_large_group(spark):
+    """Half of all vectors lie close together; the pivot's second pivots part them, and trees go where they are asked for."""
+    rng = np.random.default_rng(9)
+    vectors = [(i, (rng.normal(size=6) * (0.01 if i % 2 else 1) + (5 if i % 2 else 0)).astype(np.float32).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in mtree.top_k(df, every=10, shard_rows=40).collect()} == brute_top(vectors, 10, 5)
+
+
 def test_mtree_edges(spark):
     kind = "vec_id long, embedding array<float>"
     assert mtree.top_k(spark.createDataFrame([], kind)).count() == 0

@@ -55,3 +55,22 @@ def test_every_query_gives_all_rows(spark):
 def test_digests_are_of_whole_texts(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").join(queries.op1_sentencepiece(spark, DATA), "doc_id").collect()
     assert all(r.decoded_sha256 == hashlib.sha256(r.text.replace("▁", " ").encode()).hexdigest() for r in rows) and np.median([r.n_tokens for r in rows]) > 50
+
+
+def test_stages_take_nulls_empty_tables_and_any_columns(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, _node int, key string, label int"
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    texts = [f"word{i} goes on here and there for a while {i * 7} ok." for i in range(40)]
+    rows = [(i, t, "en", "s", 1, "x", i, "k", 2) for i, t in enumerate(texts)] + [(None, None, None, None, None, None, None, None, None), (3, texts[3], "en", "s", 1, "x", 3, "k", 2), (90, "", "en", None, 0, None, 1, "k", 2), (91, "long " * 60_000, "en", "s", 1, "x", 1, "k", 2)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if name == "sentencepiece":
+                assert len(got) == docs.count() and out.columns[:3] == ["doc_id", "lang", "source"]
+            else:
+                assert out.schema == docs.schema and set(map(tuple, got)) <= set(map(tuple, table))
+                docs = spark.createDataFrame(got, kind)
+            assert bool(got) == bool(table)
