@@ -1,7 +1,9 @@
 """The corpus pipeline: documents pass five stages, each written and read again by whoever runs them.
 
 Stages but the last return the columns of documents; the last returns each remaining row's ids. Each takes
-(spark, docs, sf_dir), and works on all rows its predecessor kept.
+(spark, docs, sf_dir), and works on all rows its predecessor kept. A null text counts as an empty one; repeated
+rows stay until near-dedup keeps one of each class; an empty table passes through; other columns stay as they
+are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and digests of ids and decoded text of every row."""
-    return sentencepieces.encode_decode(docs, tokenizer_bytes(PIECES), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    """doc_id, lang and source where there are such columns, n_tokens, ids, and digests of ids and decoded text of every row."""
+    keep = tuple(x for x in ("doc_id", "lang", "source") if x in docs.columns)
+    return sentencepieces.encode_decode(docs, tokenizer_bytes(PIECES), keep=keep, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [("toxicity", not_toxic), ("quality", good), ("neardup", one_of_each), ("mixing", mixed), ("sentencepiece", encoded)]
