@@ -28,16 +28,13 @@ def source_check(scanned: DataFrame) -> dict[str, DataFrame]:
 def discover(documents: DataFrame, known: DataFrame, at: Column) -> dict[str, DataFrame]:
     """Normalises new documents, matches them with known canonical records and among themselves, and merges them.
 
-    A batch sees the known table as it was before; of records that share an id in the batch the last retrieved
-    counts. Within the batch records arrive in the order of their ids.
+    A record sees the known table as it was before, and the canonical ones of its batch that came before it, as
+    exact, probable and possible matches; of records that share an id in the batch the last retrieved counts.
+    Within the batch records arrive in the order of their ids.
     """
     new = state.keep_latest(evidence.normalize(documents), ["id"], [F.desc("source_retrieved_at")])
-    results = matching.find_duplicates(new, known.where(F.col("duplicate_of").isNull()))
-    exact = results.where(F.col("kind") == "exact").select(F.col("candidate").alias("id"), F.col("canonical_id").alias("_known"))
-    fresh = matching.prepared(new.join(exact, "id", "left_anti"))
-    edges = matching.strong_pairs(fresh, fresh).where("existing < candidate").select(F.col("existing").alias("a"), F.col("candidate").alias("b"))
-    inner = matching.incremental(edges, fresh.select("id")).withColumnRenamed("canonical_id", "_batch")
-    marked = new.join(exact, "id", "left").join(inner, "id", "left").withColumn("duplicate_of", F.coalesce("_known", "_batch")).drop("_known", "_batch").select(*new.columns)
+    results = matching.discover_duplicates(new, known.where(F.col("duplicate_of").isNull()))
+    marked = new.join(results.select(F.col("candidate").alias("id"), "canonical_id"), "id").withColumn("duplicate_of", F.col("canonical_id")).select(*new.columns)
     out = state.save_opportunities(known.select(*new.columns), marked, at)
     return out | {"matches": results, "counts": matching.discovery_counts(results.withColumn("new_snapshot", F.lit(False)).unionByName(out["snapshots"].select(F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("canonical_id"), F.lit(None).cast("array<string>").alias("matched_by"), F.lit(True).alias("new_snapshot"))))}
 

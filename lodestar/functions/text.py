@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """Lower-case letters U+00C0..U+024F that decompose to one ASCII letter, and those letters."""
-    pairs = []
-    for i in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
-        if chr(i).islower() and len(base) == 1 and base.isascii() and base.isalpha():
-            pairs.append((chr(i), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _mapping(form: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
+    """What a form of single characters changes: those that become one, what they become, and those that become more.
 
+    Characters that become none come last among the first; translate() drops what nothing stands for. Hangul
+    syllables are left out: their letters follow from their number.
+    """
+    changed = {c: form(c) for c in map(chr, range(0x80, 0x30000)) if not "\uac00" <= c <= "\ud7a3" and not "\ud800" <= c <= "\udfff"}
+    one = {c: x for c, x in changed.items() if len(x) == 1 and x != c}
+    none = [c for c, x in changed.items() if not x]
+    return "".join([*one, *none]), "".join(one.values()), {c: x for c, x in changed.items() if len(x) > 1}
 
-ACCENTED, PLAIN = _accents()
-#: Combining marks; translate() drops them because nothing stands for them.
-MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+def _without_marks(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+
+def _class(characters: Iterable[str]) -> str:
+    """A pattern of any of the characters, as ranges."""
+    codes = sorted(map(ord, characters))
+    cuts = [i for i, c in enumerate(codes) if not i or c != codes[i - 1] + 1] + [len(codes)]
+    return "[" + "".join(rf"\x{{{codes[i]:x}}}-\x{{{codes[j - 1]:x}}}" for i, j in zip(cuts, cuts[1:])) + "]"
+
+
+#: Of casefold() after lower(); of compatibility decomposition without combining marks.
+_CASES, _PLAIN = _mapping(lambda c: c.lower().casefold() if c.lower() == c else c), _mapping(_without_marks)
+#: Fixed values of Unicode: the letters of Hangul syllables, in the order of their numbers.
+_LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Query parameters that only track a visitor, besides those that begin with utm_.
 TRACKING = ("gclid", "fbclid", "ref")
@@ -37,13 +51,34 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), lambda x: f(x)), 0)
 
 
+def _syllable(c: Column) -> Column:
+    """Letters of a Hangul syllable."""
+    n = F.ascii(c) - 0xAC00
+    letter = lambda letters, i: F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
+    tail = F.when(n % 28 > 0, letter(_TAILS, n % 28 - 1)).otherwise("")
+    return F.concat(letter(_LEADS, F.floor(n / 588)), letter(_VOWELS, F.floor(n % 588 / 28)), tail)
+
+
+def _mapped(x: Column, mapping: tuple[str, str, dict[str, str]], hangul: bool = False) -> Column:
+    """x in a mapping's form. Characters that become several are replaced one kind after another; most texts have none."""
+    source, target, several = mapping
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{y}" for c, y in several.items())), F.lit("\x01"), F.lit("\x02"))
+    pattern = _class([*several, *(map(chr, range(0xAC00, 0xD7A4)) if hangul else ())])
+    put = lambda c: F.when(c.between("\uac00", "\ud7a3"), _syllable(c)).otherwise(F.element_at(table, c)) if hangul else F.element_at(table, c)
+    found = lambda y: F.array_distinct(F.regexp_extract_all(y, F.lit(pattern), F.lit(0)))
+    longer = lambda y: F.when(y.rlike(pattern), F.aggregate(found(y), y, lambda acc, c: F.replace(acc, c, put(c)))).otherwise(y)
+    return let(F.translate(x, source, target), longer)
+
+
 def casefold(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """As Python's casefold(): lower case, and the few letters that it changes further."""
+    rare = _class([*_CASES[0], *_CASES[2]])
+    return let(F.lower(c), lambda x: F.when(x.rlike(rare), _mapped(x, _CASES)).otherwise(x))
 
 
 def unaccent(c: Column) -> Column:
-    """Accents off lower-case Latin letters; combining marks that stand alone go too."""
-    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, ACCENTED + MARKS, PLAIN)).otherwise(x))
+    """Compatibility decomposition (NFKD) without combining marks."""
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), _mapped(x, _PLAIN, True)).otherwise(x))
 
 
 def fold(c: Column) -> Column:

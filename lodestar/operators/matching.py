@@ -1,13 +1,17 @@
 """Cross-source duplicates: exact, probable, possible or none.
 
-An "or" of equalities would plan as a nested loop, so candidates come from equi-joins, one for each key, and
-the vetoes are residual predicates. Review matches block on programme and the rarest title words that a
-Jaccard similarity of 0.8 must share (prefix filter), so a large programme doesn't compare all its pairs.
+An exact match is an "or" of equalities with vetoes that a null lifts. Each record gets a few tokens for either
+side of a pair, such that a pair matches if and only if its sides share one. So the smallest match of every record
+comes from the two smallest ids of each token: no pair is ever made, and a template address on a third of all rows
+costs no more than others. Review matches meet between distinct titles of a programme (by the rarest words that a
+Jaccard similarity of 0.8 must share, a prefix filter), and between distinct profiles of those.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import casefold, normal_url, plain_text, plain_words
@@ -34,85 +38,188 @@ def prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def _c(side: str, name: str) -> Column:
-    return F.col(f"{side}.{name}")
+def _either_null(name: str, side: str) -> Column:
+    """Tokens that two sides share if they agree in a column or one of them lacks it; side: a or b."""
+    c, text = F.col(name), F.col(name).cast("string")
+    if side == "a":
+        return F.when(c.isNull(), F.array(F.lit("a0"))).otherwise(F.array(F.concat(F.lit("="), text), F.lit("b0")))
+    return F.when(c.isNull(), F.array(F.lit("b0"), F.lit("a0"))).otherwise(F.array(F.concat(F.lit("="), text), F.lit("a0")))
+
+
+def _joined(*parts: Column) -> Column:
+    return F.concat_ws("\x1f", *parts)
+
 
+def _strong_tokens(side: str) -> Column:
+    """Tokens of exact matches: the same address with topics and calls that don't differ, or the same topic."""
+    none = F.array().cast("array<string>")
+    lacks = F.when(F.col("topic").isNull(), F.array(F.lit("a0")) if side == "a" else F.array(F.lit("b0"), F.lit("a0"))).otherwise(F.array(F.lit("b0" if side == "a" else "a0")))
+    by_both = F.when(F.col("url").isNotNull() & F.col("topic").isNotNull(), F.array(_joined(F.lit("ut"), F.col("url"), F.col("topic")))).otherwise(none)
+    by_url = F.when(F.col("url").isNotNull(), F.flatten(F.transform(lacks, lambda t: F.transform(_either_null("call", side), lambda c: _joined(F.lit("u"), F.col("url"), t, c))))).otherwise(none)
+    own, other = ("n", "bn") if side == "a" else ("bn", "n")
+    page = F.when(F.col("topic_url"), F.array(F.concat(F.lit("u"), F.col("url")), F.lit(other))).otherwise(F.array(F.lit(own)) if side == "a" else F.array(F.lit("bn"), F.lit("n")))
+    by_topic = F.when(F.col("topic").isNotNull(), F.transform(page, lambda p: _joined(F.lit("t"), F.col("topic"), p))).otherwise(none)
+    return F.array_distinct(F.concat(by_both, by_url, by_topic))
 
-def _differ(name: str) -> Column:
-    """Both known and different."""
-    return F.coalesce(_c("a", name) != _c("b", name), F.lit(False))
 
+def _two_least(rows: DataFrame, *by: str) -> DataFrame:
+    """Columns by and ids: the two smallest ids of each; the limit holds before the shuffle too."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    return rows.select(*by, "id").distinct().withColumn("n", n).where(F.col("n") <= 2).groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
-def conflicting_topics() -> Column:
-    return (_c("a", "topic_url") & _c("b", "topic_url") & _differ("url")) | _differ("topic")
 
+def smallest_match(new: DataFrame, known: DataFrame) -> DataFrame:
+    """candidate, existing: of each prepared() record with exact matches among known the smallest id but its own."""
+    held = _two_least(known.select("id", F.explode(_strong_tokens("b")).alias("token")), "token")
+    asked = new.select(F.col("id").alias("candidate"), F.explode(_strong_tokens("a")).alias("token")).join(held, "token")
+    other = F.try_element_at(F.filter("ids", lambda i: i != F.col("candidate")), F.lit(1))
+    return asked.groupBy("candidate").agg(F.min(other).alias("existing")).where(F.col("existing").isNotNull())
 
-def strong_pairs(new: DataFrame, known: DataFrame) -> DataFrame:
-    """candidate, existing, matched_by of exact matches."""
-    a, b = new.alias("a"), known.alias("b")
-    same_topic = F.coalesce(_c("a", "topic") == _c("b", "topic"), F.lit(False))
-    ok = (_c("a", "id") != _c("b", "id")) & ~conflicting_topics() & (same_topic | ~_differ("call"))
-    pair = lambda on: a.join(b, on).where(ok).select(_c("a", "id").alias("candidate"), _c("b", "id").alias("existing"), F.coalesce(_c("a", "url") == _c("b", "url"), F.lit(False)).alias("by_url"), same_topic.alias("by_topic"))
-    both = pair(_c("a", "url") == _c("b", "url")).union(pair(_c("a", "topic") == _c("b", "topic"))).distinct()
-    by = F.array_compact(F.array(F.when(F.col("by_url"), "canonical_url"), F.when(F.col("by_topic"), "topic_id")))
+
+def strong_matches(new: DataFrame, known: DataFrame) -> DataFrame:
+    """candidate, existing, matched_by of the smallest exact match of each record that has one."""
+    own = new.select(F.col("id").alias("candidate"), F.col("url").alias("u"), F.col("topic").alias("t"))
+    other = known.select(F.col("id").alias("existing"), "url", "topic")
+    both = smallest_match(new, known).join(own, "candidate").join(other, "existing")
+    by = F.array_compact(F.array(F.when(F.col("u") == F.col("url"), "canonical_url"), F.when(F.col("t") == F.col("topic"), "topic_id")))
     return both.select("candidate", "existing", by.alias("matched_by"))
 
 
-def _blocks(df: DataFrame, rank: DataFrame) -> DataFrame:
-    """id, programme, word: of each title the rarest words, as many as a similar title must share one of."""
-    w = df.where(F.col("programme").isNotNull() & (F.size("words") > 0)).select("id", "programme", F.size("words").alias("n"), F.explode("words").alias("word"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    return w.join(rank, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1).select("id", "programme", "word")
-
-
-def review_pairs(new: DataFrame, known: DataFrame) -> DataFrame:
-    """candidate, existing, kind (probable or possible), matched_by."""
-    rank = new.select("id", "words").union(known.select("id", "words")).distinct().select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    left, right = _blocks(new, rank).withColumnRenamed("id", "ia"), _blocks(known, rank).withColumnRenamed("id", "ib")
-    pairs = left.join(right, ["programme", "word"]).where("ia <> ib").select("ia", "ib").distinct()
-    both = pairs.join(new.alias("a"), F.col("ia") == _c("a", "id")).join(known.alias("b"), F.col("ib") == _c("b", "id"))
-    overlap = F.size(F.array_intersect(_c("a", "words"), _c("b", "words"))) / F.size(F.array_union(_c("a", "words"), _c("b", "words")))
-    related = F.coalesce((_c("a", "source_family") == _c("b", "source_family")) & (F.coalesce(_c("a", "canonical_source") == _c("b", "source_id"), F.lit(False)) | F.coalesce(_c("b", "canonical_source") == _c("a", "source_id"), F.lit(False))), F.lit(False))
-    authority = F.coalesce(_c("a", "authority") == _c("b", "authority"), F.lit(False))
-    ok = ~conflicting_topics() & ~_differ("call") & ~_differ("deadline") & ~_differ("opening_date") & (overlap >= SIMILAR) & (related | authority)
-    known_both = lambda n: _c("a", n).isNotNull() & _c("b", n).isNotNull()
+def _similar_titles(new: DataFrame, known: DataFrame) -> DataFrame:
+    """programme, wa, wb: word sets of titles of a programme that are similar; equal ones too."""
+    sets = lambda df: df.where(F.col("programme").isNotNull() & (F.size("words") > 0)).select("programme", F.array_sort("words").alias("words")).distinct()
+    a, b = sets(new), sets(known)
+    rank = a.union(b).distinct().select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+    def rare(df: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("programme", "words").orderBy("df", "word"))
+        each = df.select("programme", "words", F.explode("words").alias("word")).join(rank, "word").withColumn("place", place)
+        return each.where(F.col("place") <= F.size("words") - F.ceil(F.size("words") * SIMILAR) + 1).select("programme", "words", "word")
+
+    near = F.size("wa").between(F.ceil(F.size("wb") * SIMILAR), F.floor(F.size("wb") / SIMILAR))
+    pairs = rare(a).withColumnRenamed("words", "wa").join(rare(b).withColumnRenamed("words", "wb"), ["programme", "word"]).where(near).select("programme", "wa", "wb").distinct()
+    return pairs.where(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) >= SIMILAR)
+
+
+#: What review matches look at; records that agree in all of it are one profile.
+_PROFILE = ("programme", "words", "topic", "topic_url", "url", "call", "deadline", "opening_date", "authority", "source_family", "source_id", "canonical_source")
+
+
+def review_matches(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
+    """candidate, existing, kind, matched_by: of each record the smallest probable match, else the smallest possible one.
+
+    earlier: only matches whose id is smaller than the candidate's.
+    """
+    profile = F.xxhash64(*_PROFILE), F.hash(*_PROFILE)
+    marked = lambda df: df.where(F.col("programme").isNotNull() & (F.size("words") > 0)).withColumn("words", F.array_sort("words")).withColumn("profile", F.concat_ws(":", *[x.cast("string") for x in profile]))
+    a, b = marked(new), marked(known)
+    # a pair is related or of one authority, and its calls don't differ: tokens for both
+    pair = lambda kind, *c: F.when(F.concat(*map(F.col, c)).isNotNull(), _joined(F.lit(kind), *map(F.col, c)))
+    sides = {"a": [pair("A", "authority"), pair("F", "source_family", "canonical_source"), pair("S", "source_family", "source_id")], "b": [pair("A", "authority"), pair("F", "source_family", "source_id"), pair("S", "source_family", "canonical_source")]}
+    tokens = lambda side: F.flatten(F.transform(F.array_compact(F.array(*sides[side])), lambda r: F.transform(_either_null("call", side), lambda c: _joined(r, c))))
+    heads = lambda df, side: df.dropDuplicates(["profile"]).select("profile", *_PROFILE, F.explode(tokens(side)).alias("token"))
+    left = heads(a, "a").join(_similar_titles(new, known).withColumnRenamed("wa", "words"), ["programme", "words"])
+    left = left.select("token", "programme", F.col("wb").alias("words"), "profile", *[F.col(x).alias(f"a_{x}") for x in _PROFILE if x not in ("programme", "words")])
+    right = heads(b, "b").select("token", "programme", "words", F.col("profile").alias("other"), *[F.col(x).alias(f"b_{x}") for x in _PROFILE if x not in ("programme", "words")])
+    both = left.join(right, ["token", "programme", "words"])
+    differ = lambda n: F.coalesce(F.col(f"a_{n}") != F.col(f"b_{n}"), F.lit(False))
+    known_both = lambda n: F.col(f"a_{n}").isNotNull() & F.col(f"b_{n}").isNotNull()
+    conflict = (F.col("a_topic_url") & F.col("b_topic_url") & differ("url")) | differ("topic") | differ("deadline") | differ("opening_date")
+    related = F.coalesce((F.col("a_source_family") == F.col("b_source_family")) & (F.coalesce(F.col("a_canonical_source") == F.col("b_source_id"), F.lit(False)) | F.coalesce(F.col("b_canonical_source") == F.col("a_source_id"), F.lit(False))), F.lit(False))
     by = F.array_compact(F.array(F.lit("programme"), F.lit("normalized_title_context"), F.when(known_both("deadline"), "deadline"), F.when(known_both("opening_date"), "opening_date"), F.when(related, "known_source_relationship")))
-    return both.where(ok).select(F.col("ia").alias("candidate"), F.col("ib").alias("existing"), F.when(related, "probable").otherwise("possible").alias("kind"), by.alias("matched_by"))
+    both = both.where(~conflict).select("profile", "other", F.when(related, "probable").otherwise("possible").alias("kind"), by.alias("matched_by")).distinct()
+    least = _two_least(b.select("profile", "id"), "profile").select(F.col("profile").alias("other"), F.explode("ids").alias("existing"))
+    # of a profile's matches of either kind the two smallest can matter: one may be the candidate itself
+    place = F.row_number().over(Window.partitionBy("profile", "kind").orderBy("existing"))
+    best = both.join(least, "other").withColumn("n", place).where(F.col("n") <= 2).select("profile", "kind", "existing", "matched_by")
+    found = a.select(F.col("id").alias("candidate"), "profile").join(best, "profile").where("existing < candidate" if earlier else "existing <> candidate")
+    one = found.groupBy("candidate").agg(F.min_by(F.struct("existing", "kind", "matched_by"), F.struct(F.col("kind") != "probable", "existing")).alias("m"))
+    return one.select("candidate", "m.existing", "m.kind", "m.matched_by")
+
+
+def _results(new: DataFrame, strong: DataFrame, review: DataFrame) -> DataFrame:
+    out = new.select(F.col("id").alias("candidate")).join(strong.select("candidate", "existing", F.col("matched_by").alias("by")), "candidate", "left").join(review.select("candidate", "kind", "matched_by"), "candidate", "left")
+    exact = F.col("existing").isNotNull()
+    return out.select("candidate", F.when(exact, "exact").otherwise(F.coalesce("kind", F.lit("none"))).alias("kind"), F.col("existing").alias("canonical_id"), F.when(exact, F.col("by")).otherwise(F.coalesce("matched_by", F.array().cast("array<string>"))).alias("matched_by"))
 
 
 def find_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidate, kind, canonical_id, matched_by: the best match of each candidate; only exact ones name a canonical id."""
     new, known = prepared(candidates), prepared(existing)
-    rows = strong_pairs(new, known).select("candidate", "existing", F.lit("exact").alias("kind"), "matched_by", F.lit(0).alias("rank"))
-    review = review_pairs(new, known).withColumn("rank", F.when(F.col("kind") == "probable", 1).otherwise(2))
-    rows = rows.unionByName(review.select("candidate", "existing", "kind", "matched_by", "rank"))
-    best = rows.groupBy("candidate").agg(F.min_by(F.struct("kind", "existing", "matched_by"), F.struct("rank", "existing")).alias("m"))
-    out = new.select(F.col("id").alias("candidate")).join(best, "candidate", "left")
-    return out.select("candidate", F.coalesce("m.kind", F.lit("none")).alias("kind"), F.when(F.col("m.kind") == "exact", F.col("m.existing")).alias("canonical_id"), F.coalesce("m.matched_by", F.array().cast("array<string>")).alias("matched_by"))
+    return _results(new, strong_matches(new, known), review_matches(new, known))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that driver and executors share; a temporary one only in a local session."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="lodestar-"))
+
+
+def canonical_among(new: DataFrame, known: DataFrame) -> DataFrame:
+    """id, canonical_id (null if canonical itself) of prepared() records that arrive in the order of their ids after known ones.
+
+    A record is a duplicate if a known record, or an earlier one of its batch that is no duplicate, matches it
+    exactly; the smallest of those is canonical. Each round settles records that have no earlier one undecided, and
+    all that match these; records of one address or topic settle in two rounds, however many they are.
+    """
+    _checkpoints(new.sparkSession)
+    before = smallest_match(new, known)
+    fresh = new.join(before, new.id == before.candidate, "left_anti").checkpoint()
+    open_, heads = fresh, fresh.limit(0)
+    while True:
+        least = smallest_match(open_, open_)
+        first = open_.join(least.where("existing < candidate"), open_.id == least.candidate, "left_anti").checkpoint()
+        heads = heads.unionByName(first)
+        left = open_.join(first.select("id"), "id", "left_anti")
+        found = smallest_match(left, first)
+        # an earlier record only: ids are in order, and the smallest match tells whether there is one
+        found = found.where("existing < candidate")
+        open_ = left.join(found, left.id == found.candidate, "left_anti").checkpoint()
+        if open_.isEmpty():
+            break
+    # a record may match known and earlier ones alike: the smallest id of both counts
+    inner = smallest_match(new.join(heads.select("id"), "id", "left_anti"), heads).where("existing < candidate")
+    to = before.unionByName(inner).groupBy("candidate").agg(F.min("existing").alias("canonical_id"))
+    return new.select("id").join(to, F.col("id") == F.col("candidate"), "left").select("id", "canonical_id")
+
+
+def discover_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """candidate, kind, canonical_id, matched_by, where candidates also see earlier canonical ones of their batch."""
+    new, known = prepared(candidates), prepared(existing)
+    to = canonical_among(new, known).checkpoint()
+    heads = new.join(to.where(F.col("canonical_id").isNull()).select("id"), "id")
+    own = new.select("id", "url", "topic").join(to.where(F.col("canonical_id").isNotNull()), "id")
+    other = known.unionByName(heads).select(F.col("id").alias("canonical_id"), F.col("url").alias("u"), F.col("topic").alias("t")).dropDuplicates(["canonical_id"])
+    by = F.array_compact(F.array(F.when(F.col("u") == F.col("url"), "canonical_url"), F.when(F.col("t") == F.col("topic"), "topic_id")))
+    strong = own.join(other, "canonical_id").select(F.col("id").alias("candidate"), F.col("canonical_id").alias("existing"), by.alias("matched_by"))
+    inner = review_matches(new, heads, earlier=True)
+    review = review_matches(new, known).unionByName(inner)
+    one = review.groupBy("candidate").agg(F.min_by(F.struct("existing", "kind", "matched_by"), F.struct(F.col("kind") != "probable", "existing")).alias("m"))
+    return _results(new, strong, one.select("candidate", "m.existing", "m.kind", "m.matched_by"))
 
 
 def incremental(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, canonical_id (null if the record is canonical itself): records arrive in the order of ord.
 
     edges: a, b with a arriving before b. A record is a duplicate if an earlier record that is no duplicate
-    matches it; the smallest such id is canonical. Each round decides the records that have no undecided
-    earlier neighbour, so rounds are as many as the longest chain; state is checkpointed, not collected.
+    matches it; the smallest such id is canonical. Each round settles the records that no undecided earlier one
+    matches, and all that match these; their edges go. State is checkpointed, not collected.
     """
-    state = nodes.select("id", F.lit(None).cast("string").alias("canonical_id"), F.lit(None).cast("boolean").alias("canonical"))
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    edges = edges.select("a", "b").checkpoint()
-    while True:
-        side = edges.join(state.select(F.col("id").alias("a"), F.col("canonical").alias("ca")), "a")
-        seen = side.groupBy("b").agg(F.count_if(F.col("ca").isNull()).alias("open"), F.min(F.when(F.col("ca"), F.col("a"))).alias("to"))
-        new = state.join(seen, state.id == seen.b, "left")
-        now = F.col("canonical").isNull() & (F.coalesce("open", F.lit(0)) == 0)
-        state = new.select("id", F.when(now, F.col("to")).otherwise(F.col("canonical_id")).alias("canonical_id"), F.when(now, F.col("to").isNull()).otherwise(F.col("canonical")).alias("canonical")).checkpoint()
-        if state.where(F.col("canonical").isNull()).isEmpty():
-            return state.select("id", "canonical_id")
+    _checkpoints(nodes.sparkSession)
+    edges = edges.select("a", "b").distinct().checkpoint()
+    left, gone = edges, None
+    while not left.isEmpty():
+        roots = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        settled = left.join(roots, "a").select("b").distinct().checkpoint()
+        gone = settled if gone is None else gone.unionByName(settled)
+        left = left.join(settled, "b", "left_anti").join(settled.withColumnRenamed("b", "a"), "a", "left_anti").checkpoint()
+    if gone is None:
+        return nodes.select("id", F.lit(None).cast(edges.schema["a"].dataType).alias("canonical_id"))
+    to = edges.join(gone.withColumnRenamed("b", "a"), "a", "left_anti").join(gone, "b").groupBy("b").agg(F.min("a").alias("canonical_id"))
+    return nodes.select("id").join(to, F.col("id") == F.col("b"), "left").select("id", "canonical_id")
 
 
 def discovery_counts(results: DataFrame) -> DataFrame:

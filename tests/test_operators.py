@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -176,3 +178,78 @@ def test_constraints(spark):
     assert out == [(True, False), (False, False), (False, True), (False, True)]
     with pytest.raises(ValueError):
         constraints.query_args("x", True)
+
+
+RECORD = "id string, source_id string, canonical_url string, topic_id string, call_id string, programme string, title string, authority string, deadline timestamp, opening_date timestamp, source_family string, canonical_source string"
+
+
+def some_records(n, seed):
+    """Records of few values each, so that vetoes, nulls and ties are common; a third share a title and an address."""
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice([*x, None])
+    out = []
+    for i in rng.sample(range(1000), n):
+        common = rng.random() < 0.33
+        url = "https://a.eu/x?utm_a=1" if common else pick("https://a.eu/x", "https://a.eu/topic-details/T1", "https://A.eu/topic-details/t2/", "https://b.eu/y")
+        title = "One two three four five" if common else pick("One two three four five", "one two three four six", "Two one, three four five six", "other words", "")
+        out.append((f"r{i:04}", rng.choice(["s1", "s2"]), url, pick("T-1", "t 1", "T2", ""), pick("c1", "C-1", "c2"), pick("P", "p", "q"), title, pick("A", "a", "B"), pick(datetime(2026, 1, 1), datetime(2026, 1, 2)), pick(datetime(2025, 1, 1)), pick("f"), pick("s1", "s2")))
+    return [dict(zip([f.split()[0] for f in RECORD.split(", ")], r)) for r in out]
+
+
+def plain_match(a, b):
+    """What a pair is by the rules, one after another: kind and reasons."""
+    text = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+    site = lambda x: x and "/".join([x.split("/")[2].lower(), *x.split("/")[3:]]).split("?")[0].rstrip("/")
+    ua, ub = site(a["canonical_url"]), site(b["canonical_url"])
+    both = lambda n: bool(a[n]) and bool(b[n])
+    topic = lambda u: u is not None and "/topic-details/" in u.lower()
+    if topic(a["canonical_url"]) and topic(b["canonical_url"]) and ua != ub or both("topic_id") and text(a["topic_id"]) != text(b["topic_id"]):
+        return None
+    same = both("topic_id")
+    calls = both("call_id") and text(a["call_id"]) != text(b["call_id"])
+    if same or not calls:
+        by = ["canonical_url"] * (ua is not None and ua == ub) + ["topic_id"] * same
+        if by:
+            return "exact", by
+    if calls or any(a[n] is None or b[n] is None for n in ("programme", "title")) or text(a["programme"]) != text(b["programme"]):
+        return None
+    if any(both(n) and a[n] != b[n] for n in ("deadline", "opening_date")):
+        return None
+    x, y = ({w for w in text(r["title"]).split()} for r in (a, b))
+    if not x or not y or len(x & y) / len(x | y) < 0.8:
+        return None
+    related = a["source_family"] is not None and a["source_family"] == b["source_family"] and (a["canonical_source"] == b["source_id"] or b["canonical_source"] == a["source_id"])
+    if not related and not (a["authority"] is not None and b["authority"] is not None and text(a["authority"]) == text(b["authority"])):
+        return None
+    by = ["programme", "normalized_title_context"] + [n for n in ("deadline", "opening_date") if both(n)]
+    return ("probable", [*by, "known_source_relationship"]) if related else ("possible", by)
+
+
+def plain_best(a, known):
+    found = sorted((("exact", "probable", "possible").index(m[0]), b["id"], m) for b in known if b["id"] != a["id"] and (m := plain_match(a, b)))
+    return ("none", None, []) if not found else (found[0][2][0], found[0][1] if found[0][0] == 0 else None, found[0][2][1])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_duplicates_match_plain_pairs(spark, seed):
+    new, known = some_records(60, seed), some_records(60, seed + 50)
+    df = lambda x: spark.createDataFrame([tuple(r.values()) for r in x], RECORD)
+    got = {r.candidate: (r.kind, r.canonical_id, r.matched_by) for r in matching.find_duplicates(df(new), df(known)).collect()}
+    assert got == {r["id"]: plain_best(r, known) for r in new}
+    # a batch sees its own earlier canonical records, too
+    seen, want = list(known), {}
+    for r in sorted(new, key=lambda r: r["id"]):
+        want[r["id"]] = plain_best(r, seen)
+        if want[r["id"]][0] != "exact":
+            seen.append(r)
+    got = {r.candidate: (r.kind, r.canonical_id, r.matched_by) for r in matching.discover_duplicates(df(new), df(known)).collect()}
+    assert got == want
+    assert {k for k, _, _ in want.values()} >= {"exact", "none"}
+
+
+def test_incremental_settles_chains(spark):
+    """A chain: each record matches the one before; every other one is canonical."""
+    nodes = spark.range(12).select(F.col("id").cast("string").alias("id"))
+    edges = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(10)] + [("00", "09")], "a string, b string")
+    out = {r.id: r.canonical_id for r in matching.incremental(edges, spark.createDataFrame([(f"{i:02}",) for i in range(12)], "id string")).collect()}
+    assert out == {f"{i:02}": f"{i - 1:02}" if i % 2 and i < 11 else None for i in range(12)} | {"09": "00"} and nodes.count() == 12

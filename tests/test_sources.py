@@ -34,7 +34,7 @@ def test_notices_and_envelopes(spark):
         with pytest.raises(records.SourceError):
             records.unwrap(bad)
     assert records.total({"total": True, "totalElements": "12"}) == 12 and records.pagination(None, 5, 5) == "limit_reached_unknown"
-    flat = records.flatten({"id": "a", "content": '{"id": "b", "title": "t", "zzz": 1}', "metadata": {"title": ["m"], "links": ["a", "b"]}})
+    flat = records.Flat.of({"id": "a", "content": '{"id": "b", "title": "t", "zzz": 1}', "metadata": {"title": ["m"], "links": ["a", "b"]}})
     assert flat == {"id": "a", "title": "t", "metadata.title": "m", "metadata.links": ["a", "b"]}
 
 
@@ -43,6 +43,21 @@ def test_field_types(spark):
     assert {(r.field, r.kind) for r in records.field_types(df, "j").collect() if r.field} == {("a", "int"), ("b", "list"), ("c", "str"), ("d", "NoneType"), ("e", "bool")}
 
 
+def test_nested_profile(spark):
+    df = spark.createDataFrame([('{"a": {"b c": 1, "d": null}, "e": [{"f": "x"}, {"g": 1}], "h": [1], "i": {}}',), ("[1]",), (None,), ('{"a": 2.5}',)], "j string")
+    found = {(r.field, r.kind) for r in records.profile(df, "j").collect()}
+    assert found == {("a", "dict"), ("a", "float"), ("a.b_c", "int"), ("a.d", "NoneType"), ("e", "list"), ("e[].f", "str"), ("h", "list"), ("i", "dict")}
+    assert [r.field for r in records.field_names(df, "j").collect()] == ["a", "e", "h", "i"]
+
+
+def test_details_links():
+    good = DETAIL + "LIFE-1"
+    record = {"metadata.links": [good, good + "/?tab=1", "https://user@ec.europa.eu" + good[20:], "https://ec.europa.eu:444" + good[20:], 5], "url": good.replace("https", "http"), "link": "https://EC.europa.eu:443" + good[20:]}
+    assert records.details_urls(record) == [good, good + "/?tab=1", "https://EC.europa.eu:443" + good[20:]]
+    assert records.details_identity(good + "%20x/?a=/topic-details/z") == ("topic", "LIFE-1 x") and records.details_identity("https://x/y") is None
+    assert records.total({"total": "1" * 19, "totalSize": 3}) == 3 and records.total({"total": -1}) is None and records.total([]) is None
+
+
 def workbook(rows, bad=None):
     cell = lambda i, j, v: f'<c r="{chr(65 + j)}{i + 1}" t="inlineStr"><is><t>{v}</t></is></c>'
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join("<row>" + "".join(cell(i, j, v) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows)) + (bad or "") + "</sheetData></worksheet>"
