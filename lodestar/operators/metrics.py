@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import squeezed
 
 
+#: Slices of the confidences that a calibration sums by.
+BINS = 4_096
+
+
 def _ratio(top, bottom):
     return F.try_divide(top.cast("double"), bottom)
 
@@ -36,6 +40,17 @@ def reciprocal_rank(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
     return want.select("query_id").distinct().join(best, "query_id", "left").select("query_id", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def reciprocal_rank_of_scores(relevant: DataFrame, scores: DataFrame) -> DataFrame:
+    """reciprocal_rank() where items have scores (query_id, item_id, score; ties to smaller ids) and no ranks yet.
+
+    The first relevant item's rank is one more than the items before it, so nothing is sorted.
+    """
+    want = relevant.select("query_id", "item_id").distinct()
+    best = scores.join(want, ["query_id", "item_id"]).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("top"))
+    above = scores.join(best, "query_id").groupBy("query_id").agg(F.count_if(F.struct("score", (-F.col("item_id")).alias("i")) > F.col("top")).alias("n"))
+    return want.select("query_id").distinct().join(above, "query_id", "left").select("query_id", F.coalesce(1.0 / (F.col("n") + 1), F.lit(0.0)).alias("rr"))
+
+
 def ranked(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
@@ -53,6 +68,19 @@ def pair_scores(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return out.withColumn("precision", _ratio(F.col("correct"), F.col("predicted"))).withColumn("recall", _ratio(F.col("correct"), F.col("expected")))
 
 
+def duplicate_report(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """kind (merge or candidate), predicted, correct, false_positives, precision, recall of labelled pairs.
+
+    labels: a, b, same; found: a, b, kind of match. Exact matches merge; those and review matches are candidates.
+    Pairs without a label don't count.
+    """
+    known = labels.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
+    got = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("kind") == "exact").alias("exact")).groupBy("a", "b").agg(F.max("exact").alias("exact"))
+    rows = known.join(got, ["a", "b"], "left").select("same", F.inline(F.array(F.struct(F.lit("merge").alias("kind"), F.coalesce("exact", F.lit(False)).alias("hit")), F.struct(F.lit("candidate").alias("kind"), F.col("exact").isNotNull().alias("hit")))))
+    out = rows.groupBy("kind").agg(F.count_if("hit").alias("predicted"), F.count_if(F.col("hit") & F.col("same")).alias("correct"), F.count_if(F.col("hit") & ~F.col("same")).alias("false_positives"), F.count_if("same").alias("expected"))
+    return out.withColumns({"precision": _ratio(F.col("correct"), F.col("predicted")), "recall": _ratio(F.col("correct"), F.col("expected"))})
+
+
 def agreement(samples: DataFrame, expected: str = "expected", observed: str = "observed") -> DataFrame:
     """Share of samples whose states (or safe flags) agree; two nulls agree."""
     out = samples.agg(F.count("*").alias("available"), F.count_if(F.col(expected).eqNullSafe(F.col(observed))).alias("correct"))
@@ -68,9 +96,10 @@ def citation_validity(citations: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def tenant_isolation(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Tenants seen, and distinct records that a tenant saw without being allowed to."""
-    leaks = observed.select("tenant", "record_id").distinct().join(expected, ["tenant", "record_id"], "left_anti").agg(F.count("*").alias("leaks"))
-    tenants = expected.select("tenant").union(observed.select("tenant")).agg(F.count_distinct("tenant").alias("tenants"))
-    return tenants.join(F.broadcast(leaks), how="cross").withColumn("isolated", F.col("leaks") == 0)  # one row each
+    side = lambda df, seen: df.select("tenant", "record_id", F.lit(seen).alias("seen"))
+    each = side(expected, 0).unionByName(side(observed, 1)).groupBy("tenant", "record_id").agg(F.min("seen").alias("leak"))
+    by_tenant = each.groupBy("tenant").agg(F.sum(F.when(F.col("record_id").isNotNull(), F.col("leak")).otherwise(0)).alias("n"))
+    return by_tenant.agg(F.count("tenant").alias("tenants"), F.coalesce(F.sum("n"), F.lit(0)).alias("leaks")).withColumn("isolated", F.col("leaks") == 0)
 
 
 def change_recall(expected: DataFrame, detected: DataFrame) -> DataFrame:
@@ -85,13 +114,18 @@ def change_recall(expected: DataFrame, detected: DataFrame) -> DataFrame:
 def calibrate(labels: DataFrame, confidence: str = "confidence", answerable: str = "answerable") -> DataFrame:
     """threshold, balanced_accuracy: the lowest threshold of best balanced accuracy, its threshold rounded up to 6 places.
 
-    Candidates are 0, 1 and just above each confidence. Counts below a candidate come from one sorted pass over
-    distinct confidences, not from comparing each candidate with each label.
+    Candidates are 0, 1 and just above each confidence. Counts below a candidate are those of the slices of [0, 1]
+    before its own, of which there are BINS, and of the smaller confidences in its slice.
     """
     c = F.col(confidence)
     groups = labels.groupBy(c.alias("c")).agg(F.count_if(~F.col(answerable)).alias("no"), F.count_if(F.col(answerable)).alias("yes"))
-    w = Window.orderBy("c")
-    sums = groups.select("c", F.sum("no").over(w).alias("no_to"), F.sum("yes").over(w).alias("yes_to"), F.sum("no").over(Window.partitionBy()).alias("n_no"), F.sum("yes").over(Window.partitionBy()).alias("n_yes"), "no", "yes")
+    groups = groups.withColumn("bin", F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor(F.col("c") * BINS))))
+    before, all_of = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row for each slice
+    bins = groups.groupBy("bin").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    bins = bins.select("bin", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("no", "yes")], *[F.sum(x).over(all_of).alias(f"n_{x}") for x in ("no", "yes")])
+    w = Window.partitionBy("bin").orderBy("c")
+    own = groups.select("c", "bin", "no", "yes", F.sum("no").over(w).alias("no_in"), F.sum("yes").over(w).alias("yes_in"))
+    sums = own.join(bins, "bin").withColumns({"no_to": F.col("no_before") + F.col("no_in"), "yes_to": F.col("yes_before") + F.col("yes_in")})
     t = F.least(F.lit(1.0), F.col("c") + 1e-9)
     # a threshold just above c lets c's own labels count as below, unless it is cut at 1
     below = lambda to, own: F.when(F.col("c") < t, F.col(to)).otherwise(F.col(to) - F.col(own))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.changes import TRACKED, long_form
+from lodestar.sources.records import MOST_BYTES
 
 DATES = ("publication_date", "opening_date", "deadline", "source_updated_at")
 #: Limits of a brief.
@@ -16,14 +17,34 @@ MOST_REQUIREMENTS, MOST_ITEMS, MOST_CITATIONS = 30, 20, 12
 BRIEF = "struct<title:string,summary:string,requirements:array<struct<text:string,status:string,citations:array<string>>>,deadlines:array<struct<text:string,citations:array<string>>>,risks:array<struct<text:string,citations:array<string>>>>"
 
 
-def error_code(message: Column) -> Column:
-    """Class of a network failure by its message."""
+#: Classes of network failures, by the kind of error or what its message says, in order.
+FAILURES = (
+    ("network_tls", r"\bssl|certificate|\btls\b"),
+    ("network_dns", r"gaierror|name or service not known|nodename|getaddrinfo|name resolution|unknownhost"),
+    ("network_timeout", r"timed? ?out"),
+    ("network_connection_reset", r"connection ?reset|reset by peer"),
+    ("network_connection_refused", r"connection ?refused"),
+)
+
+
+def error_code(message: Column, http_status: Column | None = None) -> Column:
+    """Class of a failed fetch: http_N for an answer of that status, else by the error's kind and message, else by its number."""
     m = F.lower(message)
-    rules = (("dns_error", "name or service not known|nodename|getaddrinfo|name resolution"), ("tls_error", "ssl|certificate|tls"), ("timeout", "timed out|timeout"), ("connection_reset", "reset by peer|connection reset"), ("connection_refused", "refused"))
-    out = F.when(message.isNotNull(), F.lit("network_error"))
-    for code, pattern in reversed(rules):
-        out = F.when(m.rlike(pattern), F.lit(code)).otherwise(out)
-    return out
+    number = F.regexp_extract(m, r"\berrno\W{0,2}(\d+)", 1)
+    other = F.when(number != "", F.concat(F.lit("network_os_error_"), number)).otherwise("network_request_failed")
+    out = F.coalesce(*[F.when(m.rlike(pattern), F.lit(code)) for code, pattern in FAILURES], F.when(message.isNotNull(), other))
+    return out if http_status is None else F.when(http_status >= 400, F.concat(F.lit("http_"), http_status.cast("string"))).otherwise(out)
+
+
+def failures(fetched: DataFrame) -> DataFrame:
+    """source_id, error_code, http_status, response_bytes, payload_sha256 of fetches that failed (source_id, http_status, body, error).
+
+    A body beyond what a source may answer has no hash.
+    """
+    n = F.octet_length("body")
+    status = F.col("http_status")
+    rows = fetched.where(F.col("error").isNotNull() | (status >= 400))
+    return rows.select("source_id", error_code(F.col("error"), status).alias("error_code"), F.when(status >= 400, status).alias("http_status"), F.coalesce(n, F.lit(0)).alias("response_bytes"), F.when((status >= 400) & (n <= MOST_BYTES), F.sha2("body", 256)).alias("payload_sha256"))
 
 
 def fetch_totals(results: DataFrame) -> DataFrame:

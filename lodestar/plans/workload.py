@@ -6,6 +6,7 @@ an operator's point is what it does with them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import parse
 from lodestar.functions import text as T
+from lodestar import sinks
 from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, reports, retrieval, state
+from lodestar.sources import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,14 +67,31 @@ _RAW, _TERMS = retrieval.query_terms(SEARCH)
 
 @query(_bm25_sql("documents", "doc_id", "text", _TERMS, _RAW))
 def r3_bm25_topk(spark, sf_dir):
-    hits = retrieval.scored(_table(spark, sf_dir, "documents"), SEARCH)
-    return hits.select("doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "doc_id").limit(10)
+    hits = retrieval.search(_table(spark, sf_dir, "documents"), SEARCH, 10, order=(F.col("doc_id"),))
+    return hits.select("doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
 @query(_bm25_sql("conversations", "conv_id, turn", "text", *reversed(retrieval.query_terms("the user asks about reer and ther")), section="role", limit=12))
 def r3_bm25_sections(spark, sf_dir):
-    hits = retrieval.scored(_table(spark, sf_dir, "conversations"), "the user asks about reer and ther", section="role")
-    return hits.select("conv_id", "turn", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "conv_id", "turn").limit(12)
+    hits = retrieval.search(_table(spark, sf_dir, "conversations"), "the user asks about reer and ther", 12, order=(F.col("conv_id"), F.col("turn")), section="role")
+    return hits.select("conv_id", "turn", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
+
+
+_WORD = "[\\p{L}\\p{N}_]+"
+_EXCERPT_TERMS = ", ".join(f"'{t}'" for t in retrieval.query_terms(SEARCH)[1])
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS words, string_split_regex(text, '{_WORD}') AS gaps FROM documents
+               WHERE len(list_filter({_TOKENS.format("text")}, lambda w: w IN ({_EXCERPT_TERMS}))) > 0),
+         p AS (SELECT doc_id, text, list_position(list_transform(words, lambda w: {_FOLD.format("w")} IN ({_EXCERPT_TERMS})), true) AS n, words, gaps FROM d),
+         s AS (SELECT doc_id, text, CASE WHEN length(text) <= 1200 THEN 0 ELSE least(greatest(0, length(array_to_string(gaps[1:n], '')) + length(array_to_string(words[1:n - 1], '')) - 400), length(text) - 1200) END AS f FROM p)
+    SELECT doc_id, CAST(f AS INTEGER) AS start, CAST(least(f + 1200, length(text)) AS INTEGER) AS "end", 'line ' || (1 + length(text[1:f]) - length(replace(text[1:f], chr(10), ''))) AS location,
+           'ev-' || left(sha256(CAST(doc_id AS VARCHAR) || chr(0) || chr(0) || text[f + 1:f + 1200]), 12) AS evidence_id FROM s""")
+def r5_snippets(spark, sf_dir):
+    """Every document with a word of the search as one passage."""
+    hits = retrieval.scored(_table(spark, sf_dir, "documents"), SEARCH).select("doc_id", F.col("doc_id").cast("string").alias("source"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(None).cast("string").alias("section"), "text")
+    return retrieval.snippets(hits, SEARCH).select("doc_id", "start", "end", "location", "evidence_id")
 
 
 @query("""
@@ -176,15 +196,27 @@ def n10_split_list(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(parse.strings(joined), "/").alias("parts"))
 
 
-@query(f"""
-    WITH t AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents)
-    SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS chars FROM t GROUP BY doc_id""")
-def n20_fold_tokens(spark, sf_dir):
-    t = T.tokens(T.fold(F.col("text")))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).where(F.size("t") > 0)
+def _token_counts(spark, sf_dir, tokens) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
+_COUNTS_SQL = """
+    WITH t AS (SELECT doc_id, unnest({0}) AS term FROM documents)
+    SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS chars FROM t GROUP BY doc_id"""
+
+
+@query(_COUNTS_SQL.format(_TOKENS.format("text")))
+def n19_search_tokens(spark, sf_dir):
+    """The documents hold none of the phrases that a search spells alike."""
+    return _token_counts(spark, sf_dir, T.search_tokens)
+
+
+@query(_COUNTS_SQL.format("regexp_extract_all(" + _FOLD.format("text") + ", '[a-z0-9]+')"))
+def n20_plain_words(spark, sf_dir):
+    return _token_counts(spark, sf_dir, T.plain_words)
+
+
 @query("""
     SELECT n_nationkey, CASE WHEN lower(n_name) IN ('open', 'ongoing') THEN 'open' ELSE 'unknown' END AS status, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k,
            CASE n_nationkey % 4 WHEN 0 THEN 'grant' WHEN 1 THEN 'repayable_incentive' WHEN 2 THEN 'open' ELSE 'unknown' END AS kind FROM nation""")
@@ -203,7 +235,9 @@ def n12_codes(spark, sf_dir):
                       regions IS NULL AS u2, regions IS NOT NULL AND lower(regions[1]) NOT IN ('brand#11', 'brand#22', 'brand#33', 'brand#44') AS m2,
                       funding IS NULL AS u3, coalesce(funding < 1200, false) AS m3, days IS NULL AS u4, coalesce(days > 30, false) AS m4 FROM p)
     SELECT p_partkey, CASE WHEN m1 OR m2 OR m3 OR m4 THEN 'excluded' WHEN u1 OR u2 OR u3 OR u4 THEN 'needs_review' ELSE 'included' END AS state,
-           CAST(CAST(u1 OR m1 AS INT) + CAST(u2 OR m2 AS INT) + CAST(u3 OR m3 AS INT) + CAST(u4 OR m4 AS INT) AS INTEGER) AS n_reasons FROM c""")
+           CAST(CAST(u1 OR m1 AS INT) + CAST(u2 OR m2 AS INT) + CAST(u3 OR m3 AS INT) + CAST(u4 OR m4 AS INT) AS INTEGER) AS n_reasons,
+           concat_ws(',', CASE WHEN u1 THEN 'type_unknown' WHEN m1 THEN 'type_mismatch' END, CASE WHEN u2 THEN 'region_unknown' WHEN m2 THEN 'region_mismatch' END,
+                     CASE WHEN u3 THEN 'funding_unknown' WHEN m3 THEN 'funding_below_minimum' END, CASE WHEN u4 THEN 'deadline_unknown' WHEN m4 THEN 'deadline_outside_window' END) AS reasons FROM c""")
 def f1_three_state(spark, sf_dir):
     k, now = F.col("p_partkey"), F.lit("2026-10-06").cast("timestamp")
     calls = _table(spark, sf_dir, "part").select(
@@ -214,7 +248,39 @@ def f1_three_state(spark, sf_dir):
         F.when(k % 17 != 0, now + F.make_interval(days=(k % 60).cast("int"))).alias("deadline"),
     )
     wanted = filters.Criteria(opportunity_types=("grant",), regions=("Brand#11", "brand#22 ", "BRAND#33", "brand#44"), minimum_funding=1200, deadline_window_days=30)
-    return filters.filter_opportunities(calls, wanted, now).select("p_partkey", "state", F.size("reasons").alias("n_reasons"))
+    return filters.filter_opportunities(calls, wanted, now).select("p_partkey", "state", F.size("reasons").alias("n_reasons"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, lower(p_brand) AS b, lower(p_type) AS t FROM part),
+         r AS (SELECT k, list_filter([CASE WHEN k % 9 = 0 THEN 'type_maybe_excluded' WHEN k % 3 = 1 THEN 'type_excluded' END,
+                   CASE WHEN k % 7 = 0 THEN 'geography_unknown' WHEN k % 2 = 1 THEN 'geography_mismatch' END,
+                   CASE WHEN k % 5 = 0 THEN 'sector_unknown' WHEN b NOT IN ('brand#11', 'brand#22', 'brand#33') THEN 'sector_mismatch' END,
+                   CASE WHEN k % 4 = 0 THEN 'applicant_mismatch' END], lambda x: x IS NOT NULL) AS codes FROM p)
+    SELECT k AS p_partkey, CASE WHEN len(list_filter(codes, lambda c: c LIKE '%mismatch' OR c = 'type_excluded')) > 0 THEN 'excluded' WHEN len(codes) > 0 THEN 'needs_review' ELSE 'included' END AS state,
+           array_to_string(codes, ',') AS reasons FROM r""")
+def f1_more_filters(spark, sf_dir):
+    """Excluded types (given and of the profile), geographies, sectors of the profile, and applicant types."""
+    k = F.col("p_partkey")
+    calls = _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(k % 9 == 0, "unknown").when(k % 3 == 1, F.when(k % 2 == 0, "loan").otherwise("prize")).otherwise("grant").alias("opportunity_type"),
+        F.when(k % 7 != 0, F.array(F.when(k % 2 == 0, " PORTUGAL").otherwise("Spain"))).alias("geography"),
+        F.when(k % 5 != 0, F.array("p_brand")).alias("eligible_sectors"),
+        F.array(F.when(k % 4 == 0, "ngo").otherwise("SME")).alias("eligible_applicant_types"),
+    )
+    wanted = filters.Criteria(excluded_types=("loan",), geographies=("portugal",), applicant_types=("sme",), profile={"sectors": ["brand#11", "BRAND#22", "Brand#33"], "excluded_opportunity_types": ["prize"]})
+    return filters.filter_opportunities(calls, wanted, F.current_timestamp()).select("p_partkey", "state", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN 'missing_evidence' END AS reject_reason FROM customer
+    WHERE c_nationkey % 4 = 1 AND c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0""")
+def f4_tenant_evidence(spark, sf_dir):
+    """Canonical records of one tenant, and which of them lack a title or evidence."""
+    k = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 4).cast("string").alias("workspace_id"), F.col("c_mktsegment").alias("organisation_id"), F.when(k % 2 == 1, "x").alias("duplicate_of"), F.when(k % 5 != 0, F.col("c_name")).alias("title"), F.when(k % 3 != 0, F.array(F.lit("ev"))).alias("evidence"))
+    return filters.check_evidence(filters.canonical_only(filters.of_tenant(rows, "1", "BUILDING"))).select("c_custkey", "reject_reason")
 
 
 @query("""
@@ -266,13 +332,52 @@ def e6_fit(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", eligibility.fit_score(st, {"strategic_fit": a, "company_capabilities": b}).alias("overall"))
 
 
+_NO_FIELDS = {n: "string" for n in ("canonical_url", "topic_id", "call_id", "programme", "title", "authority", "source_family", "canonical_source")} | {"deadline": "timestamp", "opening_date": "timestamp"}
+
+
+def _records(df: DataFrame, ident: str, **fields) -> DataFrame:
+    """Rows as records for matching, with an id of ten digits; fields not given are null."""
+    given = {"source_id": F.lit("s")} | {n: F.lit(None).cast(t) for n, t in _NO_FIELDS.items()} | fields
+    return df.select(F.lpad(F.col(ident).cast("string"), 10, "0").alias("id"), *[c.alias(n) for n, c in given.items()])
+
+
 @query("""
-    WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents)
-    SELECT doc_id, CASE WHEN first < doc_id THEN first END AS canonical_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM d)""")
+    WITH p AS (SELECT page_id AS i, CASE WHEN page_id % 5 > 0 THEN page_id % 17 END AS u, CASE WHEN page_id % 3 > 0 THEN page_id % 13 END AS t, CASE WHEN page_id % 4 > 0 THEN page_id % 2 END AS c, page_id % 17 % 4 = 0 AS topic_page FROM pages),
+         m AS (SELECT a.i AS candidate, b.i AS existing, coalesce(a.u = b.u, false) AS bu, coalesce(a.t = b.t, false) AS bt FROM p a JOIN p b ON a.i % 7 < 4 AND b.i % 7 >= 4 AND (coalesce(a.u = b.u, false) OR coalesce(a.t = b.t, false))
+               WHERE NOT coalesce(a.t <> b.t, false) AND NOT (a.u IS NOT NULL AND b.u IS NOT NULL AND a.topic_page AND b.topic_page AND a.u <> b.u) AND (coalesce(a.t = b.t, false) OR NOT coalesce(a.c <> b.c, false))),
+         f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY existing) = 1)
+    SELECT i AS candidate, CASE WHEN existing IS NULL THEN 'none' ELSE 'exact' END AS kind, existing AS canonical_id,
+           concat_ws(',', CASE WHEN bu THEN 'canonical_url' END, CASE WHEN bt THEN 'topic_id' END) AS matched_by
+    FROM p LEFT JOIN f ON candidate = i WHERE i % 7 < 4""")
 def d2_exact_dups(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return d.join(first, "h").select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("canonical_id"))
+    """Pages as calls with addresses (of topics, some of them), topics and call ids, any of which may be missing."""
+    k = F.col("page_id")
+    address = F.concat(F.lit("https://x.eu"), F.when(k % 17 % 4 == 0, "/topic-details/").otherwise("/"), (k % 17).cast("string"), F.lit("/?utm_source=a"))
+    calls = _records(_table(spark, sf_dir, "pages"), "page_id", canonical_url=F.when(k % 5 > 0, address), topic_id=F.when(k % 3 > 0, F.concat(F.lit("T "), (k % 13).cast("string"))), call_id=F.when(k % 4 > 0, F.concat(F.lit("c-"), (k % 2).cast("string"))))
+    side = F.col("id").cast("long") % 7 < 4
+    out = matching.find_duplicates(calls.where(side), calls.where(~side))
+    return out.select(F.col("candidate").cast("long").alias("candidate"), "kind", F.col("canonical_id").cast("long").alias("canonical_id"), F.array_join("matched_by", ",").alias("matched_by"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS i, c_mktsegment AS p, c_custkey % 40 AS t, CASE WHEN c_custkey % 4 > 0 THEN 'f' END AS f, c_custkey % 3 AS s, c_custkey % 5 AS o, CASE WHEN c_custkey % 6 > 0 THEN c_nationkey % 2 END AS au, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 2 END AS d FROM customer),
+         m AS (SELECT a.i AS candidate, b.i AS existing, coalesce(a.f = b.f AND (a.o = b.s OR b.o = a.s), false) AS rel, a.d IS NOT NULL AND b.d IS NOT NULL AS dates FROM c a JOIN c b ON a.i % 11 < 3 AND b.i % 11 >= 3 AND a.p = b.p AND a.t = b.t
+               WHERE NOT coalesce(a.d <> b.d, false) AND (coalesce(a.f = b.f AND (a.o = b.s OR b.o = a.s), false) OR coalesce(a.au = b.au, false))),
+         f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY rel DESC, existing) = 1)
+    SELECT i AS candidate, CASE WHEN existing IS NULL THEN 'none' WHEN rel THEN 'probable' ELSE 'possible' END AS kind,
+           CASE WHEN existing IS NULL THEN '' ELSE concat_ws(',', 'programme', 'normalized_title_context', CASE WHEN dates THEN 'deadline' END, CASE WHEN rel THEN 'known_source_relationship' END) END AS matched_by
+    FROM c LEFT JOIN f ON candidate = i WHERE i % 11 < 3""")
+def d3_review(spark, sf_dir):
+    """Customers as calls whose titles differ in one of five words, by segment as programme."""
+    k = F.col("c_custkey")
+    title = F.concat(F.lit("Água limpa para os rios "), (k % 40).cast("string"))
+    calls = _records(
+        _table(spark, sf_dir, "customer"), "c_custkey", programme=F.col("c_mktsegment"), title=title, source_family=F.when(k % 4 > 0, "f"), source_id=(k % 3).cast("string"), canonical_source=(k % 5).cast("string"),
+        authority=F.when(k % 6 > 0, (F.col("c_nationkey") % 2).cast("string")), deadline=F.when(k % 7 > 0, F.lit("2026-01-01").cast("timestamp") + F.make_interval(days=(k % 2).cast("int"))),
+    )
+    side = F.col("id").cast("long") % 11 < 3
+    out = matching.find_duplicates(calls.where(side), calls.where(~side))
+    return out.select(F.col("candidate").cast("long").alias("candidate"), "kind", F.array_join("matched_by", ",").alias("matched_by"))
 
 
 _TITLE_STOP = ", ".join(f"'{w}'" for w in matching.TITLE_STOP_WORDS)
@@ -306,6 +411,102 @@ def d5_incremental(spark, sf_dir):
     return out.select(F.col("id").cast("long").alias("doc_id"), F.col("canonical_id").cast("long").alias("canonical_id"))
 
 
+@query("""
+    WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 10 = 3 AS known FROM documents), g AS (SELECT h, min(CASE WHEN known THEN doc_id END) AS k, min(CASE WHEN NOT known THEN doc_id END) AS b FROM d GROUP BY h)
+    SELECT doc_id, CASE WHEN k IS NOT NULL OR b < doc_id THEN 'exact' ELSE 'none' END AS kind, CASE WHEN k IS NOT NULL THEN k WHEN b < doc_id THEN b END AS canonical_id FROM d JOIN g USING (h) WHERE NOT known""")
+def d5_discover(spark, sf_dir):
+    """Equal texts as one topic: a batch sees known documents, and those of its own that came before and are canonical."""
+    calls = _records(_table(spark, sf_dir, "documents"), "doc_id", topic_id=F.sha2("text", 256))
+    known = F.col("id").cast("long") % 10 == 3
+    out = matching.discover_duplicates(calls.where(~known), calls.where(known))
+    return out.select(F.col("candidate").cast("long").alias("doc_id"), "kind", F.col("canonical_id").cast("long").alias("canonical_id"))
+
+
+@query("""
+    WITH w AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t0 FROM events)
+    SELECT 'chg-' || left(sha256(CAST(event_id AS VARCHAR) || chr(0) || 'title' || chr(0) || '"' || t0 || '"' || chr(0) || '"' || event_type || '"' || chr(0) || '2026-10-06T00:00:00+00:00'), 24) AS change_id,
+           event_id, '"' || t0 || '"' AS old_value, '"' || event_type || '"' AS new_value FROM w WHERE t0 <> event_type""")
+def c2_change_ids(spark, sf_dir):
+    """Ids of the changes of a user's consecutive events, as titles of a record."""
+    w = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before")).where("before IS NOT NULL")
+    at = F.to_timestamp(F.lit("2026-10-06T00:00:00Z"))
+    found = changes.detect_changes(w.select("id", F.col("before").alias("title")), w.select("id", "title"), at)
+    return found.select("change_id", F.col("opportunity_id").alias("event_id"), "old_value", "new_value")
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS k FROM orders),
+         s AS (SELECT k FROM o WHERE k % 5 <> 0), b AS (SELECT k, k % 3 = 0 AS opened, k % 4 = 0 AS titled FROM o WHERE k % 2 = 0),
+         m AS (SELECT b.* FROM b JOIN s USING (k))
+    SELECT 'opportunities' AS what, count(*) AS n FROM o WHERE k % 5 <> 0 OR k % 2 = 0
+    UNION ALL SELECT 'snapshots', (SELECT count(*) FROM m WHERE opened OR titled) + (SELECT count(*) FROM b ANTI JOIN s USING (k))
+    UNION ALL SELECT 'changes', sum(opened::INT + titled::INT) FROM m
+    UNION ALL SELECT 'notifications', (SELECT sum(2 * opened::INT + titled::INT) FROM m) + (SELECT count(*) FROM b ANTI JOIN s USING (k))""")
+def p2_save_opportunities(spark, sf_dir):
+    """A batch of even orders over a state without every fifth: what each table of the store gets."""
+    k = F.col("o_orderkey")
+    held = _table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.lit("upcoming").alias("status"), F.lit("a").alias("title"), F.lit(0).alias("last_checked_at"), k.alias("k"))
+    batch = held.where("k % 2 = 0").withColumns({"status": F.when(F.col("k") % 3 == 0, "open").otherwise(F.col("status")), "title": F.when(F.col("k") % 4 == 0, "b").otherwise(F.col("title")), "last_checked_at": F.lit(1)})
+    out = state.save_opportunities(held.where("k % 5 <> 0").drop("k"), batch.drop("k"), F.lit("2026-10-06").cast("timestamp"))
+    counts = [df.agg(F.lit(n).alias("what"), F.count("*").alias("n")) for n, df in out.items()]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+@query("""
+    SELECT n_nationkey, r_name AS source_family, CASE WHEN r_regionkey % 2 = 0 THEN 'official' END AS source_role FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4""")
+def j1_context(spark, sf_dir):
+    """Nations as documents, regions as sources; one region isn't registered."""
+    registered = _table(spark, sf_dir, "region").where("r_regionkey < 4").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("source_id"), F.col("r_name").alias("family"), F.when(F.col("r_regionkey") % 2 == 0, "official").alias("role"), F.lit(None).cast("string").alias("canonical_source"), F.lit(None).cast("string").alias("authority_relationship"))
+    documents = _table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("s"), F.col("n_regionkey").cast("string")).alias("source_id"))
+    return registry.with_context(documents, registered).select("n_nationkey", "source_family", F.when(F.col("source_family").isNotNull(), F.col("source_role")).alias("source_role"))
+
+
+@query("""
+    SELECT count(*) AS sources, CAST(sum(o_orderkey % 9) AS BIGINT) AS received, CAST(sum(o_orderkey % 5) AS BIGINT) AS accepted, count(DISTINCT o_orderpriority) AS hashes, bool_and(o_orderkey >= 0) AS all_succeeded FROM orders""")
+def a3_fetch_totals(spark, sf_dir):
+    k = F.col("o_orderkey")
+    r = _table(spark, sf_dir, "orders").select((k % 9).alias("received"), (k % 5).alias("accepted"), (k % 2).alias("rejected"), k.alias("response_bytes"), F.col("o_orderpriority").alias("payload_sha256"), F.col("o_orderdate").alias("source_timestamp"), (k >= 0).alias("ok"))
+    return reports.fetch_totals(r).select("sources", "received", "accepted", F.size("hashes").cast("long").alias("hashes"), "all_succeeded")
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'http_' || (400 + event_id % 200) WHEN event_id % 6 = 0 THEN 'network_tls' WHEN event_id % 6 = 1 THEN 'network_dns' WHEN event_id % 6 = 2 THEN 'network_timeout'
+           WHEN event_id % 6 = 3 THEN 'network_connection_reset' WHEN event_id % 6 = 4 THEN 'network_os_error_' || (event_id % 100) END AS error_code FROM events""")
+def s8_error_codes(spark, sf_dir):
+    """Messages made from event ids; some fetches were answered with an error status."""
+    k = F.col("event_id")
+    said = F.element_at(F.array(*map(F.lit, ("<urlopen error [SSL: WRONG_VERSION] x>", "gaierror: Name or service not known", "The read operation timed out", "ConnectionResetError: [Errno 104]"))), (k % 6 + 1).cast("int"))
+    message = F.when(k % 6 < 4, said).when(k % 6 == 4, F.concat(F.lit("OSError: [Errno "), (k % 100).cast("string"), F.lit("] No route")))
+    return _table(spark, sf_dir, "events").select("event_id", reports.error_code(message, F.when(k % 7 == 0, 400 + k % 200)).alias("error_code"))
+
+
+@query("""
+    SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(json_object('id', CAST(n_nationkey AS VARCHAR), 'name', n_name, 'region', n_regionkey, 'unknown', NULL) AS VARCHAR) AS payload FROM nation""")
+def k5_payloads(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.lit(None).cast("string").alias("unknown"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("id"))
+    return sinks.payloads(n)
+
+
+@query("""
+    SELECT CASE WHEN merge THEN 'merge' ELSE 'candidate' END AS kind, count(*) FILTER (k % 2 = 0 AND (NOT merge OR k % 4 = 0)) AS predicted, count(*) FILTER (k % 2 = 0 AND (NOT merge OR k % 4 = 0) AND k % 3 = 0) AS correct,
+           count(*) FILTER (k % 2 = 0 AND (NOT merge OR k % 4 = 0) AND k % 3 <> 0) AS false_positives, count(*) FILTER (k % 3 = 0) AS expected FROM (SELECT c_custkey AS k FROM customer), (VALUES (true), (false)) t(merge) GROUP BY merge""")
+def m12_duplicate_report(spark, sf_dir):
+    k = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    labels = k.select(F.col("k").alias("a"), (-F.col("k") - 1).alias("b"), (F.col("k") % 3 == 0).alias("same"))
+    found = k.where("k % 2 = 0").select((-F.col("k") - 1).alias("a"), F.col("k").alias("b"), F.when(F.col("k") % 4 == 0, "exact").otherwise("possible").alias("kind"))
+    return metrics.duplicate_report(labels, found).select("kind", "predicted", "correct", "false_positives", "expected")
+
+
+@query("""
+    SELECT count(*) AS spans, count(*) FILTER (doc_id % 5 > 0 OR text[4:4] = text[5:5] AND text[5:5] = text[6:6] AND text[6:6] = text[7:7]) AS valid FROM documents WHERE length(text) > 20""")
+def m13_span_validity(spark, sf_dir):
+    """Three characters of each text as evidence; those of every fifth are cited a place too far."""
+    d = _table(spark, sf_dir, "documents").where(F.length("text") > 20)
+    shift = F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    e = d.select("text", F.lit(3).alias("start"), F.lit(6).alias("end"), F.substring(F.col("text"), F.lit(4) + shift, F.lit(3)).alias("excerpt"))
+    return metrics.span_validity(e).select("spans", "valid")
+
+
 @query("""
     WITH w AS (SELECT user_id, event_id, event_type, value, props, lag(event_type) OVER o AS t0, lag(value) OVER o AS v0, lag(props) OVER o AS p0, row_number() OVER o AS n FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
          u AS (SELECT event_id, 'event_type' AS field FROM w WHERE n > 1 AND event_type IS DISTINCT FROM t0 UNION ALL SELECT event_id, 'value' FROM w WHERE n > 1 AND value IS DISTINCT FROM v0 UNION ALL SELECT event_id, 'props' FROM w WHERE n > 1 AND props IS DISTINCT FROM p0)
@@ -359,11 +560,16 @@ def p2_upsert(spark, sf_dir):
 
 
 @query("""
-    SELECT source, count(*) AS records, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars < 500) AS short, min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(sum(n_chars) AS BIGINT) AS chars,
-           CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS only_lang, bool_and(n_chars > 0) AS all_filled FROM documents GROUP BY source""")
+    WITH r AS (SELECT source, lang, CASE WHEN doc_id % 3 > 0 THEN lang END AS c, CASE WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 > 1 THEN 't' END AS t, doc_id % 5 = 0 AS topic, doc_id % 5 = 1 AS tender FROM documents),
+         k AS (SELECT source, string_agg(lang || ':' || n, ',' ORDER BY lang) AS types FROM (SELECT source, lang, count(*) AS n FROM r GROUP BY ALL) GROUP BY source)
+    SELECT source AS source_id, count(*) AS records, count(c) AS call_ids, count(*) FILTER (t = 't') AS topic_ids, count(*) FILTER (c IS NOT NULL OR t = 't') AS either, count(*) FILTER (topic) AS topic_urls, count(*) FILTER (tender) AS tender_urls, any_value(types) AS types
+    FROM r JOIN k USING (source) GROUP BY source""")
 def a6_quality(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count("*").alias("records"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") < 500).alias("short"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_chars").alias("chars"), F.when(F.count_distinct("lang") == 1, F.min("lang")).alias("only_lang"), F.bool_and(F.col("n_chars") > 0).alias("all_filled"))
+    k = F.col("doc_id")
+    url = F.when(k % 5 == 0, "https://x/TOPIC-details/1").when(k % 5 == 1, "https://x/tender-details/1")
+    d = _table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.when(k % 3 > 0, F.col("lang")).alias("call_id"), F.when(k % 4 == 1, "").when(k % 4 > 1, "t").alias("topic_id"), url.alias("canonical_url"), F.col("lang").alias("opportunity_type"))
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return reports.source_quality(d).withColumn("types", types)
 
 
 @query("""
@@ -425,7 +631,9 @@ def m2_recall(spark, sf_dir):
 
 @query(_HITS_SQL + "SELECT query_id, round(coalesce(1.0 / min(rank), 0), 6) AS rr FROM want LEFT JOIN got USING (query_id, item_id) GROUP BY query_id")
 def m9_mrr(spark, sf_dir):
-    return metrics.reciprocal_rank(*_hits(spark, sf_dir)).withColumn("rr", F.round("rr", 6))
+    want, _ = _hits(spark, sf_dir)
+    scores = _table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item_id"), F.col("n_chars").alias("score"))
+    return metrics.reciprocal_rank_of_scores(want, scores).withColumn("rr", F.round("rr", 6))
 
 
 @query("""

@@ -68,7 +68,12 @@ def test_divergence_and_totals(spark):
     fetched = spark.createDataFrame([("a", 2, 1, 1, 10, "h", "t", True), ("b", 3, 3, 0, 5, "h", "t", False)], "source_id string, received int, accepted int, rejected int, response_bytes int, payload_sha256 string, source_timestamp string, ok boolean")
     t = reports.fetch_totals(fetched).first()
     assert (t.received, t.bytes, t.hashes, t.timestamp, t.all_succeeded) == (5, 15, ["h"], "t", False)
-    assert spark.range(1).select(reports.error_code(F.lit("Read timed out"))).first()[0] == "timeout"
+    assert spark.range(1).select(reports.error_code(F.lit("Read timed out"))).first()[0] == "network_timeout"
+    said = {"[Errno 104] Connection reset by peer": "network_connection_reset", "[SSL: CERTIFICATE_VERIFY_FAILED]": "network_tls", "gaierror: [Errno -2] Name or service not known": "network_dns", "[Errno 113] No route to host": "network_os_error_113", "odd": "network_request_failed", "[Errno 111] Connection refused": "network_connection_refused"}
+    rows = spark.createDataFrame([(k,) for k in said], "m string").select("m", reports.error_code(F.col("m")).alias("c")).collect()
+    assert {r.m: r.c for r in rows} == said
+    failed = reports.failures(spark.createDataFrame([("a", 503, "down", None), ("b", 200, "x", None), ("c", None, None, "timed out")], "source_id string, http_status int, body string, error string")).collect()
+    assert [(r.source_id, r.error_code, r.http_status, r.response_bytes, r.payload_sha256 is None) for r in failed] == [("a", "http_503", 503, 4, False), ("c", "network_timeout", None, 0, True)]
 
 
 def test_landing(spark, tmp_path):

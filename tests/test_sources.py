@@ -74,9 +74,46 @@ def test_annual_plan(spark):
     out = xlsx.annual_plan(rows).orderBy("row").collect()
     assert [(r.reject_reason, json.loads(r.record)["ID"] if r.record else None) for r in out] == [(None, "P1"), ("missing_supported_title", None), (None, "P3")]
     assert [json.loads(r.record)["ID"] for r in xlsx.annual_plan(rows, "agua NORTE").collect()] == ["P1"]
-    for broken in (b"x", workbook([], '<row><c r="XFE1"><v>1</v></c></row>'), workbook([], '<row><c r="A1" t="s"><v>-1</v></c></row>')):
+    for broken in (b"x", workbook([], '<row><c r="XFE1"><v>1</v></c></row>'), workbook([], '<row><c r="IW1"><v>1</v></c></row>'), workbook([], '<row><c r="A1" t="s"><v>-1</v></c></row>'), workbook([])):
         with pytest.raises(xlsx.WorkbookError):
             xlsx.rows_of(broken)
+    assert xlsx.rows_of(workbook([], '<row><c r="A1" t="s"/><c r="?"><v>9</v></c><c r="B1"><v>1</v></c></row>')) == [["", "1"]]
+
+
+def test_first_sheet_is_the_one_the_workbook_names_first():
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    sheet = lambda v: f'<worksheet xmlns="{main}"><sheetData><row><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="b" r:id="r2"/><sheet name="a" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": sheet(1),
+        "xl/worksheets/sheet2.xml": sheet(2),
+    }
+
+    def book(**change):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in (parts | change).items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    assert xlsx.rows_of(book()) == [["2"]]
+    hidden = '<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE x [<!ENTITY e "5">]>' + sheet("&e;")
+    for wrong in (hidden.encode("utf-16"), hidden.replace("UTF-16", "UTF-8")):
+        with pytest.raises(xlsx.WorkbookError):
+            xlsx.rows_of(book(**{"xl/worksheets/sheet2.xml": wrong}))
+    with pytest.raises(xlsx.WorkbookError):
+        xlsx.rows_of(book(**{"xl/_rels/workbook.xml.rels": parts["xl/_rels/workbook.xml.rels"].replace("worksheets/sheet2", "../other/sheet2")}))
+
+
+def test_broken_workbooks_are_rows(spark):
+    good = workbook([["Número do Aviso", "Designação", "Programa", "Fundo", "Nota"], ["1", "T", "P", "F", "n"]])
+    files = [("a", good), ("b", b"x"), ("c", workbook([["ID", "Nome"], ["1", "2"]])), ("d", workbook([["ID", "Designação", "Programa", "id"], ["1", "2", "3", "4"]]))]
+    out = xlsx.annual_plan(xlsx.sheets(spark.createDataFrame([(p, bytearray(d)) for p, d in files], "path string, content binary")))
+    rows = {r.path: r for r in out.collect()}
+    assert json.loads(rows["a"].record) == {"Número do Aviso": "1", "Designação": "T", "Programa": "P", "Fundo": "F"}
+    assert {p: r.reject_reason for p, r in rows.items()} == {"a": None, "b": "error: not a workbook", "c": "missing_required_header", "d": "duplicate_headers"}
 
 
 def test_html(spark):
