@@ -35,7 +35,7 @@ from lodestar.llm.ordered import order_key
 BANDS, ROWS, SIMILAR = 26, 5, 0.8
 #: Members that meet a leader in one task; members of either side of a bucket that meet in one task, and
 #: their shingles; words whose signatures are made at once.
-BLOCK, PART, PART_WORDS, WORDS_AT_ONCE = 2_000, 2_000, 2_000_000, 400_000
+BLOCK, PART, PART_WORDS, WORDS_AT_ONCE = 2_000, 500, 2_000_000, 400_000
 
 
 def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
