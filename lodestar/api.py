@@ -14,7 +14,7 @@ PROFILE = {"country": "str", "regions": "arr", "applicant_types": "arr", "compan
 def source_list(sources: DataFrame) -> DataFrame:
     """The registry as a list, with a label of how each source stands."""
     label = F.when(F.col("enabled") & (F.col("status") == "active"), "active").when(F.col("status") == "active", "off").otherwise(F.col("status"))
-    return sources.select("source_id", "name", "family", label.alias("label"), "last_verified").orderBy("source_id")
+    return sources.select("source_id", "name", F.col("source_family").alias("family"), label.alias("label"), "last_verified").orderBy("source_id")
 
 
 def source_check(scanned: DataFrame) -> dict[str, DataFrame]:
@@ -32,7 +32,9 @@ def discover(documents: DataFrame, known: DataFrame, at: Column) -> dict[str, Da
     exact, probable and possible matches; of records that share an id in the batch the last retrieved counts.
     Within the batch records arrive in the order of their ids.
     """
-    new = state.keep_latest(evidence.normalize(documents), ["id"], [F.desc("source_retrieved_at")])
+    # written once: several joins below read it, and none of them should parse the documents again
+    matching.shared_checkpoints(documents.sparkSession)
+    new = state.keep_latest(evidence.normalize(documents), ["id"], [F.desc("source_retrieved_at")]).checkpoint()
     results = matching.discover_duplicates(new, known.where(F.col("duplicate_of").isNull()))
     marked = new.join(results.select(F.col("candidate").alias("id"), "canonical_id"), "id").withColumn("duplicate_of", F.col("canonical_id")).select(*new.columns)
     out = state.save_opportunities(known.select(*new.columns), marked, at)

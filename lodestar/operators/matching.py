@@ -149,7 +149,7 @@ def find_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return _results(new, strong_matches(new, known), review_matches(new, known))
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def shared_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the folder that driver and executors share; a temporary one only in a local session."""
     if spark.sparkContext.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
@@ -165,7 +165,7 @@ def canonical_among(new: DataFrame, known: DataFrame) -> DataFrame:
     exactly; the smallest of those is canonical. Each round settles records that have no earlier one undecided, and
     all that match these; records of one address or topic settle in two rounds, however many they are.
     """
-    _checkpoints(new.sparkSession)
+    shared_checkpoints(new.sparkSession)
     before = smallest_match(new, known)
     fresh = new.join(before, new.id == before.candidate, "left_anti").checkpoint()
     open_, heads = fresh, fresh.limit(0)
@@ -188,9 +188,10 @@ def canonical_among(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def discover_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidate, kind, canonical_id, matched_by, where candidates also see earlier canonical ones of their batch."""
-    new, known = prepared(candidates), prepared(existing)
+    shared_checkpoints(candidates.sparkSession)
+    new, known = prepared(candidates).checkpoint(), prepared(existing).checkpoint()
     to = canonical_among(new, known).checkpoint()
-    heads = new.join(to.where(F.col("canonical_id").isNull()).select("id"), "id")
+    heads = new.join(to.where(F.col("canonical_id").isNull()).select("id"), "id").checkpoint()
     own = new.select("id", "url", "topic").join(to.where(F.col("canonical_id").isNotNull()), "id")
     other = known.unionByName(heads).select(F.col("id").alias("canonical_id"), F.col("url").alias("u"), F.col("topic").alias("t")).dropDuplicates(["canonical_id"])
     by = F.array_compact(F.array(F.when(F.col("u") == F.col("url"), "canonical_url"), F.when(F.col("t") == F.col("topic"), "topic_id")))
@@ -198,7 +199,7 @@ def discover_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame
     inner = review_matches(new, heads, earlier=True)
     review = review_matches(new, known).unionByName(inner)
     one = review.groupBy("candidate").agg(F.min_by(F.struct("existing", "kind", "matched_by"), F.struct(F.col("kind") != "probable", "existing")).alias("m"))
-    return _results(new, strong, one.select("candidate", "m.existing", "m.kind", "m.matched_by"))
+    return _results(new, strong, one.select("candidate", "m.existing", "m.kind", "m.matched_by")).checkpoint()
 
 
 def incremental(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def incremental(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     matches it; the smallest such id is canonical. Each round settles the records that no undecided earlier one
     matches, and all that match these; their edges go. State is checkpointed, not collected.
     """
-    _checkpoints(nodes.sparkSession)
+    shared_checkpoints(nodes.sparkSession)
     edges = edges.select("a", "b").distinct().checkpoint()
     left, gone = edges, None
     while not left.isEmpty():

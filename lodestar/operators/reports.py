@@ -82,6 +82,37 @@ def divergence(canonical: DataFrame, variants: DataFrame, fields: tuple[str, ...
     return own.join(other, ["canonical_id", "field"]).where(~F.col("canonical_value").eqNullSafe(F.col("variant_value"))).select("canonical_id", "variant_id", "field", "canonical_value", "variant_value")
 
 
+def assessment_report(calls: DataFrame, assessments: DataFrame, findings: DataFrame, divergences: DataFrame) -> DataFrame:
+    """organisation_id, opportunity_id, text: a Markdown report of each assessment of the calls.
+
+    findings: organisation_id, opportunity_id, rule_id, state, cited; divergences: canonical_id, variant_id, field and
+    both values. Rules are named by their reasons; what isn't known says so.
+    """
+    said = lambda c, other="unknown": F.coalesce(c.cast("string"), F.lit(other))
+    listed = lambda items, other: F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(items, "\n")).otherwise(other)
+    c = calls.select(F.col("id").alias("opportunity_id"), F.coalesce("title", "id").alias("name"), "programme", "authority", "status", "opportunity_type", "deadline", "budget_total", "funding_max", "canonical_url", F.transform("eligibility_rules", lambda r: F.struct(r["rule_id"].alias("id"), r["reason"].alias("reason"))).alias("rules"))
+    f = findings.groupBy("organisation_id", "opportunity_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "state", "cited"))).alias("found"))
+    d = divergences.groupBy(F.col("canonical_id").alias("opportunity_id")).agg(F.array_sort(F.collect_list(F.struct("variant_id", "field", "canonical_value", "variant_value"))).alias("variants"))
+    rows = assessments.join(c, "opportunity_id").join(f, ["organisation_id", "opportunity_id"], "left").join(d, "opportunity_id", "left")
+    reason = lambda x: F.coalesce(F.try_element_at(F.filter("rules", lambda r: r["id"] == x["rule_id"]), F.lit(1))["reason"], x["rule_id"])
+    finding = lambda x: F.concat(F.lit("- "), x["state"], F.lit(": "), reason(x), F.when(F.size(x["cited"]) > 0, F.concat(F.lit(" ["), F.array_join(x["cited"], ", "), F.lit("]"))).otherwise(" (no evidence)"))
+    part = lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), said(x["score"], "no data"), F.lit(" (weight "), x["weight"].cast("string"), F.lit(")"))
+    differs = lambda x: F.concat(F.lit("- "), x["field"], F.lit(": "), said(x["canonical_value"]), F.lit(" here, "), said(x["variant_value"]), F.lit(" in "), x["variant_id"])
+    facts = F.array(*[F.concat(F.lit(f"- {label}: "), said(F.col(n))) for n, label in (("programme", "Programme"), ("authority", "Authority"), ("status", "Status"), ("opportunity_type", "Type"), ("deadline", "Deadline"), ("budget_total", "Budget"), ("funding_max", "Most funding"), ("canonical_url", "Official page"))])
+    text = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("# "), F.col("name")),
+        F.array_join(facts, "\n"),
+        F.concat(F.lit("## Eligibility: "), F.col("state")),
+        listed(F.transform("found", finding), "No rules were published."),
+        F.concat(F.lit("## Fit: "), F.coalesce(F.concat(F.col("overall").cast("string"), F.lit("/100")), F.lit("not scored"))),
+        listed(F.transform("components", part), "Nothing was scored."),
+        F.lit("## What variants of the call say differently"),
+        listed(F.transform("variants", differs), "Nothing, or there are no variants."),
+    )
+    return rows.select("organisation_id", "opportunity_id", F.concat(text, F.lit("\n")).alias("text"))
+
+
 def check_briefs(briefs: DataFrame, evidence: DataFrame) -> DataFrame:
     """id, brief, reject_reason of model answers (id, payload JSON): shape, limits, and that each citation is known.
 

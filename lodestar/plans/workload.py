@@ -456,7 +456,7 @@ def p2_save_opportunities(spark, sf_dir):
     SELECT n_nationkey, r_name AS source_family, CASE WHEN r_regionkey % 2 = 0 THEN 'official' END AS source_role FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4""")
 def j1_context(spark, sf_dir):
     """Nations as documents, regions as sources; one region isn't registered."""
-    registered = _table(spark, sf_dir, "region").where("r_regionkey < 4").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("source_id"), F.col("r_name").alias("family"), F.when(F.col("r_regionkey") % 2 == 0, "official").alias("role"), F.lit(None).cast("string").alias("canonical_source"), F.lit(None).cast("string").alias("authority_relationship"))
+    registered = _table(spark, sf_dir, "region").where("r_regionkey < 4").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("source_id"), F.col("r_name").alias("source_family"), F.when(F.col("r_regionkey") % 2 == 0, "official").alias("source_role"), F.lit(None).cast("string").alias("canonical_source"), F.lit(None).cast("string").alias("authority_relationship"))
     documents = _table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("s"), F.col("n_regionkey").cast("string")).alias("source_id"))
     return registry.with_context(documents, registered).select("n_nationkey", "source_family", F.when(F.col("source_family").isNotNull(), F.col("source_role")).alias("source_role"))
 

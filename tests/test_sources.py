@@ -1,9 +1,11 @@
 import io
 import json
 import zipfile
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
+
 from lodestar.sources import corpus, evidence, html, records, registry, xlsx
 
 DETAIL = "https://ec.europa.eu/info/funding-tenders/opportunities/portal/screen/opportunities/topic-details/"
@@ -145,16 +147,37 @@ def test_normalize(spark):
     assert spans and all(text[s.start : s.end] == s.excerpt for s in spans if s.source_id == "eu_funding_tenders")
 
 
+SOURCE = {
+    "source_id": "cinea", "name": "Agency", "status": "active", "authority": "A", "jurisdiction": "direct_eu", "official": True, "base_url": "https://cinea.ec.europa.eu/x", "discovery_method": "html", "content_types": ["text/html"],
+    "opportunity_types": ["grant"], "check_cadence": "weekly", "enabled": True, "priority": 1, "legal_notes": "n", "last_verified": "2026-01-02", "adapter": "cinea_life_html", "source_family": "eu", "source_role": "publisher", "snapshot_policy": "bounded_normalized",
+}
+
+
 def test_registry(spark, tmp_path):
-    src = {"source_id": "cinea", "family": "eu", "role": "agency", "adapter": "agency_site", "status": "active", "enabled": True, "last_verified": "2026-01-02"}
-    (tmp_path / "r.json").write_text(json.dumps({"version": 1, "sources": [src, src | {"source_id": "x", "enabled": False}]}))
-    reg = registry.load(spark, str(tmp_path / "r.json"))
-    assert registry.active(reg).count() == 1
+    path = tmp_path / "r.json"
+    write = lambda *sources, **more: path.write_text(json.dumps({"version": 1, "default_cadence": "weekly", "sources": list(sources)} | more))
+    write(SOURCE, SOURCE | {"source_id": "x", "enabled": False, "last_verified": None, "status": "pending_policy"})
+    reg = registry.load(spark, str(path))
+    assert registry.active(reg).count() == 1 and {r.legal_status for r in reg.collect()} == {"policy_unverified"}
     docs = spark.createDataFrame([("cinea_life",), ("none",)], "source_id string")
-    assert {r.source_id: r.source_family for r in registry.with_context(docs, reg).collect()} == {"cinea_life": "eu", "none": None}
-    (tmp_path / "r.json").write_text(json.dumps({"version": 1, "sources": [src, src]}))
+    assert {r.source_id: (r.source_family, r.snapshot_policy) for r in registry.with_context(docs, reg).collect()} == {"cinea_life": ("eu", "bounded_normalized"), "none": (None, None)}
+    kept = spark.createDataFrame([("a", "bounded_normalized"), ("a" * 16385, "bounded_normalized"), ("a", "hash_and_excerpt"), ("a", None)], "t string, p string")
+    assert [r.s is not None for r in kept.select(records.snapshot(F.col("t"), F.col("p")).alias("s")).collect()] == [True, False, False, False]
+    for change in ({"last_verified": "2026-13-01"}, {"surprise": 1}, {"priority": 6}, {"base_url": "http://x"}, {"last_verified": None}, {"source_role": "agency"}, {"content_types": [""]}, {"commercial_redistribution": True}):
+        write(SOURCE | change)
+        with pytest.raises(ValueError):
+            registry.load(spark, str(path))
+    for more in ({"sources": [SOURCE, SOURCE]}, {"version": 2}, {"default_cadence": "hourly"}, {"sources": None}):
+        write(**more)
+        with pytest.raises(ValueError):
+            registry.load(spark, str(path))
+
+
+def test_notice_request():
+    assert records.notice_request(" ", 5, date(2026, 10, 6))["query"] == "publication-date >= 20251006"
+    assert records.notice_request("x = 1", 5, date(2026, 10, 6))["query"] == "x = 1"
     with pytest.raises(ValueError):
-        registry.load(spark, str(tmp_path / "r.json"))
+        records.notice_request("x" * 501, 5, date(2026, 10, 6))
 
 
 def test_corpus(spark, tmp_path):
