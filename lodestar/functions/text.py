@@ -34,6 +34,19 @@ def _class(characters: Iterable[str]) -> str:
 
 #: Of casefold() after lower(); of compatibility decomposition without combining marks.
 _CASES, _PLAIN = _mapping(lambda c: c.lower().casefold() if c.lower() == c else c), _mapping(_without_marks)
+#: Most texts of Latin letters have none beyond U+017F. They need few replacements, and patterns of one range, which
+#: cost a fraction of others.
+_ASCII, _LATIN = r"[^\x00-\x7F]", r"[^\x00-\x{17F}]"
+
+
+def _near(mapping: tuple[str, str, dict[str, str]]) -> tuple[str, str, dict[str, str]]:
+    """The part of a mapping for characters up to U+017F."""
+    source, target, several = mapping
+    one = [(c, x) for c, x in zip(source, target) if c <= "\u017f"]
+    return "".join(c for c, _ in one), "".join(x for _, x in one), {c: x for c, x in several.items() if c <= "\u017f"}
+
+
+_CASES_NEAR, _PLAIN_NEAR = _near(_CASES), _near(_PLAIN)
 #: Fixed values of Unicode: the letters of Hangul syllables, in the order of their numbers.
 _LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -70,15 +83,24 @@ def _mapped(x: Column, mapping: tuple[str, str, dict[str, str]], hangul: bool =
     return let(F.translate(x, source, target), longer)
 
 
+def _replaced(x: Column, several: dict[str, str]) -> Column:
+    for c, y in several.items():
+        x = F.replace(x, F.lit(c), F.lit(y))
+    return x
+
+
 def casefold(c: Column) -> Column:
     """As Python's casefold(): lower case, and the few letters that it changes further."""
-    rare = _class([*_CASES[0], *_CASES[2]])
-    return let(F.lower(c), lambda x: F.when(x.rlike(rare), _mapped(x, _CASES)).otherwise(x))
+    source, target, several = _CASES_NEAR
+    near = lambda x: _replaced(x, several | dict(zip(source, target)))
+    return let(F.lower(c), lambda x: F.when(~x.rlike(_ASCII), x).when(x.rlike(_LATIN), _mapped(x, _CASES)).otherwise(near(x)))
 
 
 def unaccent(c: Column) -> Column:
     """Compatibility decomposition (NFKD) without combining marks."""
-    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), _mapped(x, _PLAIN, True)).otherwise(x))
+    source, target, several = _PLAIN_NEAR
+    near = lambda x: F.translate(_replaced(x, several), source, target)
+    return let(c, lambda x: F.when(~x.rlike(_ASCII), x).when(x.rlike(_LATIN), _mapped(x, _PLAIN, True)).otherwise(near(x)))
 
 
 def fold(c: Column) -> Column:
