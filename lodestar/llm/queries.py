@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, mtree, neardup, quality, sentencepieces, simple8b, suffixtree, toxicity, warc
+from lodestar.llm import fingerprints, mixing, mtree, neardup, quality, sentencepieces, simple8b, suffixtree, toxicity, warc, whitening
 from lodestar.llm.common import documents, scratch_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -64,7 +64,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality, op12_whitening)}
 
 ORACLE_SQL = {
     "op4_warc": """
