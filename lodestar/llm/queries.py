@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, mtree, neardup, quality, sentencepieces, simple8b, suffixtree, toxicity, warc, whitening
+from lodestar.llm import fingerprints, mixing, mtree, neardup, prefixtrie, quality, sentencepieces, simple8b, suffixtree, toxicity, warc, whitening
 from lodestar.llm.common import documents, scratch_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -68,7 +68,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality, op12_whitening)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality, op12_whitening, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -87,4 +91,27 @@ ORACLE_SQL = {
                    FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    # h is CRC-32 of the id's digits, bit by bit; a node's key is the digests of its turns in a row, 32 characters each
+    "op13_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             l AS (SELECT c, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS s,
+                          xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                              lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 4 AS h
+                   FROM t GROUP BY c),
+             r AS (SELECT a.c, list_concat(coalesce(list_slice(b.s, 1, a.h), []), list_slice(a.s, a.h + 1, len(a.s))) AS s
+                   FROM l a LEFT JOIN l b ON b.c = a.c - a.c % 20),
+             p AS (SELECT c, d, len(s) AS n, list_aggregate(list_transform(list_slice(s, 1, d), lambda x: x.k), 'string_agg', '') AS k, s[d].w AS w
+                   FROM r, unnest(range(0, len(s) + 1)) AS u(d)),
+             m AS (SELECT d, coalesce(k, '') AS k, min(c) AS conv_id, count(*) AS n_convs, coalesce(max(w), 0) AS w,
+                          sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS e
+                   FROM p GROUP BY 1, 2),
+             x AS (SELECT m.*, coalesce(q.n, 0) AS n_children FROM m LEFT JOIN
+                   (SELECT d - 1 AS d, left(k, CAST(32 * d - 32 AS INTEGER)) AS k, count(*) AS n FROM m WHERE d > 0 GROUP BY 1, 2) q ON q.d = m.d AND q.k = m.k),
+             s AS (SELECT a AS d, left(k, CAST(32 * a AS INTEGER)) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved
+                   FROM x, unnest(range(0, d + 1)) AS u(a) GROUP BY 1, 2)
+        SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, CAST(x.n_children AS BIGINT) AS n_children,
+               CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.e AS ends_sha256
+        FROM x JOIN s ON s.d = x.d AND s.k = x.k LEFT JOIN x y ON y.d = x.d - 1 AND y.k = left(x.k, CAST(32 * x.d - 32 AS INTEGER))""",
 }
