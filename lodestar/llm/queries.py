@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, mixing, mtree, neardup, prefixtrie, quality, sentencepieces, simple8b, suffixtree, toxicity, warc, whitening
+from lodestar.llm import fingerprints, mixing, mtree, neardup, prefixtrie, quality, sentencepieces, simple8b, suffixtree, toxicity, warc, whitening, wrappers
 from lodestar.llm.common import documents, scratch_path
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -64,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -72,7 +76,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality, op12_whitening, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_mixing, op4_warc, op5_neardup, op6_suffix_tree, op7_token_file, op8_toxicity, op9_topk, op10_quality, op11_main_text, op12_whitening, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -91,6 +95,14 @@ ORACLE_SQL = {
                    FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    # these pages hold their text in an article of headings and paragraphs
+    "op11_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g') AS h FROM pages),
+             b AS (SELECT page_id, url, list_transform(string_split_regex(replace(h, '<br>', ' '), '<[^>]*>'),
+                          lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'),
+                                                        '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))) AS parts FROM a),
+             t AS (SELECT page_id, url, coalesce(list_aggregate(list_filter(parts, lambda x: x <> ''), 'string_agg', chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
     # h is CRC-32 of the id's digits, bit by bit; a node's key is the digests of its turns in a row, 32 characters each
     "op13_prefix_trie": r"""
         WITH t AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
