@@ -8,11 +8,14 @@ of its turns' digests hashed with their places, twice 64 bits.
 1. Equal sequences combine: conversations that end at a node become one sequence with their number, smallest id
    and the digest of their ids (joined in blocks of ids first, so a common sequence is many short rows).
 2. Nodes that more than ``MOST`` distinct sequences pass are heavy; they are the upper levels, at most a
-   ``MOST``-th of all rows. Every sequence leaves them at one light node, the root of its part of the trie.
+   ``MOST``-th of all rows. Every sequence leaves them at one light node, the root of its part of the trie. Nodes that
+   more than the square (cube, ...) of ``MOST`` pass are the next upper level, and so on: a part of each level has a
+   root of its own and at most ``MOST`` nodes of each depth.
 3. Light parts go to tasks by their root, whole and bounded, some at a time. Numpy lays each lot out level by level
    as a LOUDS bit vector with its label arrays; parents come from rank and select on it, and the rollups from
    ``add.at`` over levels from the last to the first.
-4. The heavy levels merge apart: sums over light roots by their heavy parent, then the same trie over the heavy nodes.
+4. The heavy levels merge apart, one after the other: sums over the roots below by their heavy parent, then the same
+   tries over the level's nodes, part by part.
 
 A conversation is one path, and its turns are numbered in one task (as a stream that can spill).
 
@@ -39,7 +42,7 @@ from lodestar.llm.common import saved, spread
 FAMILY, LENT = 20, 4
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct sequences that a light part has at most; rows that numpy lays out at a time (and the rest of a part).
-MOST, LOT = 5_000, 40_000
+MOST, LOT = 400, 40_000
 #: Ids of one block of a node's members are those that agree above so many bits.
 BLOCK_BITS = 7
 #: Heavy nodes that are sent to all tasks; more of them are joined.
@@ -232,17 +235,17 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _upper(rows: pd.DataFrame) -> pd.DataFrame:
-    """The heavy nodes and the root, with the sums of what hangs below them."""
+    """The nodes of a part of heavy nodes, with the sums of what hangs below them."""
     rows = rows.sort_values(["depth", "p1", "p2"], ignore_index=True)
     number = {k: i for i, k in enumerate(zip(rows["depth"], rows["p1"], rows["p2"]))}
-    parent = np.array([-1 if d == 0 else number[d - 1, a, b] for d, a, b in zip(rows["depth"], rows["q1"], rows["q2"])])
-    trie = Louds(rows["depth"].to_numpy(np.int64), parent)
+    parent = np.array([number.get((d - 1, a, b), -1) for d, a, b in zip(rows["depth"], rows["q1"], rows["q2"])])
+    trie = Louds(rows["depth"].to_numpy(np.int64) - int(rows["depth"].iloc[0]), parent)
     at = rows.iloc[trie.order]
     whole = lambda c: at[c].to_numpy(np.int64)
     out = pd.DataFrame(rollups(trie, whole("n"), whole("least"), whole("words"), whole("children"), whole("leaves"), whole("saved")))
     up, ids = trie.parents, out["conv_id"].to_numpy()
     out["parent_conv_id"] = pd.array([None if p < 0 else int(ids[p]) for p in up], "Int64")
-    out["depth"], out["ends_sha256"], out["top"] = whole("depth"), at["ends"].to_numpy(), False
+    out["depth"], out["ends_sha256"], out["top"] = whole("depth"), at["ends"].to_numpy(), (up < 0) & (whole("depth") > 0)
     for c in ("p1", "p2", "q1", "q2"):
         out[c] = whole(c)
     return out[out["n_convs"] > 0]
@@ -256,28 +259,48 @@ def nodes(turns: DataFrame, none: DataFrame) -> DataFrame:
     stops = saved(ends(last), "ends")
     # a sequence's rows are those of its smallest conversation; every row but the last one of the others goes here
     one = saved(paths.join(stops.where("depth > 0").select("conv_id", "n_ends", "ends"), "conv_id"), "sequences")
-    passing = one.groupBy("depth", "p1", "p2", "q1", "q2", "words").agg(F.count("*").alias("passing"))
-    heavy = saved(passing.where(F.col("passing") > MOST).drop("passing"), "heavy")
-    few = heavy.count() <= AT_HAND
-    near = F.broadcast if few else lambda df: df
     key = ["depth", "p1", "p2"]
-    light = one.join(near(heavy.select(*key)), key, "left_anti")
+    passing = one.groupBy(*key, "q1", "q2", "words").agg(F.count("*").alias("passing")).where(F.col("passing") > MOST)
+    level = sum((F.col("passing") > min(MOST**k, (1 << 63) - 1)).cast("int") for k in range(1, 8))
+    heavy = saved(passing.select(*key, level.alias("level")), "heavy")
+    count, levels = heavy.agg(F.count("*"), F.max("level")).first()
+    near = F.broadcast if count <= AT_HAND else lambda df: df
     order = Window.partitionBy("conv_id").orderBy("depth")
-    light = light.withColumn("r1", F.first("p1").over(order)).withColumn("r2", F.first("p2").over(order))
+    light = one.join(near(heavy), key, "left_anti").withColumn("r1", F.first("p1").over(order)).withColumn("r2", F.first("p2").over(order))
     light = light.withColumn("ends", F.when(F.col("last"), F.col("ends")))
-    parts = saved(light.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "conv_id", "depth").mapInArrow(_parts, NODES), "parts")
-    below = parts.where("top").groupBy((F.col("depth") - 1).cast("int").alias("depth"), F.col("q1").alias("p1"), F.col("q2").alias("p2"))
+    done = [saved(light.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "conv_id", "depth").mapInArrow(_parts, NODES), "parts")]
+    order = Window.partitionBy("conv_id", "level").orderBy("depth")
+    above = one.join(near(heavy), key).withColumn("r1", F.first("p1").over(order)).withColumn("r2", F.first("p2").over(order))
+    above = saved(above.select(*key, "q1", "q2", "words", "level", "r1", "r2").distinct(), "above") if levels else None
+    root = heavy.sparkSession.range(1).select(F.lit(0).alias("depth"), *(zero.alias(c) for c in ("p1", "p2", "q1", "q2")), F.lit(0).alias("words"), zero.alias("r1"), zero.alias("r2"))
+    for k in range(1, (levels or 0) + 2):
+        rows = above.where(F.col("level") == k).drop("level") if k <= (levels or 0) else root
+        done.append(saved(_on_top(rows, done, stops).groupBy("r1", "r2").applyInPandas(_upper, NODES), f"upper-{k}"))
+    parents = None
+    for df in done[1:]:
+        df = df.select((F.col("depth") + 1).alias("depth"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("up"))
+        parents = df if parents is None else parents.unionByName(df)
+    out = None
+    for df in done:
+        tops = df.where("top").join(near(parents), ["depth", "q1", "q2"]).withColumn("parent_conv_id", F.col("up"))
+        df = df.where("NOT top").select(*COLUMNS).unionByName(tops.select(*COLUMNS))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _on_top(rows: DataFrame, done: list[DataFrame], stops: DataFrame) -> DataFrame:
+    """Heavy nodes with the sums over the roots of lower levels right below them, and what ends at them."""
+    key, zero, far = ["depth", "p1", "p2"], F.lit(0).cast("long"), F.lit((1 << 63) - 1)
+    tops = None
+    for df in done:
+        df = df.where("top")
+        tops = df if tops is None else tops.unionByName(df)
+    below = tops.groupBy((F.col("depth") - 1).cast("int").alias("depth"), F.col("q1").alias("p1"), F.col("q2").alias("p2"))
     below = below.agg(F.sum("n_convs").alias("n"), F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"), F.min("conv_id").alias("least"))
-    root = heavy.sparkSession.range(1).select(F.lit(0).alias("depth"), *(zero.alias(c) for c in ("p1", "p2", "q1", "q2")), F.lit(0).alias("words"))
-    far = F.lit((1 << 63) - 1)
     of = lambda c: F.coalesce(F.col(c), zero)
-    upper = heavy.unionByName(root).join(below, key, "left").join(stops.select(*key, F.col("conv_id").alias("end_id"), "n_ends", "ends"), key, "left")
-    upper = upper.select(*key, "q1", "q2", "words", (of("n") + of("n_ends")).alias("n"), F.least(F.coalesce("least", far), F.coalesce("end_id", far)).alias("least"), of("children").alias("children"), of("leaves").alias("leaves"), of("saved").alias("saved"), F.coalesce("ends", F.lit(NOTHING)).alias("ends"))
-    # heavy nodes only: at most a MOST-th of all rows
-    upper = saved(upper.groupBy().applyInPandas(_upper, NODES), "upper")
-    above = near(upper.select((F.col("depth") + 1).alias("depth"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("up")))
-    tops = parts.where("top").join(above, ["depth", "q1", "q2"]).withColumn("parent_conv_id", F.col("up"))
-    return upper.select(*COLUMNS).unionByName(parts.where("NOT top").select(*COLUMNS)).unionByName(tops.select(*COLUMNS))
+    rows = rows.join(below, key, "left").join(stops.select(*key, F.col("conv_id").alias("end_id"), "n_ends", "ends"), key, "left")
+    least = F.least(F.coalesce("least", far), F.coalesce("end_id", far))
+    return rows.select(*key, "q1", "q2", "words", "r1", "r2", (of("n") + of("n_ends")).alias("n"), least.alias("least"), of("children").alias("children"), of("leaves").alias("leaves"), of("saved").alias("saved"), F.coalesce("ends", F.lit(NOTHING)).alias("ends"))
 
 
 def trie(conversations: DataFrame) -> DataFrame:
