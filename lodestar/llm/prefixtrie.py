@@ -42,7 +42,7 @@ from lodestar.llm.common import saved, spread
 FAMILY, LENT = 20, 4
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct sequences that a light part has at most; rows that numpy lays out at a time (and the rest of a part).
-MOST, LOT = 400, 40_000
+MOST, LOT = 64, 40_000
 #: Ids of one block of a node's members are those that agree above so many bits.
 BLOCK_BITS = 7
 #: Heavy nodes that are sent to all tasks; more of them are joined.
