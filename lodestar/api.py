@@ -30,15 +30,17 @@ def discover(documents: DataFrame, known: DataFrame, at: Column) -> dict[str, Da
 
     A record sees the known table as it was before, and the canonical ones of its batch that came before it, as
     exact, probable and possible matches; of records that share an id in the batch the last retrieved counts.
-    Within the batch records arrive in the order of their ids.
+    Within the batch records arrive in the order of their ids. "batch" holds the batch's records, "opportunities" all.
     """
     # written once: several joins below read it, and none of them should parse the documents again
     matching.shared_checkpoints(documents.sparkSession)
     new = state.keep_latest(evidence.normalize(documents), ["id"], [F.desc("source_retrieved_at")]).checkpoint()
     results = matching.discover_duplicates(new, known.where(F.col("duplicate_of").isNull()))
     marked = new.join(results.select(F.col("candidate").alias("id"), "canonical_id"), "id").withColumn("duplicate_of", F.col("canonical_id")).select(*new.columns)
-    out = state.save_opportunities(known.select(*new.columns), marked, at)
-    return out | {"matches": results, "counts": matching.discovery_counts(results.withColumn("new_snapshot", F.lit(False)).unionByName(out["snapshots"].select(F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("canonical_id"), F.lit(None).cast("array<string>").alias("matched_by"), F.lit(True).alias("new_snapshot"))))}
+    # only records of the batch meet their own former state
+    out = state.save_opportunities(known.join(marked.select("id"), "id", "left_semi").select(*new.columns), marked, at)
+    every = known.select(*new.columns).join(marked.select("id"), "id", "left_anti").unionByName(marked)
+    return out | {"batch": marked, "opportunities": every, "matches": results, "counts": matching.discovery_counts(results.withColumn("new_snapshot", F.lit(False)).unionByName(out["snapshots"].select(F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("canonical_id"), F.lit(None).cast("array<string>").alias("matched_by"), F.lit(True).alias("new_snapshot"))))}
 
 
 def organisation_add(profiles: DataFrame, given: DataFrame) -> DataFrame:

@@ -93,8 +93,7 @@ def discover(spark: SparkSession, a: argparse.Namespace) -> int:
         docs = registry.with_context(docs, registry.load(spark, a.registry))
         context = F.map_filter(F.create_map(*[x for n in ("source_family", "source_role", "canonical_source", "authority_relationship") for x in (F.lit(n), F.col(n))]), lambda _, v: v.isNotNull())
         docs = docs.withColumn("metadata", F.map_concat("metadata", context))
-    found = api.discover(docs, store.read("opportunities"), now)
-    store.save_discovery(found, docs, evidence.evidence_of(evidence.located(docs)))
+    found = store.save_discovery(docs, evidence.evidence_of(evidence.located(docs)), lambda known: api.discover(docs, known, now))
     printed(found["counts"])
     return 0
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.changes import canonical_json, detect_changes, notifications
+from lodestar.operators.changes import canonical_json, deadline_approaching, detect_changes, notifications
 
 VOLATILE = ("source_retrieved_at", "last_checked_at")
 
@@ -44,22 +44,33 @@ def document_snapshots(documents: DataFrame) -> DataFrame:
     return rows.groupBy("source_id", "content_hash").agg(F.min("retrieved_at").alias("first_seen"), F.max("retrieved_at").alias("last_seen"), F.max_by("source_url", F.struct("retrieved_at", "source_url")).alias("source_url"), F.max_by("etag", F.struct("retrieved_at", "etag")).alias("etag"))
 
 
+def stable_payload(df: DataFrame) -> Column:
+    """A record as canonical JSON, without the times of its retrieval."""
+    return canonical_json(F.struct(*sorted(c for c in df.columns if c not in VOLATILE)))
+
+
 def stable_hash(df: DataFrame) -> Column:
-    """Hash of a record without the times of its retrieval."""
-    names = sorted(c for c in df.columns if c not in VOLATILE)
-    return F.sha2(canonical_json(F.struct(*names)), 256)
+    return F.sha2(stable_payload(df), 256)
 
 
-def save_opportunities(state: DataFrame, batch: DataFrame, at: Column) -> dict[str, DataFrame]:
-    """opportunities (new state), snapshots, changes and notifications of a batch with one row for each id."""
-    current = state.alias("s")
+def save_opportunities(state: DataFrame, batch: DataFrame, at: Column, window_days: int = 30) -> dict[str, DataFrame]:
+    """opportunities (new state), snapshots, changes and notifications of a batch with one row for each id.
+
+    A record's snapshot is its payload, where that differs from the one before. Records that are no duplicates are
+    announced once when new, and while open when their deadline is near.
+    """
     changes = detect_changes(state, batch, at)
-    new_hash = batch.select("id", stable_hash(batch).alias("hash"))
-    old_hash = current.select("id", stable_hash(state).alias("old"))
-    snapshots = new_hash.join(old_hash, "id", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("id", "hash").withColumn("captured_at", at)
-    created = batch.join(state.select("id"), "id", "left_anti").select(F.concat(F.lit("evt-"), F.left(F.sha2(F.concat(F.lit("new"), F.char(F.lit(0)), "id"), 256), F.lit(24))).alias("event_id"), F.lit("new_opportunity").alias("event_type"), F.col("id").alias("opportunity_id"), at.alias("created_at"), F.create_map(F.lit("field"), F.lit("id")).alias("payload"))
+    after = batch.select("id", stable_payload(batch).alias("payload_json")).withColumn("hash", F.sha2("payload_json", 256))
+    before = state.select("id", stable_hash(state).alias("old"))
+    snapshots = after.join(before, "id", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("id", "hash", "payload_json").withColumn("captured_at", at)
+    own = batch.where(F.col("duplicate_of").isNull()) if "duplicate_of" in batch.columns else batch
+    created = own.join(state.select("id"), "id", "left_anti").select(F.concat(F.lit("evt-"), F.left(F.sha2(F.concat(F.lit("new"), F.char(F.lit(0)), "id"), 256), F.lit(24))).alias("event_id"), F.lit("new_opportunity").alias("event_type"), F.col("id").alias("opportunity_id"), at.alias("created_at"), F.create_map(F.lit("field"), F.lit("id")).alias("payload"))
+    events = notifications(changes).unionByName(created)
+    if {"status", "deadline"} <= set(batch.columns):
+        near = deadline_approaching(own, at, window_days)
+        events = events.unionByName(near.select("event_id", "event_type", "opportunity_id", at.alias("created_at"), F.create_map(F.lit("field"), F.lit("deadline")).alias("payload")))
     kept = state.join(batch.select("id"), "id", "left_anti")
-    return {"opportunities": kept.unionByName(batch), "snapshots": snapshots, "changes": changes, "notifications": notifications(changes).unionByName(created)}
+    return {"opportunities": kept.unionByName(batch), "snapshots": snapshots, "changes": changes, "notifications": events}
 
 
 def variants(opportunities: DataFrame, canonical_id: str) -> DataFrame:

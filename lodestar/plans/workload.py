@@ -17,6 +17,7 @@ from lodestar.functions import text as T
 from lodestar import sinks
 from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, reports, retrieval, state
 from lodestar.sources import registry
+from lodestar.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -452,6 +453,37 @@ def p2_save_opportunities(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, counts)
 
 
+def _customer_store(spark, sf_dir) -> Store:
+    """A store of customers as calls, in three batches: all, every third one opened, and the second batch again."""
+    store, k = Store(spark, sinks.shared_folder(spark, "store"), 16), F.col("c_custkey")
+    every = _table(spark, sf_dir, "customer").select(k.alias("k"), F.concat(F.lit("c"), k.cast("string")).alias("id"), F.lit("s").alias("source_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("programme"), F.lit("upcoming").alias("status"))
+    opened = every.where("k % 3 = 0").withColumns({"status": F.lit("open"), "title": F.when(F.col("k") % 2 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title"))})
+    for day, batch in enumerate((every, opened, opened), 1):
+        store.save_opportunities(batch.drop("k"), F.lit(f"2026-10-0{day}").cast("timestamp"))
+    return store
+
+
+@query("""
+    SELECT 'c' || c_custkey AS id, c_name || CASE WHEN c_custkey % 6 = 0 THEN '!' ELSE '' END AS title, CASE WHEN c_custkey % 3 = 0 THEN 'upcoming,open' ELSE 'upcoming' END AS statuses,
+           CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS snapshots, CASE WHEN c_custkey % 6 = 0 THEN 'status,title' WHEN c_custkey % 3 = 0 THEN 'status' ELSE '' END AS changed FROM customer""")
+def k1_store(spark, sf_dir):
+    """What the store says of each record after three batches: its state, the states it had, and what changed."""
+    now = _customer_store(spark, sf_dir).snapshot()
+    past = now.read("opportunity_snapshots").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("captured_at", F.get_json_object("payload_json", "$.status").alias("s")))), lambda x: x["s"]), ",").alias("statuses"), F.count("*").cast("int").alias("snapshots"))
+    found = now.read("changes").groupBy(F.col("opportunity_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("changed"))
+    return now.read("opportunities").select("id", "title").join(past, "id").join(found, "id", "left").fillna("", ["changed"])
+
+
+@query("""
+    SELECT 'c' || c_custkey AS opportunity_id, field, CASE field WHEN 'status' THEN '"upcoming"' ELSE '"' || c_name || '"' END AS old_value,
+           CASE field WHEN 'status' THEN '"open"' ELSE '"' || c_name || '!"' END AS new_value, 'changed' AS kind
+    FROM customer, (VALUES ('status'), ('title')) AS f(field) WHERE c_custkey % 3 = 0 AND (field = 'status' OR c_custkey % 6 = 0)""")
+def w2_change_feed(spark, sf_dir):
+    """What changed between the store's first and last version."""
+    store = _customer_store(spark, sf_dir)
+    return store.change_feed(1, 3, F.lit("2026-10-04").cast("timestamp")).select("opportunity_id", "field", "old_value", "new_value", "kind")
+
+
 @query("""
     SELECT n_nationkey, r_name AS source_family, CASE WHEN r_regionkey % 2 = 0 THEN 'official' END AS source_role FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4""")
 def j1_context(spark, sf_dir):

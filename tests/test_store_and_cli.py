@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar import api, cli
 from lodestar.operators import reports
 from lodestar.sources import evidence
-from lodestar.store import Store, StoreError
+from lodestar.store import Conflict, Store, StoreError
 
 NOW = datetime(2026, 10, 6)
 KIND = "source_id string, source_url string, title string, text string, metadata map<string,string>, links array<string>, retrieved_at timestamp, etag string"
@@ -18,8 +19,7 @@ def documents(spark, *rows):
 
 
 def saved(store, docs, at=NOW):
-    found = api.discover(docs, store.read("opportunities"), F.lit(at))
-    store.save_discovery(found, docs, evidence.evidence_of(evidence.located(docs)))
+    return store.save_discovery(docs, evidence.evidence_of(evidence.located(docs)), lambda known: api.discover(docs, known, F.lit(at)))
 
 
 def test_store(spark, tmp_path):
@@ -50,6 +50,103 @@ def test_store_refuses_rows_without_their_parent(spark, tmp_path):
     assert (row.country, row.employees) == ("PT", 7) and store.read("workspaces").count() == 1
 
 
+def calls(spark, *rows):
+    return spark.createDataFrame([(i, "s", f"t{i}", s) for i, s in rows], "id string, source_id string, title string, status string")
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", 8)
+    store.save_opportunities(calls(spark, *[(str(i), "open") for i in range(100)]), F.lit(NOW))
+    before = store.snapshot()
+    store.save_opportunities(calls(spark, ("7", "closed")), F.lit(NOW))
+    after = store.snapshot()
+    moved = [b for b, f in after.folders("opportunities").items() if before.folders("opportunities")[b] != f]
+    assert len(moved) == 1 and after.read("opportunities", moved).where("id = '7'").count() == 1
+    assert len(list((tmp_path / "s" / "opportunities").iterdir())) == 2
+    written = sum(1 for f in (tmp_path / "s" / "opportunities" / after.folders("opportunities")[moved[0]]).rglob("b=*") if f.is_dir())
+    assert written == 1
+    # earlier versions stay as they were, and records keep their payloads
+    assert store.read("opportunities", 1).where("status = 'closed'").count() == 0 and store.read("opportunities").where("status = 'closed'").count() == 1
+    assert [json.loads(r.payload_json)["status"] for r in store.history("7").collect()] == ["open", "closed"]
+    with pytest.raises(StoreError):
+        store.read("opportunities", 9)
+
+
+@pytest.mark.parametrize("step", [1, 4, 5])
+def test_interleaved_writers_lose_nothing(spark, tmp_path, monkeypatch, step):
+    """While A commits, B commits before A's write number step (the last ones: before and after A's manifest)."""
+    a, b = (Store(spark, f"file://{tmp_path}/s", 4) for _ in range(2))
+    a.save_opportunities(calls(spark, ("0", "open")), F.lit(NOW))
+    count, done = 0, []
+    write, put = Store._write, Store._put
+
+    def other():
+        nonlocal count
+        if count == step and not done:
+            done.append(b.save_opportunities(calls(spark, ("b", "open"), ("0", "closed")), F.lit(NOW)))
+        count += 1
+
+    def slow_write(self, df, path):
+        if self is a:
+            other()
+        write(self, df, path)
+
+    def slow_put(self, version, text):
+        if self is a:
+            other()
+        put(self, version, text)
+        if self is a:
+            other()
+
+    monkeypatch.setattr(Store, "_write", slow_write)
+    monkeypatch.setattr(Store, "_put", slow_put)
+    version = a.save_opportunities(calls(spark, ("a", "open"), ("0", "upcoming")), F.lit(NOW))
+    if not done:
+        count = step
+        other()
+    got = {r.id: r.status for r in a.read("opportunities").collect()}
+    last = "closed" if done[0] > version else "upcoming"
+    assert got == {"0": last, "a": "open", "b": "open"} and sorted([version, *done]) == [2, 3] == a.versions()[1:]
+    assert [json.loads(r.payload_json)["status"] for r in a.history("0").collect()].__len__() == 3
+    assert a.read("changes").count() == 2 and not [r for r in a.unparented().collect() if r.rows]
+
+
+def test_a_version_is_put_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store._put(1, "{}")
+    with pytest.raises(Conflict):
+        store._put(1, "[]")
+    assert (tmp_path / "s" / "manifest" / "000000000001.json").read_text() == "{}" and len(list((tmp_path / "s" / "manifest").glob("*.part"))) == 0
+
+
+def test_change_feed_equals_a_full_comparison(spark, tmp_path):
+    from lodestar.operators import changes
+
+    store, rng = Store(spark, f"file://{tmp_path}/s", 8), random.Random(1)
+    for _ in range(4):
+        store.save_opportunities(calls(spark, *{str(i): (str(i), rng.choice(["open", "closed", "upcoming"])) for i in rng.choices(range(40), k=9)}.values()), F.lit(NOW))
+    for old, new in ((0, 4), (1, 4), (2, 3), (4, 1), (3, 3)):
+        a, b = store.read("opportunities", old), store.read("opportunities", new)
+        want = {(r.opportunity_id, r.field, r.old_value, r.new_value, "changed") for r in changes.detect_changes(a, b, F.lit(NOW)).collect()}
+        ids = lambda df: {r.id for r in df.select("id").collect()}
+        want |= {(i, None, None, None, "created") for i in ids(b) - ids(a)} | {(i, None, None, None, "removed") for i in ids(a) - ids(b)}
+        assert {(r.opportunity_id, r.field, r.old_value, r.new_value, r.kind) for r in store.change_feed(old, new, F.lit(NOW)).collect()} == want
+
+
+def test_announcements(spark, tmp_path):
+    """New records that are no duplicates are announced once, open ones near their deadline too; delivery is said once."""
+    store = Store(spark, f"file://{tmp_path}/s", 4)
+    kind = "id string, source_id string, title string, status string, deadline timestamp, duplicate_of string"
+    rows = [("a", "s", "t", "open", datetime(2026, 10, 20), None), ("b", "s", "t", "open", datetime(2027, 1, 1), None), ("c", "s", "t", "open", datetime(2026, 10, 20), "a")]
+    for _ in range(2):
+        store.save_opportunities(spark.createDataFrame(rows, kind), F.lit(NOW))
+    got = sorted((r.opportunity_id, r.event_type) for r in store.read("notifications").collect())
+    assert got == [("a", "deadline_approaching"), ("a", "new_opportunity"), ("b", "new_opportunity")]
+    event = store.read("notifications").first().event_id
+    assert (store.mark_delivered(event, F.lit(NOW)), store.mark_delivered(event, F.lit(NOW)), store.mark_delivered("none", F.lit(NOW))) == (True, False, False)
+    assert store.read("notifications").count() == 3 and store.variants("a").first().id == "c"
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "landed").mkdir()
