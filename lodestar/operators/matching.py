@@ -3,8 +3,9 @@
 An exact match is an "or" of equalities with vetoes that a null lifts. Each record gets a few tokens for either
 side of a pair, such that a pair matches if and only if its sides share one. So the smallest match of every record
 comes from the two smallest ids of each token: no pair is ever made, and a template address on a third of all rows
-costs no more than others. Review matches meet between distinct titles of a programme (by the rarest words that a
-Jaccard similarity of 0.8 must share, a prefix filter), and between distinct profiles of those.
+costs no more than others. Review matches work alike: titles of a programme meet as distinct sets of words (by the
+rarest words that a Jaccard similarity of 0.8 must share, a prefix filter), and records behind them by tokens again,
+one for each combination of missing values that the other side has.
 """
 
 from __future__ import annotations
@@ -101,39 +102,63 @@ def _similar_titles(new: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) >= SIMILAR)
 
 
-#: What review matches look at; records that agree in all of it are one profile.
-_PROFILE = ("programme", "words", "topic", "topic_url", "url", "call", "deadline", "opening_date", "authority", "source_family", "source_id", "canonical_source")
+#: What differing values veto in a review match, unless a side lacks one; page: the address of a topic's page.
+_VETOES = ("page", "topic", "deadline", "opening_date", "call")
+#: What else review matches look at; records that agree in all of both are one profile.
+_PROFILE = (*_VETOES, "programme", "title_key", "authority", "source_family", "source_id", "canonical_source")
+
+
+def _reviewed(df: DataFrame) -> DataFrame:
+    """prepared() records that can have review matches, with their profile and the mask of the vetoes they have."""
+    out = df.where(F.col("programme").isNotNull() & (F.size("words") > 0)).withColumn("title_key", F.md5(F.array_join(F.array_sort("words"), " ")))
+    out = out.withColumn("page", F.when(F.col("topic_url"), F.col("url")))
+    mask = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(_VETOES)), F.lit(0))
+    profile = F.md5(_joined(*[F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("\x1e"))) for c in _PROFILE]))
+    return out.select("id", *_PROFILE, mask.alias("mask"), profile.alias("profile"))
+
+
+def _review_tokens(side: str, masks: list[int]) -> Column:
+    """Structs of kind and token that a pair shares if and only if it is related or of one authority, and no veto holds.
+
+    masks: those of the other side. A token names what both sides have, the mask of side b, and the values there;
+    title is the title of side b.
+    """
+    pair = lambda kind, *c: F.when(F.concat(*map(F.col, c)).isNotNull(), _joined(F.lit(kind), *map(F.col, c)))
+    own, other = ("source_family", "canonical_source"), ("source_family", "source_id")
+    relations = F.array_compact(F.array(pair("A", "authority"), pair("F", *(own if side == "a" else other)), pair("S", *(other if side == "a" else own))))
+    given = F.array(*[F.lit(m).cast("int") for m in masks]) if masks else F.array().cast("array<int>")
+    values = lambda c: [F.when(c.bitwiseAND(F.lit(1 << i)) != 0, F.col(n).cast("string")).otherwise(F.lit("")) for i, n in enumerate(_VETOES)]
+    one = lambda c, b: _joined(c.cast("string"), b.cast("string"), *values(c))
+    if side == "a":
+        parts = F.transform(given, lambda m: one(F.col("mask").bitwiseAND(m), m))
+    else:
+        parts = F.transform(F.array_distinct(F.transform(given, lambda m: F.col("mask").bitwiseAND(m))), lambda c: one(c, F.col("mask")))
+    token = lambda r, p: F.struct(F.when(F.left(r, F.lit(1)) == "A", "possible").otherwise("probable").alias("kind"), F.md5(_joined(r, F.col("programme"), F.col("title"), p)).alias("token"))
+    return F.flatten(F.transform(relations, lambda r: F.transform(parts, lambda p: token(r, p))))
 
 
 def review_matches(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
     """candidate, existing, kind, matched_by: of each record the smallest probable match, else the smallest possible one.
 
-    earlier: only matches whose id is smaller than the candidate's.
+    earlier: only matches whose id is smaller than the candidate's. Like exact matches these come without pairs: a
+    profile has a token for each combination of missing values that the other side has (32 at most), and of each token
+    the two smallest ids count. Who has no probable match has no possible one that is related, so kinds need no pairs.
     """
-    profile = F.xxhash64(*_PROFILE), F.hash(*_PROFILE)
-    marked = lambda df: df.where(F.col("programme").isNotNull() & (F.size("words") > 0)).withColumn("words", F.array_sort("words")).withColumn("profile", F.concat_ws(":", *[x.cast("string") for x in profile]))
-    a, b = marked(new), marked(known)
-    # a pair is related or of one authority, and its calls don't differ: tokens for both
-    pair = lambda kind, *c: F.when(F.concat(*map(F.col, c)).isNotNull(), _joined(F.lit(kind), *map(F.col, c)))
-    sides = {"a": [pair("A", "authority"), pair("F", "source_family", "canonical_source"), pair("S", "source_family", "source_id")], "b": [pair("A", "authority"), pair("F", "source_family", "source_id"), pair("S", "source_family", "canonical_source")]}
-    tokens = lambda side: F.flatten(F.transform(F.array_compact(F.array(*sides[side])), lambda r: F.transform(_either_null("call", side), lambda c: _joined(r, c))))
-    heads = lambda df, side: df.dropDuplicates(["profile"]).select("profile", *_PROFILE, F.explode(tokens(side)).alias("token"))
-    left = heads(a, "a").join(_similar_titles(new, known).withColumnRenamed("wa", "words"), ["programme", "words"])
-    left = left.select("token", "programme", F.col("wb").alias("words"), "profile", *[F.col(x).alias(f"a_{x}") for x in _PROFILE if x not in ("programme", "words")])
-    right = heads(b, "b").select("token", "programme", "words", F.col("profile").alias("other"), *[F.col(x).alias(f"b_{x}") for x in _PROFILE if x not in ("programme", "words")])
-    both = left.join(right, ["token", "programme", "words"])
-    differ = lambda n: F.coalesce(F.col(f"a_{n}") != F.col(f"b_{n}"), F.lit(False))
-    known_both = lambda n: F.col(f"a_{n}").isNotNull() & F.col(f"b_{n}").isNotNull()
-    conflict = (F.col("a_topic_url") & F.col("b_topic_url") & differ("url")) | differ("topic") | differ("deadline") | differ("opening_date")
-    related = F.coalesce((F.col("a_source_family") == F.col("b_source_family")) & (F.coalesce(F.col("a_canonical_source") == F.col("b_source_id"), F.lit(False)) | F.coalesce(F.col("b_canonical_source") == F.col("a_source_id"), F.lit(False))), F.lit(False))
-    by = F.array_compact(F.array(F.lit("programme"), F.lit("normalized_title_context"), F.when(known_both("deadline"), "deadline"), F.when(known_both("opening_date"), "opening_date"), F.when(related, "known_source_relationship")))
-    both = both.where(~conflict).select("profile", "other", F.when(related, "probable").otherwise("possible").alias("kind"), by.alias("matched_by")).distinct()
-    least = _two_least(b.select("profile", "id"), "profile").select(F.col("profile").alias("other"), F.explode("ids").alias("existing"))
-    # of a profile's matches of either kind the two smallest can matter: one may be the candidate itself
-    place = F.row_number().over(Window.partitionBy("profile", "kind").orderBy("existing"))
-    best = both.join(least, "other").withColumn("n", place).where(F.col("n") <= 2).select("profile", "kind", "existing", "matched_by")
-    found = a.select(F.col("id").alias("candidate"), "profile").join(best, "profile").where("existing < candidate" if earlier else "existing <> candidate")
-    one = found.groupBy("candidate").agg(F.min_by(F.struct("existing", "kind", "matched_by"), F.struct(F.col("kind") != "probable", "existing")).alias("m"))
+    a, b = _reviewed(new), _reviewed(known)
+    masks = [sorted(r[0] for r in side.select("mask").distinct().collect()) for side in (a, b)]  # 32 at most
+    heads = lambda df: df.select("profile", "mask", *_PROFILE).dropDuplicates(["profile"])
+    titles = _similar_titles(new, known).select("programme", F.md5(F.array_join("wa", " ")).alias("title_key"), F.md5(F.array_join("wb", " ")).alias("title"))
+    asked = heads(a).join(titles, ["programme", "title_key"]).select("profile", F.inline(_review_tokens("a", masks[1])))
+    # the two smallest records of each profile, then of each token
+    least = _two_least(b.select("profile", F.struct("id", F.col("deadline").isNotNull().alias("d"), F.col("opening_date").isNotNull().alias("o")).alias("id")), "profile")
+    held = heads(b).withColumn("title", F.col("title_key")).join(least, "profile").select(F.inline(_review_tokens("b", masks[0])), "ids")
+    held = _two_least(held.select("token", F.explode("ids").alias("id")), "token")
+    best = _two_least(asked.join(held, "token").select("profile", "kind", F.explode("ids").alias("id")), "profile", "kind")
+    mine = a.select(F.col("id").alias("candidate"), "profile", F.col("deadline").isNotNull().alias("has_d"), F.col("opening_date").isNotNull().alias("has_o"))
+    found = mine.join(best.select("profile", "kind", F.explode("ids").alias("e")), "profile").where("e.id < candidate" if earlier else "e.id <> candidate")
+    by = F.array_compact(F.array(F.lit("programme"), F.lit("normalized_title_context"), F.when(F.col("has_d") & F.col("e.d"), "deadline"), F.when(F.col("has_o") & F.col("e.o"), "opening_date"), F.when(F.col("kind") == "probable", "known_source_relationship")))
+    one = found.select("candidate", F.col("e.id").alias("existing"), "kind", by.alias("matched_by"))
+    one = one.groupBy("candidate").agg(F.min_by(F.struct("existing", "kind", "matched_by"), F.struct(F.col("kind") != "probable", "existing")).alias("m"))
     return one.select("candidate", "m.existing", "m.kind", "m.matched_by")
 
 
@@ -145,7 +170,8 @@ def _results(new: DataFrame, strong: DataFrame, review: DataFrame) -> DataFrame:
 
 def find_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidate, kind, canonical_id, matched_by: the best match of each candidate; only exact ones name a canonical id."""
-    new, known = prepared(candidates), prepared(existing)
+    shared_checkpoints(candidates.sparkSession)
+    new, known = prepared(candidates).checkpoint(), prepared(existing).checkpoint()
     return _results(new, strong_matches(new, known), review_matches(new, known))
 
 

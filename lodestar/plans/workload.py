@@ -381,6 +381,29 @@ def d3_review(spark, sf_dir):
     return out.select(F.col("candidate").cast("long").alias("candidate"), "kind", F.array_join("matched_by", ",").alias("matched_by"))
 
 
+@query("""
+    WITH c AS (SELECT c_custkey AS i, c_mktsegment AS p, c_custkey % 30 AS t, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 23 END AS u, c_custkey % 23 % 3 > 0 AS topic_page, CASE WHEN c_custkey % 7 > 4 THEN c_custkey % 4 END AS l,
+                      CASE WHEN c_custkey % 4 > 0 THEN 'f' END AS f, c_custkey % 3 AS s, c_custkey % 5 AS o, CASE WHEN c_custkey % 6 > 0 THEN c_nationkey % 2 END AS au, CASE WHEN c_custkey % 9 > 6 THEN c_custkey % 2 END AS d FROM customer),
+         m AS (SELECT a.i AS candidate, b.i AS existing, coalesce(a.u = b.u, false) AND NOT coalesce(a.l <> b.l, false) AS exact, coalesce(a.f = b.f AND (a.o = b.s OR b.o = a.s), false) AS rel, a.d IS NOT NULL AND b.d IS NOT NULL AS dates,
+                      NOT coalesce(a.l <> b.l, false) AND NOT coalesce(a.d <> b.d, false) AND a.p = b.p AND a.t = b.t AND (coalesce(a.f = b.f AND (a.o = b.s OR b.o = a.s), false) OR coalesce(a.au = b.au, false)) AS review
+               FROM c a JOIN c b ON a.i % 11 < 3 AND b.i % 11 >= 3 WHERE NOT coalesce(a.u <> b.u AND a.topic_page AND b.topic_page, false)),
+         f AS (SELECT * FROM m WHERE exact OR review QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY exact DESC, rel AND NOT exact DESC, existing) = 1)
+    SELECT i AS candidate, CASE WHEN existing IS NULL THEN 'none' WHEN exact THEN 'exact' WHEN rel THEN 'probable' ELSE 'possible' END AS kind, CASE WHEN exact THEN existing END AS canonical_id,
+           CASE WHEN existing IS NULL THEN '' WHEN exact THEN 'canonical_url' ELSE concat_ws(',', 'programme', 'normalized_title_context', CASE WHEN dates THEN 'deadline' END, CASE WHEN rel THEN 'known_source_relationship' END) END AS matched_by
+    FROM c LEFT JOIN f ON candidate = i WHERE i % 11 < 3""")
+def d3_addresses(spark, sf_dir):
+    """Customers as calls with addresses, of topics' pages for most, so that exact matches, vetoes and reviews mix."""
+    k = F.col("c_custkey")
+    address = F.concat(F.lit("https://x.eu"), F.when(k % 23 % 3 > 0, "/topic-details/").otherwise("/"), (k % 23).cast("string"))
+    calls = _records(
+        _table(spark, sf_dir, "customer"), "c_custkey", canonical_url=F.when(k % 5 > 0, address), call_id=F.when(k % 7 > 4, F.concat(F.lit("c "), (k % 4).cast("string"))), programme=F.col("c_mktsegment"), title=F.concat(F.lit("Água limpa para os rios "), (k % 30).cast("string")),
+        source_family=F.when(k % 4 > 0, "f"), source_id=(k % 3).cast("string"), canonical_source=(k % 5).cast("string"), authority=F.when(k % 6 > 0, (F.col("c_nationkey") % 2).cast("string")), deadline=F.when(k % 9 > 6, F.lit("2026-01-01").cast("timestamp") + F.make_interval(days=(k % 2).cast("int"))),
+    )
+    side = F.col("id").cast("long") % 11 < 3
+    out = matching.find_duplicates(calls.where(side), calls.where(~side))
+    return out.select(F.col("candidate").cast("long").alias("candidate"), "kind", F.col("canonical_id").cast("long").alias("canonical_id"), F.array_join("matched_by", ",").alias("matched_by"))
+
+
 _TITLE_STOP = ", ".join(f"'{w}'" for w in matching.TITLE_STOP_WORDS)
 
 
