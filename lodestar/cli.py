@@ -1,6 +1,6 @@
 """The command line: python -m lodestar.cli COMMAND. Each command is a function of api.py or of the store, printed.
 
-Sources are read from landed responses (a folder for each source), since executors fetch nothing.
+Sources are fetched, or with --landed read from the files of a folder.
 """
 
 from __future__ import annotations
@@ -10,17 +10,16 @@ import json
 import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import api, settings
 from lodestar.operators import eligibility, reports, retrieval
 from lodestar.operators.filters import Criteria
-from lodestar.sources import corpus, evidence, landing, records, registry
+from lodestar.sources import corpus, evidence, fetch, registry
 from lodestar.store import Store
 
-#: Readers of landed responses by source.
-READERS = {evidence.CALLS: records.calls, evidence.NOTICES: records.notices}
 TYPES = ("grant", "repayable_incentive", "loan", "guarantee", "tax_incentive", "financial_instrument", "public_programme", "tender")
 SIGNALS = tuple(n for n in eligibility.WEIGHTS if n != "eligibility")
 
@@ -43,11 +42,11 @@ def parser() -> argparse.ArgumentParser:
     need, many = {"required": True}, {"action": "append", "default": None}
     tenant = [("--workspace-id", need), ("--organisation-id", need)]
     report = [("--output", {"default": None}), ("--format", {"choices": ("markdown", "html"), "default": None}), ("--force", {"action": "store_true"})]
-    landed = [("--landed", need | {"help": "folder of landed responses"}), ("--query", {"default": ""}), ("--limit", {"type": int, "default": 20})]
+    landed = [("--landed", {"default": None, "help": "folder of landed responses, instead of fetching"}), ("--query", {"default": ""}), ("--limit", {"type": int, "default": 20})]
     of = group("source")
     command("list", source_list, ("--registry", need), of=of, store=False)
-    command("check", source_check, ("source_id", {"choices": sorted(READERS)}), *landed, ("--json", {"action": "store_true", "dest": "as_json"}), of=of, store=False)
-    command("discover", discover, ("--source", need | {"choices": sorted(READERS)}), *landed, ("--registry", {"default": None}))
+    command("check", source_check, ("source_id", {"choices": sorted(fetch.ADAPTERS), "nargs": "?"}), ("--all-active", {"action": "store_true"}), ("--registry", {"default": None}), *landed, ("--json", {"action": "store_true", "dest": "as_json"}), of=of, store=False)
+    command("discover", discover, ("--source", need | {"choices": sorted(fetch.ADAPTERS)}), *landed, ("--registry", {"default": None}))
     of = group("organisation")
     single = [(f"--{x}", {}) for x in ("name", "vat-number", "country", "company-size")]
     several = [(f"--{x}", many) for x in ("region", "applicant-type", "sector", "preferred-geography")]
@@ -69,7 +68,7 @@ def printed(df: DataFrame) -> None:
 
 
 def scanned(spark: SparkSession, a: argparse.Namespace, source: str) -> DataFrame:
-    return records.scan(landing.landed(spark, a.landed), source, READERS[source], a.limit, a.query)
+    return fetch.scan(spark, source, a.query, a.limit, a.landed)
 
 
 def source_list(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -78,12 +77,30 @@ def source_list(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def source_check(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Counts, reasons, quality and dates of a source's landed responses; fails where nothing was accepted."""
-    out = api.source_check(scanned(spark, a, a.source_id))
-    summary = {name: [r.asDict(True) for r in out[name].collect()] for name in ("report", "quality", "dates")}  # a row for each source
-    row = summary["report"][0] if summary["report"] else {"accepted": 0, "rejected": 0}
-    print(json.dumps(summary, default=str) if a.as_json else f"{a.source_id}: {row['accepted']} accepted, {row['rejected']} rejected")
-    return 0 if row["accepted"] else 1
+    """Counts, reasons, quality and dates of a source, or of all active ones of a registry; fails where one accepts nothing.
+
+    With --all-active, --landed names a folder that has one for each source.
+    """
+    if a.all_active == bool(a.source_id) or (a.all_active and not a.registry):
+        raise ValueError("give a source, or --all-active with --registry")
+    names = fetch.active_sources(registry.load(spark, a.registry)) if a.all_active else [a.source_id]  # four at most
+    checked = {}
+    for name in names:
+        path = f"{a.landed}/{name}" if a.all_active and a.landed else a.landed
+        try:
+            found = api.source_check(fetch.scan(spark, name, a.query, a.limit, path).cache())
+            checked[name] = {k: [r.asDict(True) for r in found[k].collect()] for k in ("report", "quality", "dates")}  # a row for each source
+        except (AnalysisException, OSError) as e:
+            checked[name] = {"report": [], "quality": [], "dates": [], "error": str(e).splitlines()[0]}
+    rows = {n: c["report"][0] if c["report"] else {"accepted": 0, "rejected": 0} for n, c in checked.items()}
+    ok = all(r["accepted"] for r in rows.values())
+    if a.as_json:
+        whole = {"sources": checked, "totals": {"sources": len(rows), "accepted": sum(r["accepted"] for r in rows.values()), "rejected": sum(r["rejected"] for r in rows.values()), "all_succeeded": ok}}
+        print(json.dumps(whole if a.all_active else checked[a.source_id], default=str))
+    else:
+        for n, r in rows.items():
+            print(f"{n}: {r['accepted']} accepted, {r['rejected']} rejected")
+    return 0 if ok else 1
 
 
 def discover(spark: SparkSession, a: argparse.Namespace) -> int:

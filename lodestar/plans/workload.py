@@ -16,7 +16,7 @@ from lodestar.functions import parse
 from lodestar.functions import text as T
 from lodestar import sinks
 from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, reports, retrieval, state
-from lodestar.sources import registry
+from lodestar.sources import evidence, fetch, registry
 from lodestar.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,6 +507,27 @@ def w2_change_feed(spark, sf_dir):
     return store.change_feed(1, 3, F.lit("2026-10-04").cast("timestamp")).select("opportunity_id", "field", "old_value", "new_value", "kind")
 
 
+@query("""
+    WITH p AS (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages), t AS (SELECT count(*) AS total FROM p)
+    SELECT CAST(n // 100 + 1 AS INTEGER) AS request, 'N' || page_id AS record_id, url AS title, CAST(total AS VARCHAR) AS total,
+           CASE WHEN total > least(100, total - n // 100 * 100) THEN 'more_available' ELSE 'complete' END AS state FROM p, t""")
+def s3_fetch(spark, sf_dir):
+    """All pages as notices of a procurement search, recorded 100 to an answer, and read by the source of that name."""
+    rows = _table(spark, sf_dir, "pages").select(F.concat(F.lit("N"), F.col("page_id").cast("string")).alias("publication-number"), F.col("url").alias("notice-title"), "page_id")
+    total, path = rows.count(), sinks.shared_folder(spark, "recorded")
+    # ranks by shards of ids in order: a count for each, then ranks within
+    shard = F.floor(F.col("page_id") / 1000)
+    before = rows.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("shard").orderBy("page_id")) + F.col("before") - 1
+    numbered = rows.withColumn("shard", shard).join(before.select("shard", "before"), "shard").withColumn("request", F.floor(rank / 100).cast("int") + 1)
+    answers = numbered.groupBy("request").agg(F.to_json(F.struct(F.lit(total).alias("totalNoticeCount"), F.collect_list(F.struct("publication-number", "notice-title")).alias("notices"))).alias("value"))
+    answers.repartition("request").write.partitionBy("request").text(path)
+    found = fetch.load(spark, evidence.NOTICES, limit=100, pages=-(-total // 100), recorded=path)
+    docs = fetch.documents(found.withColumn("url", F.col("request").cast("string")), evidence.NOTICES, limit=100)
+    meta = lambda k: F.col("metadata")[k]
+    return docs.join(found.select(F.col("payload_sha256"), "request"), "payload_sha256").select("request", meta("record_id").alias("record_id"), "title", meta("source_total_results").alias("total"), meta("source_pagination_state").alias("state"))
+
+
 @query("""
     SELECT n_nationkey, r_name AS source_family, CASE WHEN r_regionkey % 2 = 0 THEN 'official' END AS source_role FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4""")
 def j1_context(spark, sf_dir):
