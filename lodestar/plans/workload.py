@@ -122,10 +122,7 @@ def _decision_sql() -> str:
 
 @query(_decision_sql())
 def r7_decision(spark, sf_dir):
-    docs, best = _table(spark, sf_dir, "documents"), None
-    for i, q in enumerate(_ASKED):
-        top = retrieval.scored(docs, q).select("doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "doc_id").limit(1).withColumn("query_id", F.lit(i))
-        best = top if best is None else best.unionByName(top)
+    best = retrieval.best_of(_table(spark, sf_dir, "documents"), _ASKED, "doc_id")
     asked = spark.range(len(_ASKED)).select(F.col("id").cast("int").alias("query_id"))
     out = retrieval.decisions(asked.join(best, "query_id", "left"))
     return out.select("query_id", "doc_id", F.round("confidence", 6).alias("confidence"), "status")
