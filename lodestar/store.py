@@ -232,11 +232,9 @@ class Store:
 
         def work(base: Snapshot) -> dict[str, tuple[DataFrame, Merge]]:
             found.update(find(base.read("opportunities")))
-            last = F.struct("last_seen", "source_url", "etag")
-            seen = lambda held, new: new.unionByName(held).groupBy("source_id", "content_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("source_url", last).alias("source_url"), F.max_by("etag", last).alias("etag"))
             proofs = lambda held, new: held.join(new.select("opportunity_id").distinct(), "opportunity_id", "left_anti").select(*held.columns).unionByName(new.dropDuplicates(["opportunity_id", "evidence_id"]))
             return {
-                "source_snapshots": (state.document_snapshots(documents), seen),
+                "source_snapshots": (state.document_snapshots(documents), _seen),
                 "opportunities": (found["batch"], _replaced("id")),
                 "opportunity_snapshots": (found["snapshots"], _added("id", "hash")),
                 "changes": (found["changes"], _added("change_id")),
@@ -247,6 +245,11 @@ class Store:
         self.commit(work)
         return found
 
+    def save_source_snapshots(self, snapshots: DataFrame) -> int:
+        """Sightings of documents (columns of source_snapshots) join those known: first and last, whatever their order."""
+        rows = snapshots.checkpoint() if self.spark.sparkContext.getCheckpointDir() else snapshots
+        return self.commit(lambda base: {"source_snapshots": (rows, _seen)})
+
     def save_opportunities(self, batch: DataFrame, at: Column) -> int:
         """A batch with one row for each id: their new state, snapshots, changes and notifications."""
 
@@ -347,6 +350,11 @@ def _replaced(*keys: str) -> Merge:
     return lambda held, new: held.join(new.select(*keys), list(keys), "left_anti").select(*held.columns).unionByName(new)
 
 
+def _seen(held: DataFrame, new: DataFrame) -> DataFrame:
+    last = F.struct("last_seen", "source_url", "etag")
+    return new.unionByName(held).groupBy("source_id", "content_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("source_url", last).alias("source_url"), F.max_by("etag", last).alias("etag"))
+
+
 def _added(*ids: str) -> Merge:
     """Rows of the batch whose ids the table lacks join it; replays add nothing."""
     return lambda held, new: held.unionByName(new.dropDuplicates(list(ids)).join(held.select(*ids), list(ids), "left_anti").select(*held.columns))
