@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lodestar.functions import parse
 from lodestar.functions import text as T
 from lodestar import sinks
 from lodestar.operators import changes, constraints, eligibility, filters, matching, metrics, reports, retrieval, state
-from lodestar.sources import evidence, fetch, registry
+from lodestar.sources import enrichment, evidence, fetch, registry
 from lodestar.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,6 +526,29 @@ def s3_fetch(spark, sf_dir):
     return docs.join(found.select(F.col("payload_sha256"), "request"), "payload_sha256").select("request", meta("record_id").alias("record_id"), "title", meta("source_total_results").alias("total"), meta("source_pagination_state").alias("state"))
 
 
+class Register:
+    """A provider that knows of a VAT number what its digits say."""
+
+    provider_id = "register"
+
+    def enrich(self, vat_number: str) -> list[dict]:
+        n, at = int(vat_number[2:]), datetime(2026, 10, 6, tzinfo=UTC)
+        said = {"country": "PT" if n % 2 else "ES", "employees": n * 10} | ({"regions": ["Norte", f"R{n % 3}"]} if n % 5 else {})
+        return [{"profile_field": f, "value": v, "retrieved_at": at, "evidence_id": f"ev-{f}-{n}"} for f, v in said.items()]
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'FR' WHEN c_custkey % 7 = 0 THEN NULL WHEN c_nationkey % 2 = 1 THEN 'PT' ELSE 'ES' END AS country, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_nationkey * 10 AS INTEGER) END AS employees,
+           CASE WHEN c_custkey % 7 > 0 AND c_nationkey % 5 > 0 THEN 'Norte,R' || (c_nationkey % 3) END AS regions,
+           CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END + CASE WHEN c_nationkey % 5 > 0 THEN 1 ELSE 0 END END AS proofs FROM customer""")
+def x3_enrichment(spark, sf_dir):
+    """Customers as organisations, each nation's number asked once; some have no number, some know their country."""
+    k = F.col("c_custkey")
+    own = _table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 7 > 0, F.concat(F.lit("PT"), F.col("c_nationkey").cast("string"))).alias("vat_number"), F.when(k % 3 == 0, "FR").alias("country"), F.lit(None).cast("int").alias("employees"), F.lit(None).cast("array<string>").alias("regions"))
+    out = enrichment.apply(own, enrichment.facts(own, "lodestar.plans.workload:Register"))
+    return out.select("c_custkey", "country", "employees", F.array_join("regions", ",").alias("regions"), F.size("enrichment").alias("proofs"))
+
+
 @query("""
     SELECT n_nationkey, r_name AS source_family, CASE WHEN r_regionkey % 2 = 0 THEN 'official' END AS source_role FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4""")
 def j1_context(spark, sf_dir):
