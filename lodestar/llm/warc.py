@@ -18,7 +18,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value of the contract: least bytes of a payload that others may revisit.
@@ -54,7 +54,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
     Which record of a payload is the response comes from counts that combine before the shuffle, so a group
     that holds a third of all pages is one row for each task. Payloads then move once, keyed by digest and
-    page id; only the row that keeps the payload remains. The digest table is broadcast by size only if
+    page id, one row of each key for each task, and only the row that keeps the payload remains. The digest table is broadcast by size only if
     Spark's own limit allows it.
     """
     rows = _rows(pages, page_id, url, html)
@@ -71,9 +71,9 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     records.select("page_id", "payload_digest", F.when(revisit, again).otherwise(response).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
     keep = first.select(F.col("payload_digest").alias("d"), F.coalesce("first", F.lit(NONE)).alias("f"))
     held = rows.select("payload_digest", F.coalesce("page_id", F.lit(NONE)).alias("k"), "payload")
+    # rows that repeat both keys become one before they move, and the join finds the rest where it is
+    held = held.groupBy("payload_digest", "k").agg(F.first("payload").alias("payload"))
     held = held.join(keep, (F.col("payload_digest") == F.col("d")) & (F.col("k") == F.col("f")), "left_semi")
-    # rows that repeat both keys lie together already, so payloads don't move again
-    held = held.withColumn("i", F.row_number().over(Window.partitionBy("payload_digest", "k").orderBy(F.lit(0)))).where("i = 1")
     held.select("payload_digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
