@@ -34,6 +34,8 @@ from lodestar.llm.common import pieces, saved, task_shares
 SAMPLE, PIVOTS, SHARD, SHARDS, PAGE = 4_096, 256, 4_096, 65_536, 64
 #: Queries that search a shard in one task.
 BLOCK = 2_000
+#: Bytes of all shards' centres, which routing tasks hold; bytes of distances of queries to centres at a time.
+CENTRES, ROUTING = 128 << 20, 32 << 20
 #: Vectors that Python works on at a time.
 PIECE = 4_000
 #: Below such sums, products of whole numbers are exact in floating point.
@@ -210,7 +212,7 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     if not n:
         return empty
     m = float(np.sqrt(m2 or 0))
-    shard_rows = max(shard_rows, n // SHARDS)
+    shard_rows = max(shard_rows, n // max(1, min(SHARDS, CENTRES // (8 * (width + 1)))))
     sample = points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow().column("v").combine_chunks()
     sample = _matrix(sample, width).astype(float)
     lifted_sample = lifted(sample, m)
@@ -270,33 +272,39 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     trees = saved(trees.mapInArrow(build, "shard int, centre array<double>, radius double, tree binary"), "trees")
     roots = trees.select("shard", "centre", "radius").orderBy("shard").toArrow()  # a row for each shard
     root_ids = roots.column("shard").to_numpy()
-    centres, radii = np.array(roots.column("centre").to_pylist()), roots.column("radius").to_numpy()
+    # sent once to each executor: CENTRES bytes at most
+    balls = spark.sparkContext.broadcast((np.array(roots.column("centre").to_pylist()), roots.column("radius").to_numpy(), root_ids))
+    step = max(1, ROUTING // (8 * len(root_ids)))
 
     asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
     keys = saved(asked.groupBy("v").agg(F.min("vec_id").alias("key")), "keys")
 
-    def distances(v: np.ndarray) -> np.ndarray:
+    def distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
         q = np.concatenate([v.astype(float), np.zeros((len(v), 1))], 1)
         return np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ centres.T + (centres * centres).sum(1), 0))
 
     def to_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, PIECE):
+        centres, radii, ids = balls.value
+        for batch in pieces(batches, min(PIECE, step)):
             if batch.num_rows:
-                d = distances(_matrix(batch.column(0), width)) - radii
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(root_ids[d.argmin(1)], pa.int32()), pa.nulls(batch.num_rows, pa.int64())], names=["key", "v", "shard", "floor"])
+                d = distances(_matrix(batch.column(0), width), centres) - radii
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(ids[d.argmin(1)], pa.int32()), pa.nulls(batch.num_rows, pa.int64())], names=["key", "v", "shard", "floor"])
 
     def to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, PIECE):
+        centres, radii, ids = balls.value
+        for batch in pieces(batches, min(PIECE, step)):
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column(0), width)
-            own = distances(v)
+            own = distances(v, centres)
             floors = batch.column(3).to_numpy(zero_copy_only=False)
             norm = (v.astype(float) ** 2).sum(1) + m * m
             reach = np.where(np.isnan(floors.astype(float)), np.inf, np.sqrt(np.maximum(norm - 2 * floors.astype(float), 0) + SLACK * (norm + 1)))
-            go = (own - radii <= reach[:, None]) & (root_ids[None, :] != batch.column(2).to_numpy()[:, None])
+            go = (own - radii <= reach[:, None]) & (ids[None, :] != batch.column(2).to_numpy()[:, None])
             i, j = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(i)), batch.column(0).take(pa.array(i)), pa.array(root_ids[j], pa.int32()), batch.column(3).take(pa.array(i))], names=["key", "v", "shard", "floor"])
+            for a in range(0, len(i), PIECE):  # a query may go to every shard
+                x, y = i[a : a + PIECE], j[a : a + PIECE]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(x)), batch.column(0).take(pa.array(x)), pa.array(ids[y], pa.int32()), batch.column(3).take(pa.array(x))], names=["key", "v", "shard", "floor"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, asked = None, ([], [], [])  # keys, vectors, floors of the block so far
