@@ -314,10 +314,11 @@ def class_ids(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Of each class the row with the smallest id; same columns. Texts move once, keyed by node and id."""
+    """Of each class the row with the smallest id; same columns. Texts move once, keyed by node and id, one row of each key for each task."""
     docs, restored = set_aside(docs, "doc_id", "text")
     rows = classes(docs, least)
     heads = rows.groupBy("label").agg(F.min(F.struct("k", "node")).alias("h")).select(F.col("h.k").alias("_k"), F.col("h.node").alias("_node"))
-    own = docs.withColumn("_k", order_key("doc_id")).withColumn("_node", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
-    own = own.join(heads, ["_k", "_node"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_node").orderBy(F.lit(0)))).where(F.col("_n") == 1)
+    own = docs.select(order_key("doc_id").alias("_k"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_node"), F.struct(*docs.columns).alias("_row"))
+    # repeated rows become one before they move, and the join finds the rest where it is
+    own = own.groupBy("_k", "_node").agg(F.first("_row").alias("_row")).join(heads, ["_k", "_node"], "left_semi").select("_row.*")
     return restored(own)

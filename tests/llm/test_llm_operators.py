@@ -638,3 +638,31 @@ def test_mtree_edges(spark):
     assert mtree.top_k(spark.createDataFrame([], kind)).count() == 0
     assert mtree.top_k(spark.createDataFrame([(50, [1.0])], kind)).count() == 0
     assert sorted(map(tuple, mtree.top_k(spark.createDataFrame([(50, [1.0]), (50, [1.0]), (3, [0.5])], kind)).select("query_id", "rank", "vec_id", "score").collect())) == [(50, 1, 3, 256 * 128)]
+
+
+def test_repeated_rows_do_not_move_apart(spark, tmp_path):
+    """A table of which a third is one row: writers aggregate before the shuffle, and results are as for one of them."""
+    text = "the same page again and again " * 9
+    rows = [(1, "u", text)] * 300 + [(i, "u", f"{text} {i % 50}") for i in range(2, 600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    warc.write(pages, str(tmp_path / "w"))
+    assert spark.read.parquet(f"{tmp_path}/w/payloads").count() == 51
+    kinds = Counter((r.record_type, r.payload_digest) for r in warc.read(spark, str(tmp_path / "w")).collect())
+    assert sum(kinds.values()) == len(rows) and kinds["response", hashlib.sha256(text.encode()).hexdigest()] == 300
+    df = docs(spark, [t for _, _, t in rows], [i for i, _, _ in rows]).repartition(6)
+    kept = neardup.keep_one(df)
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(1, text)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "partial_first" in plan and "row_number" not in plan
+
+
+def test_topk_routes_in_blocks(spark, monkeypatch):
+    """Many shards, few bytes: distances of a query or two at a time, and fewer shards where centres would not fit."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, mtree.top_k(df).collect()))
+    monkeypatch.setattr(mtree, "ROUTING", 8 * 50)
+    assert sorted(map(tuple, mtree.top_k(df, shard_rows=6).collect())) == want
+    monkeypatch.setattr(mtree, "CENTRES", 8 * 9 * 4)
+    assert sorted(map(tuple, mtree.top_k(df, shard_rows=6).collect())) == want
