@@ -26,26 +26,30 @@ def canonical_json(c: Column, kind: str = "string") -> Column:
     return F.when(c.isNotNull(), F.regexp_replace(text, r'^\{"v":(.*)\}$', "$1"))
 
 
-def long_form(df: DataFrame, fields: tuple[str, ...], ident: str = "id", rules: str = "eligibility_rules") -> DataFrame:
-    """id, field, value: tracked fields as JSON; rules are compared without the evidence they cite."""
+def values(df: DataFrame, fields: list[str], ident: str = "id", rules: str = "eligibility_rules") -> DataFrame:
+    """id and values: tracked fields as JSON, in order; rules are compared without the evidence they cite."""
     kinds = dict(df.dtypes)
-    entries = []
-    for name in fields:
-        if name not in kinds:
-            continue
-        c = F.col(name)
-        if name == rules and "evidence_ids" in kinds[name]:
-            c = F.transform(c, lambda r: r.dropFields("evidence_ids"))
-        entries.append(F.struct(F.lit(name).alias("field"), canonical_json(c).alias("value")))
-    return df.select(ident, F.inline(F.array(*entries)))
+    bare = lambda name: F.transform(name, lambda r: r.dropFields("evidence_ids")) if name == rules and "evidence_ids" in kinds[name] else F.col(name)
+    return df.select(ident, F.array(*[canonical_json(bare(name)) for name in fields]).alias("values"))
+
+
+def long_form(df: DataFrame, fields: tuple[str, ...], ident: str = "id") -> DataFrame:
+    """id, field, value: a row for each of values()."""
+    held = [name for name in fields if name in df.columns]
+    return values(df, held, ident).select(ident, F.inline(F.array(*[F.struct(F.lit(name).alias("field"), F.col("values")[i].alias("value")) for i, name in enumerate(held)])))
 
 
 def detect_changes(before: DataFrame, after: DataFrame, detected_at: Column, fields: tuple[str, ...] = TRACKED) -> DataFrame:
-    """change_id, opportunity_id, field, old_value, new_value, detected_at for ids on both sides."""
-    old = long_form(before, fields).withColumnRenamed("value", "old_value")
-    new = long_form(after, fields).withColumnRenamed("value", "new_value")
-    rows = old.join(new, ["id", "field"]).where(~F.col("old_value").eqNullSafe(F.col("new_value")))
-    rows = rows.withColumn("detected_at", detected_at)
+    """change_id, opportunity_id, field, old_value, new_value, detected_at for ids on both sides.
+
+    Records meet whole, a row for each. Files of alike records are much smaller than what they hold, so their size must
+    not choose a broadcast.
+    """
+    shared = [name for name in fields if name in before.columns and name in after.columns]
+    old, new = (values(df, shared).withColumnRenamed("values", side) for df, side in ((before, "old"), (after, "new")))
+    entries = [F.struct(F.lit(name).alias("field"), F.col("old")[i].alias("old_value"), F.col("new")[i].alias("new_value")) for i, name in enumerate(shared)]
+    rows = old.join(new.hint("merge"), "id").select("id", F.inline(F.array(*entries)))
+    rows = rows.where(~F.col("old_value").eqNullSafe(F.col("new_value"))).withColumn("detected_at", detected_at)
     iso = F.date_format(F.to_utc_timestamp("detected_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     return rows.select(hash_id("chg-", 24, F.col("id"), F.col("field"), F.col("old_value"), F.col("new_value"), iso).alias("change_id"), F.col("id").alias("opportunity_id"), "field", "old_value", "new_value", "detected_at")
 

@@ -1,7 +1,9 @@
 """Tables that batches are merged into: pure functions from (state, batch) to the new state.
 
 The same functions serve a batch job and foreachBatch. Keys that repeat across batches are settled by
-aggregates, which combine before their shuffle; no batch is applied row by row.
+aggregates, which combine before their shuffle; no batch is applied row by row. Joins of whole states are merges
+(hint "merge"): files of alike rows are much smaller than what they hold, so a broadcast chosen by their size would
+fill the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str], by: str) -> Data
 
 def insert_new(state: DataFrame, batch: DataFrame, ident: str) -> DataFrame:
     """Rows of the batch whose id is new; replays add nothing."""
-    return batch.dropDuplicates([ident]).join(state.select(ident), ident, "left_anti")
+    return batch.dropDuplicates([ident]).join(state.select(ident).hint("merge"), ident, "left_anti")
 
 
 def document_snapshots(documents: DataFrame) -> DataFrame:
@@ -62,14 +64,14 @@ def save_opportunities(state: DataFrame, batch: DataFrame, at: Column, window_da
     changes = detect_changes(state, batch, at)
     after = batch.select("id", stable_payload(batch).alias("payload_json")).withColumn("hash", F.sha2("payload_json", 256))
     before = state.select("id", stable_hash(state).alias("old"))
-    snapshots = after.join(before, "id", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("id", "hash", "payload_json").withColumn("captured_at", at)
+    snapshots = after.join(before.hint("merge"), "id", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("id", "hash", "payload_json").withColumn("captured_at", at)
     own = batch.where(F.col("duplicate_of").isNull()) if "duplicate_of" in batch.columns else batch
-    created = own.join(state.select("id"), "id", "left_anti").select(F.concat(F.lit("evt-"), F.left(F.sha2(F.concat(F.lit("new"), F.char(F.lit(0)), "id"), 256), F.lit(24))).alias("event_id"), F.lit("new_opportunity").alias("event_type"), F.col("id").alias("opportunity_id"), at.alias("created_at"), F.create_map(F.lit("field"), F.lit("id")).alias("payload"))
+    created = own.join(state.select("id").hint("merge"), "id", "left_anti").select(F.concat(F.lit("evt-"), F.left(F.sha2(F.concat(F.lit("new"), F.char(F.lit(0)), "id"), 256), F.lit(24))).alias("event_id"), F.lit("new_opportunity").alias("event_type"), F.col("id").alias("opportunity_id"), at.alias("created_at"), F.create_map(F.lit("field"), F.lit("id")).alias("payload"))
     events = notifications(changes).unionByName(created)
     if {"status", "deadline"} <= set(batch.columns):
         near = deadline_approaching(own, at, window_days)
         events = events.unionByName(near.select("event_id", "event_type", "opportunity_id", at.alias("created_at"), F.create_map(F.lit("field"), F.lit("deadline")).alias("payload")))
-    kept = state.join(batch.select("id"), "id", "left_anti")
+    kept = state.join(batch.select("id").hint("merge"), "id", "left_anti")
     return {"opportunities": kept.unionByName(batch), "snapshots": snapshots, "changes": changes, "notifications": events}
 
 
@@ -79,13 +81,13 @@ def variants(opportunities: DataFrame, canonical_id: str) -> DataFrame:
 
 def dangling(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of child whose key parent doesn't have."""
-    return child.join(parent.select(*keys).distinct(), keys, "left_anti")
+    return child.join(parent.select(*keys).distinct().hint("merge"), keys, "left_anti")
 
 
 def merge_given(profile: DataFrame, given: DataFrame, key: str = "id") -> DataFrame:
     """profile with the values of given that are not null."""
     g = given.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in given.columns if c != key])
-    out = profile.join(g, key, "left")
+    out = profile.join(g.hint("merge"), key, "left")
     return out.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if f"_{c}" in g.columns else F.col(c) for c in profile.columns])
 
 
@@ -95,5 +97,5 @@ def enrich(profiles: DataFrame, facts: DataFrame, fields: list[str], key: str =
     facts: key, profile_field, value, ord. One pivoted aggregate, then coalesce.
     """
     first = facts.groupBy(key).agg(*[F.min_by(F.when(F.col("profile_field") == f, F.col("value")), F.when(F.col("profile_field") == f, F.col("ord"))).alias(f"_{f}") for f in fields])
-    out = profiles.join(first, key, "left")
+    out = profiles.join(first.hint("merge"), key, "left")
     return out.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in fields else F.col(c) for c in profiles.columns])

@@ -492,7 +492,7 @@ def k1_store(spark, sf_dir):
     now = _customer_store(spark, sf_dir).snapshot()
     past = now.read("opportunity_snapshots").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("captured_at", F.get_json_object("payload_json", "$.status").alias("s")))), lambda x: x["s"]), ",").alias("statuses"), F.count("*").cast("int").alias("snapshots"))
     found = now.read("changes").groupBy(F.col("opportunity_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("changed"))
-    return now.read("opportunities").select("id", "title").join(past, "id").join(found, "id", "left").fillna("", ["changed"])
+    return now.read("opportunities").select("id", "title").join(past.hint("merge"), "id").join(found.hint("merge"), "id", "left").fillna("", ["changed"])
 
 
 @query("""

@@ -8,7 +8,7 @@ lost, whoever writes when, and what a failed attempt has left is read by nobody.
 
 Folders don't change once they are named, so every version can be read as it was, and two versions differ only in
 buckets whose folders differ (:meth:`Store.changed` reads no others). Merges are the functions of
-operators/state.py. Reading with the tables' present columns is the migration: columns that old files lack are null.
+operators/state.py; no join here may broadcast by the files' size. Reading with the tables' present columns is the migration: columns that old files lack are null.
 
 Putting a manifest needs a file system that renames or links only where nothing is (HDFS, local disks). On stores
 without that, commits must come from one writer at a time.
@@ -232,7 +232,7 @@ class Store:
 
         def work(base: Snapshot) -> dict[str, tuple[DataFrame, Merge]]:
             found.update(find(base.read("opportunities")))
-            proofs = lambda held, new: held.join(new.select("opportunity_id").distinct(), "opportunity_id", "left_anti").select(*held.columns).unionByName(new.dropDuplicates(["opportunity_id", "evidence_id"]))
+            proofs = lambda held, new: held.join(new.select("opportunity_id").distinct().hint("merge"), "opportunity_id", "left_anti").select(*held.columns).unionByName(new.dropDuplicates(["opportunity_id", "evidence_id"]))
             return {
                 "source_snapshots": (state.document_snapshots(documents), _seen),
                 "opportunities": (found["batch"], _replaced("id")),
@@ -271,12 +271,12 @@ class Store:
         keys = ["workspace_id", "id"]
 
         def profiles(held: DataFrame, new: DataFrame) -> DataFrame:
-            fresh = new.alias("n").join(held.alias("h"), keys, "left").select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"h.{c}")).alias(c) for c in held.columns if c not in keys])
-            return held.join(new.select(*keys), keys, "left_anti").select(*held.columns).unionByName(fresh.select(*held.columns))
+            fresh = new.alias("n").join(held.alias("h").hint("merge"), keys, "left").select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"h.{c}")).alias(c) for c in held.columns if c not in keys])
+            return held.join(new.select(*keys).hint("merge"), keys, "left_anti").select(*held.columns).unionByName(fresh.select(*held.columns))
 
         def named(held: DataFrame, new: DataFrame) -> DataFrame:
-            fresh = new.drop("created_at").join(held.select("id", "created_at"), "id", "left").select("id", "name", F.coalesce("created_at", at).alias("created_at"))
-            return held.join(new.select("id"), "id", "left_anti").select(*held.columns).unionByName(fresh)
+            fresh = new.drop("created_at").join(held.select("id", "created_at").hint("merge"), "id", "left").select("id", "name", F.coalesce("created_at", at).alias("created_at"))
+            return held.join(new.select("id").hint("merge"), "id", "left_anti").select(*held.columns).unionByName(fresh)
 
         tables: dict[str, tuple[DataFrame, Merge]] = {} if workspaces is None else {"workspaces": (workspaces, named)}
         return self.commit(lambda base: tables | {"organisations": (given.withColumn("updated_at", at), profiles)})
@@ -338,16 +338,16 @@ class Store:
         before, after = self.changed("opportunities", old, new)
         hashed = lambda df: df.select("*", state.stable_hash(df).alias("_hash"))
         a, b = hashed(before), hashed(after)
-        same = a.select("id", "_hash").join(b.select("id", "_hash"), ["id", "_hash"])
-        a, b = (df.join(same, ["id", "_hash"], "left_anti").drop("_hash").select(*before.columns) for df in (a, b))
+        same = a.select("id", "_hash").join(b.select("id", "_hash").hint("merge"), ["id", "_hash"])
+        a, b = (df.join(same.hint("merge"), ["id", "_hash"], "left_anti").drop("_hash").select(*before.columns) for df in (a, b))
         rows = changes.detect_changes(a, b, at).withColumn("kind", F.lit("changed"))
-        only = lambda x, y, kind: x.join(y.select("id"), "id", "left_anti").select(F.col("id").alias("opportunity_id"), F.lit(kind).alias("kind"))
+        only = lambda x, y, kind: x.join(y.select("id").hint("merge"), "id", "left_anti").select(F.col("id").alias("opportunity_id"), F.lit(kind).alias("kind"))
         return rows.unionByName(only(b, a, "created"), allowMissingColumns=True).unionByName(only(a, b, "removed"), allowMissingColumns=True)
 
 
 def _replaced(*keys: str) -> Merge:
     """Rows of the batch replace those with their keys."""
-    return lambda held, new: held.join(new.select(*keys), list(keys), "left_anti").select(*held.columns).unionByName(new)
+    return lambda held, new: held.join(new.select(*keys).hint("merge"), list(keys), "left_anti").select(*held.columns).unionByName(new)
 
 
 def _seen(held: DataFrame, new: DataFrame) -> DataFrame:
@@ -357,4 +357,4 @@ def _seen(held: DataFrame, new: DataFrame) -> DataFrame:
 
 def _added(*ids: str) -> Merge:
     """Rows of the batch whose ids the table lacks join it; replays add nothing."""
-    return lambda held, new: held.unionByName(new.dropDuplicates(list(ids)).join(held.select(*ids), list(ids), "left_anti").select(*held.columns))
+    return lambda held, new: held.unionByName(new.dropDuplicates(list(ids)).join(held.select(*ids).hint("merge"), list(ids), "left_anti").select(*held.columns))

@@ -192,3 +192,19 @@ def test_report_names_rules_and_variants(spark):
     other = spark.createDataFrame([("c", "v", "deadline", None, '"x"')], "canonical_id string, variant_id string, field string, canonical_value string, variant_value string")
     text = reports.assessment_report(calls, done, found, other).first().text
     assert "- ineligible: Must be small [ev-1]" in text and "## Fit: not scored" in text and "- maturity: no data (weight 0.1)" in text and '- deadline: unknown here, "x" in v' in text
+
+
+def broadcasts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_states_meet_without_a_broadcast(spark, tmp_path, monkeypatch):
+    """Files of many alike records are small: what a join holds must not follow from their size."""
+    store, made = Store(spark, f"file://{tmp_path}/s", 4), []
+    write = Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, df, path: (made.append(broadcasts(df)), write(self, df, path))[1])
+    for day, status in ((1, "open"), (2, "closed")):
+        store.save_opportunities(calls(spark, *[(str(i), status) for i in range(50)]), F.lit(NOW.replace(day=day)))
+    assert made and not any(made)
+    feed = store.change_feed(1, 2, F.lit(NOW))
+    assert not broadcasts(feed) and feed.count() == 50
