@@ -6,14 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text, and bytes, that Python works on at a time.
-TEXT_ROWS, TEXT_BYTES = 1_000, 8_000_000
+from lodestar.batches import TEXT_BYTES, TEXT_ROWS, pieces  # noqa: F401
+
 _made: dict[str, str] = {}
 
 
@@ -56,18 +55,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most so many rows and about so many bytes, but at least a row.
-
-    Spark bounds a batch's bytes (64 MB), so whole texts fit a worker's memory without settings of the session.
-    """
-    for batch in batches:
-        n = batch.num_rows
-        step = max(1, min(rows, n * most // max(1, batch.nbytes)))
-        for i in range(0, max(n, 1), step):
-            yield batch.slice(i, step)
-
-
 def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with all columns but the needed ones under names of our own, and what gives the columns back.
 
