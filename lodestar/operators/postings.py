@@ -99,15 +99,18 @@ class Term:
 
     def __init__(self, at: np.ndarray, g: np.ndarray, units: list, tops: np.ndarray, most: float):
         self.at, self.g, self.tops, self.most = at, np.asarray(g, float), np.asarray(tops, float), float(most)
-        self.codes = np.concatenate([np.asarray(u, np.int64) for u in units])
-        self.first = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+        self.units = units
 
     def parts(self, where: np.ndarray, weight: float, digits: int | None) -> np.ndarray:
-        """What each document at these places gets, unit by unit."""
-        f, flag = self.codes // 4, self.codes % 4
+        """What each document at these places gets, unit by unit; the units of others are not touched."""
+        if not len(where):
+            return np.zeros(0)
+        held = [np.asarray(self.units[i], np.int64) for i in where]
+        codes, first = np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+        f, flag = codes // 4, codes % 4
         value = np.where(f > 0, weight * f * (K1 + 1) / (f + K1) + weight * ((flag & IN_SECTION > 0) * SECTION + (flag & IN_STEM > 0) * STEM), 0.0)
         value = value if digits is None else np.round(value, digits)
-        return np.add.reduceat(value, self.first[:-1])[where]
+        return np.add.reduceat(value, first)
 
 
 def _found(at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

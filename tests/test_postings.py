@@ -85,3 +85,24 @@ def test_best_of_equals_single_searches(spark):
     for n, q in enumerate(queries):
         rows = retrieval.scored(docs, q).select("doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage")).orderBy(F.desc("score"), "doc_id").limit(3).collect()
         assert [got[n, i] for i in range(1, len(rows) + 1)] == [tuple(r) for r in rows] and (n, len(rows) + 1) not in got
+
+
+def test_units_are_read_of_the_documents_that_may_win_only():
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, i):
+            Counted.read += 1
+            return super().__getitem__(i)
+
+        def __iter__(self):
+            Counted.read += len(self)
+            return super().__iter__()
+
+    n = 5_000
+    f = np.arange(n) % 40 + 1
+    g = f * 2.2 / (f + 1.2) + np.arange(n) * 1e-4
+    term = postings.Term(np.arange(n), g, Counted([[int(x) * 4] for x in f]), [float(g[i : i + postings.BLOCK].max()) for i in range(0, n, postings.BLOCK)], float(g.max()))
+    at, _ = postings.best([(1.0, term)], n, 5)
+    assert len(at) == 5 and Counted.read <= 20
+    assert len(term.parts(np.zeros(0, int), 1.0, None)) == 0
