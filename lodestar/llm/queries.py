@@ -48,7 +48,7 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer, path = tokenizer_bytes(WORDS).decode(), scratch_path(spark, "ids")
-    simple8b.write(documents(spark, sf_dir), path, lambda: simple8b.word_encoder(tokenizer).ids, end_id=2)
+    simple8b.write(documents(spark, sf_dir), path, lambda: simple8b.word_encoder(tokenizer).all_ids, end_id=2, many=True)
     return simple8b.read(spark, path)
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,7 +37,7 @@ from lodestar.llm.ordered import order_key, shard_bounds, shards_of
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 MAGIC = b"S8B1"
 BLOCK_IDS = 16_384
-#: Most entries of a task's table of distinct words: about 150 MB.
+#: Most entries of a process's table of distinct words: about 150 MB. More only if texts looked up at once have more.
 TABLE = 600_000
 BLOCKS = "shard int, seq int, before long, n_ids long, n_docs long, block binary"
 
@@ -86,10 +87,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     leaps = [after]
     for _ in range(4):
         leaps.append(leaps[-1][leaps[-1]])
-    far, starts, i = leaps.pop().tolist(), [], 0
+    far, starts, i = leaps.pop(), [], 0
     while i < n:
         starts.append(i)
-        i = far[i]
+        i = int(far[i])
     starts = np.array(starts, np.int64)
     for leap in reversed(leaps):
         starts = np.stack([starts, leap[starts]], 1).reshape(-1)
@@ -101,7 +102,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if bits:
             rows = np.flatnonzero(chosen == s)
             shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            out[rows] |= np.bitwise_or.reduce(ids[starts[rows][:, None] + np.arange(count)] << shifts, axis=1)
+            out[rows] |= np.bitwise_or.reduce(ids[starts[rows] + np.arange(count)[:, None]] << shifts[:, None], axis=0)
     return out, at.astype(np.uint32), values
 
 
@@ -116,7 +117,7 @@ def unpack(words: np.ndarray, n: int, at: np.ndarray, values: np.ndarray) -> np.
         if bits:
             rows = np.flatnonzero(chosen == s)
             shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            out[starts[rows][:, None] + np.arange(count)] = (words[rows][:, None] >> shifts) & np.uint64((1 << bits) - 1)
+            out[starts[rows] + np.arange(count)[:, None]] = (words[rows] >> shifts[:, None]) & np.uint64((1 << bits) - 1)
     out = out[:n]
     out[at] = values
     return out
@@ -184,6 +185,40 @@ def parts_at_end(core: str) -> bool:
     return _LETTER_OR_NUMBER.fullmatch(unicodedata.normalize("NFC", core)[-1].lower()[-1]) is not None
 
 
+def _bytes_in(some: bytes) -> bytes:
+    """A table for bytes.translate() that gives 1 for those in some and 0 for others."""
+    return bytes(x in some for x in range(256))
+
+
+_SPACES = bytes.maketrans(b"\t\n\r", b"   ")
+_IN_TAIL, _ALNUM = _bytes_in(TAIL.encode()), np.frombuffer(_bytes_in((string.ascii_letters + string.digits).encode()), bool)
+
+
+def spaced_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words between white space, one after the other, and how many there are up to each text's end.
+
+    Marks of ``TAIL`` that end a word are words of their own where parts_at_end() surely holds: after ASCII letters and
+    digits and the letters from U+00C0 to U+00FF. So a word is the same with a comma and without.
+    """
+    rows = pa.array([x + " " for x in texts], pa.large_string())
+    sizes = np.frombuffer(rows.buffers()[1], np.int64, len(texts) + 1)
+    spaced = rows.buffers()[2].to_pybytes()[: sizes[-1]].translate(_SPACES)
+    data, tail = np.frombuffer(spaced, np.uint8), np.frombuffer(spaced.translate(_IN_TAIL), bool)
+    spaces = data == ord(" ")
+    stop = np.flatnonzero(spaces)
+    begin = np.flatnonzero(tail[1:] & ~tail[:-1]) + 1
+    marked = np.flatnonzero(tail[stop - 1] & (stop > 0))
+    cut = np.append(begin, 0)[np.searchsorted(begin, stop[marked]) - 1]  # without a begin of its own: the first byte
+    before, lead = data[cut - 1], data[cut - 2]
+    fits = (cut > 0) & (_ALNUM[before] | ((cut > 1) & (lead == 0xC3) & (before != 0x97) & (before != 0xB7)))
+    marked, cut = marked[fits], cut[fits]
+    # where words end and tails begin, less the spaces before, which are left out
+    offsets = np.insert(stop - np.arange(len(stop)), np.append(0, marked), np.append(0, cut - marked))
+    words = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[~spaces])])
+    texts_end = np.searchsorted(stop, sizes[1:])  # spaces up to each text's end, its own included
+    return words, texts_end + np.searchsorted(marked, texts_end)
+
+
 #: Encoders of this process, by tokenizer: a worker that runs many tasks learns a word once.
 _encoders: dict[int, WordEncoder] = {}
 
@@ -277,26 +312,48 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian uint32."""
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Words are looked up once for all texts, so these should be some megabytes."""
         if not self.apart:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        low = text.lower()
-        # letters may compose with marks in lower case only; the library composes them before
-        normal = self.lower and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not any(x in text for x in self.special)
-        if normal:
-            text = low
-        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := set(found).difference(self.table):
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        rows, out = ([], []), [b""] * len(texts)
+        for i, text in enumerate(texts):
+            low = text.lower()
+            # letters may compose with marks in lower case only; the library composes them before
+            normal = self.lower and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) and not any(x in text for x in self.special)
+            rows[normal].append((i, low if normal else text))
+        for normal, some in enumerate(rows):
+            if some:
+                for (i, _), x in zip(some, self._of_words([x for _, x in some], bool(normal)), strict=True):
+                    out[i] = x
+        return out
+
+    def _of_words(self, texts: list[str], normal: bool) -> list[bytes]:
+        words, ends = spaced_words(texts)
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.table.get, names))
+        if new := [i for i, x in enumerate(known) if x is None]:
             if len(self.table) + len(new) > self.limit:
-                self.table.clear()
-                new = set(found)
-            self._learn(list(new), normal)
-        return b"".join(map(self.table.__getitem__, found))
-
-
-def write(df: DataFrame, path: str, encode: Callable[[], Callable[[str], bytes]], end_id: int, text: str = "text", doc_id: str = "doc_id") -> None:
+                self.table = {x: y for x, y in zip(names, known) if y is not None}
+            self._learn([names[i] for i in new], normal)
+            for i in new:
+                known[i] = self.table[names[i]]
+        at = np.zeros(len(known) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, known), np.int64, len(known)), out=at[1:])
+        found = pa.Array.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(at), pa.py_buffer(b"".join(known))]).take(coded.indices)
+        cuts = np.frombuffer(found.buffers()[1], np.int64, len(words) + 1)[ends].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip([0, *cuts], cuts)]
+
+
+def write(df: DataFrame, path: str, encode: Callable[[], Callable], end_id: int, text: str = "text", doc_id: str = "doc_id", many: bool = False) -> None:
     """Writes the ids of every whole text, end_id after each, as blocks in ascending document id.
 
-    encode() is called in each task and gives a function from a text to its ids as little-endian uint32.
+    encode() is called in each task and gives a function from a text to its ids as little-endian uint32, or with many
+    from a list of texts to a list of these.
     A null text counts as empty; null document ids come last; rows that share an id follow one another in
     the order of their ids' checksums, in shards of their own where they are many.
     """
@@ -308,7 +365,8 @@ def write(df: DataFrame, path: str, encode: Callable[[], Callable[[str], bytes]]
         ids_of = encode()
         for batch in pieces(batches):
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            rows = [ids_of(x) + end for x in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            rows = [x + end for x in (ids_of(texts) if many else map(ids_of, texts))]
             packed = [_narrow(np.frombuffer(x, "<u4")) for x in rows]
             crc = np.array([zlib.crc32(x) for x in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -363,11 +421,11 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
             for shard, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 docs, lengths, ids = from_block(data)
                 ends = np.cumsum(lengths)
-                parts = np.split(ids, ends[:-1])
-                columns = [pa.array(docs, pa.int64()), pa.array(bases[shard] + before + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64())]
+                small, cuts = memoryview(ids.astype("<u4")).cast("B"), (4 * ends).tolist()
+                columns = [pa.array(docs, pa.int64()), pa.array(bases[shard] + before + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(small[i:j]) for i, j in zip([0, *cuts], cuts)], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    columns, names = [*columns, pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))], [*names, "ids"]
+                    columns, names = [*columns, pa.array([x.astype(np.int64) for x in np.split(ids, ends[:-1])], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return spark.read.schema(BLOCKS).parquet(path).select("shard", "before", "block").mapInArrow(work, schema)

@@ -80,6 +80,45 @@ def test_word_ids_of_hard_strings():
     assert not wrong, wrong[:5]
 
 
+def test_word_ids_of_many_texts_at_once():
+    """Texts of one call keep their own ids: hard strings, marks at either end, empty texts, a table that is full at once."""
+    tok, rng = tokenizers.Tokenizer.from_file(public_tokenizers.path(WORDS)), random.Random(4)
+    encoder = simple8b.WordEncoder(tokenizer_bytes(WORDS).decode(), 300)
+    pool = HARD + list("abcXYZ019éßÉ×÷ñИк") * 6 + list(simple8b.TAIL) * 8 + list("'-@(<") + [" "] * 25 + ["\n", "\t", "\r", "<|endoftext|>"]
+    texts = ["", ".", "a", ",a", "a,", "é", "é.", "×.", "÷.", "ß!!", " ", "", "a. b.c, .", "É,", "\u00a0.", "x" + "." * 500 + " y"]
+    texts += ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(20_000)]
+    got, i = [], 0
+    while i < len(texts):
+        n = rng.choice([1, 2, 16, 300])
+        got += encoder.all_ids(texts[i : i + n])
+        i += n
+    want = tok.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids]
+    assert not wrong, wrong[:5]
+    assert encoder.all_ids([]) == []
+
+
+def test_a_full_table_keeps_the_words_in_use(monkeypatch):
+    """Words that come in every call are learnt once, however often the table fills, and once with and without marks."""
+    encoder, learnt = simple8b.WordEncoder(tokenizer_bytes(WORDS).decode(), 60), Counter()
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new, normal: (learnt.update(new), learn(new, normal)))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(26):
+        encoder.all_ids([f"common, words come; again common words! come. again q{letters[k]}{x} café, café" for x in letters])
+    assert sum(learnt.values()) == 5 + 4 + 26 * 26, learnt.most_common(5)
+    assert len(encoder.table) <= 60
+    assert simple8b.spaced_words(["ab, ab\tab", "", ",ab é."])[0].to_pylist() == ["ab", ",", "ab", "ab", "", ",ab", "é", "."]
+
+
+def test_ids_of_many_texts_as_blocks(spark, texts, tmp_path):
+    tok, source = tokenizers.Tokenizer.from_file(public_tokenizers.path(WORDS)), tokenizer_bytes(WORDS).decode()
+    simple8b.write(docs(spark, texts), str(tmp_path / "ids"), lambda: simple8b.word_encoder(source).all_ids, end_id=2, many=True)
+    rows = sorted(simple8b.read(spark, str(tmp_path / "ids"), with_ids=True).collect())
+    want = [[*tok.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert [r.ids for r in rows] == want and [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+
+
 def test_an_id_with_many_rows_has_many_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ordered.shard_bounds, "__defaults__", (4,))
     texts = [f"w{i} b c d e f g" for i in range(60)] + ["same"] * 20 + ["z y"] * 7
